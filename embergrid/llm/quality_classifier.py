@@ -1,9 +1,9 @@
 """Operator 2: quality by nearest-neighbour voting over latent-semantic vectors.
 
-Texts become counts of pairs of adjacent character shapes; log counts times inverse document frequency are projected on
-the leading singular vectors of labelled texts. The labelled vectors are broadcast (a bounded number of them), every
-document's cosine with all of them is computed exactly in blocks, and the nearest neighbours vote with their similarity
-as weight.
+Texts become counts of pairs of adjacent character shapes, with one term for the share of their word triples that came
+before; log counts times inverse document frequency are projected on the leading singular vectors of labelled texts. The
+labelled vectors are broadcast (a bounded number of them), every document's cosine with all of them is computed exactly
+in blocks, and the nearest neighbours vote with their similarity as weight.
 
 Defined cases: a null text is an empty one; a text without a shape pair has the zero vector, whose neighbours all tie at
 similarity 0, so that its score is the mean label; labels without a quality or a document are ignored; of several label
@@ -26,6 +26,11 @@ from embergrid.llm.common import crc_of_id, map_texts
 #: 6 digit, 7 byte of a non-ASCII letter, then single marks, 31 for the remaining ones.
 _MARKS = b".,!?;:-'\"()/|#*$%&<>=+@"
 SHAPES = 32
+PAIRS = SHAPES * SHAPES
+#: Upper bounds of the shares of repeated word triples; each range is a term, weighing as much as some ten shape pairs.
+SHARES = np.array([0.02, 0.05, 0.1, 0.2, 0.35, 0.6])
+SHARE_WEIGHT = 40.0
+TERMS = PAIRS + len(SHARES) + 1
 
 
 def _shape_table() -> bytes:
@@ -57,15 +62,28 @@ _SHAPE = _shape_table()
 
 
 def shape_counts(texts: list[str | None]) -> np.ndarray:
-    """Counts of shape pairs, one row of SHAPES * SHAPES per text."""
-    out = np.zeros((len(texts), SHAPES * SHAPES), np.float32)
+    """Counts of shape pairs and the mark of the share of repeated word triples, one row of TERMS per text."""
+    out = np.zeros((len(texts), TERMS), np.float32)
     for i, text in enumerate(texts):
-        a = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(_SHAPE), np.uint8)
+        data = (text or "").encode("utf-8", "surrogatepass")
+        a = np.frombuffer(data.translate(_SHAPE), np.uint8)
         if len(a) > 1:
-            out[i] = np.bincount(a[:-1].astype(np.int16) * SHAPES + a[1:], minlength=SHAPES * SHAPES)
+            out[i, :PAIRS] = np.bincount(a[:-1].astype(np.int16) * SHAPES + a[1:], minlength=PAIRS)
+        words = data.split()
+        n = len(words) - 2
+        if n > 0:
+            share = 1 - len(set(zip(words, words[1:], words[2:]))) / n
+            out[i, PAIRS + int(np.searchsorted(SHARES, share))] = 1
     return out
 
 
+def scaled(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Log counts times weights, as unit rows (zero rows stay)."""
+    x = np.log1p(counts) * weight
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(length > 0, length, 1)
+
+
 @dataclass(frozen=True)
 class LatentModel:
     """``weight`` (terms) times log counts, projected on ``basis`` (terms x k); unit ``vectors`` of the labelled texts."""
@@ -77,10 +95,7 @@ class LatentModel:
     neighbours: int
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts)
-        x *= self.weight
-        length = np.linalg.norm(x, axis=1, keepdims=True)
-        z = (x / np.where(length > 0, length, 1)) @ self.basis
+        z = scaled(counts, self.weight) @ self.basis
         length = np.linalg.norm(z, axis=1, keepdims=True)
         return (z / np.where(length > 0, length, 1)).astype(np.float32)
 
@@ -104,11 +119,10 @@ def build_model(counts: np.ndarray, labels: np.ndarray, dims: int = 32, neighbou
     n = len(labels)
     if n == 0:
         empty = np.zeros((0, dims), np.float32)
-        return LatentModel(np.ones(SHAPES * SHAPES, np.float32), np.zeros((SHAPES * SHAPES, dims), np.float32), empty, labels, neighbours)
+        return LatentModel(np.ones(TERMS, np.float32), np.zeros((TERMS, dims), np.float32), empty, labels, neighbours)
     weight = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    x = np.log1p(counts) * weight
-    length = np.linalg.norm(x, axis=1, keepdims=True)
-    x = x / np.where(length > 0, length, 1)
+    weight[PAIRS:] = SHARE_WEIGHT
+    x = scaled(counts, weight)
     _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
     model = LatentModel(weight, vectors[:, ::-1][:, :dims].astype(np.float32), np.zeros((0, dims), np.float32), labels, neighbours)
     return LatentModel(model.weight, model.basis, model.project(counts), labels.astype(np.float64), neighbours)
@@ -129,7 +143,7 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = 4096, dims: int = 32, ne
     out = T.StructType([T.StructField("counts", T.BinaryType())])
     made = map_texts(rows, lambda texts: {"counts": pa.array([r.astype("<f4").tobytes() for r in shape_counts(texts)], pa.binary())}, out, carry=("doc_id", "__label"))
     got = made.orderBy(F.xxhash64("doc_id"), "doc_id", "__label").limit(sample).toArrow()
-    counts = np.frombuffer(b"".join(got["counts"].to_pylist()), "<f4").reshape(-1, SHAPES * SHAPES)
+    counts = np.frombuffer(b"".join(got["counts"].to_pylist()), "<f4").reshape(-1, TERMS)
     return build_model(counts, np.array(got["__label"].to_pylist(), np.float64), dims, neighbours)
 
 

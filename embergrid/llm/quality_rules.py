@@ -42,6 +42,8 @@ class LineRules:
     min_unmarked_words: int = 60  # punctuation: so many words without a sentence mark
     max_bar_percent: int = 25  # navigation: vertical bars
     min_bars: int = 3
+    max_stutter_percent: int = 40  # boilerplate: words equal to the one before
+    min_stutters: int = 5
     max_lost_percent: int = 50  # of the document's words
 
 
@@ -51,8 +53,9 @@ _LOWER = re.compile(r"[a-z]")
 _BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)))
 
 
-def line_fails(line: str, n_words: int, rules: LineRules) -> str | None:
+def line_fails(line: str, words: list[bytes], rules: LineRules) -> str | None:
     """The rule that removes the line, or None."""
+    n_words = len(words)
     bars = line.count("|")
     if bars >= rules.min_bars and 100 * bars > rules.max_bar_percent * n_words:
         return "navigation"
@@ -66,6 +69,9 @@ def line_fails(line: str, n_words: int, rules: LineRules) -> str | None:
         return "punctuation"
     if _BOILER.search(line.lower()):
         return "boilerplate"
+    stutters = sum(map(bytes.__eq__, words, words[1:]))
+    if stutters >= rules.min_stutters and 100 * stutters > rules.max_stutter_percent * n_words:
+        return "boilerplate"
     if n_words >= 3 and len(_UPPER.findall(line)) > len(_LOWER.findall(line)):
         return "boilerplate"
     return None
@@ -101,7 +107,8 @@ def clean_text(text: str | None, rules: LineRules = LineRules()) -> dict:
     seen: set[str] = set()
     left: list[str] = []
     for line in text.split("\n"):
-        w = len(line.encode("utf-8", "surrogatepass").split())
+        line_words = line.encode("utf-8", "surrogatepass").split()
+        w = len(line_words)
         if not w:
             left.append(line)
             continue
@@ -110,7 +117,7 @@ def clean_text(text: str | None, rules: LineRules = LineRules()) -> dict:
             why = "boilerplate"
         else:
             seen.add(line)
-            why = line_fails(line, w, rules)
+            why = line_fails(line, line_words, rules)
         if why:
             lost += w
             n_failed += 1

@@ -17,12 +17,12 @@ cov AS (SELECT r, count(DISTINCT i + o) AS n FROM rep, (SELECT unnest(range(8))
 l AS (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM d),
 m AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
   len(line) - len(replace(line, '|', '')) AS bars, len(regexp_extract_all(line, '[#*$%&<>]')) AS syms,
-  len(regexp_extract_all(line, '[!?]')) AS shouts, row_number() OVER (PARTITION BY r, line ORDER BY i) AS nth FROM l),
+  len(regexp_extract_all(line, '[!?]')) AS shouts, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw, row_number() OVER (PARTITION BY r, line ORDER BY i) AS nth FROM l),
 v AS (SELECT r, n, nth,
   nth > 1 OR (bars >= 3 AND 100 * bars > 25 * n) OR (syms >= 3 AND 100 * syms > 30 * n) OR (shouts >= 3 AND 100 * shouts > 30 * n)
   OR (n >= 60 AND NOT regexp_matches(line, '[.,;:!?…。、！？؟।]')) OR regexp_matches(lower(line), '{_BOILER}')
-  OR (n >= 3 AND len(regexp_extract_all(line, '[A-Z]')) > len(regexp_extract_all(line, '[a-z]'))) AS fails
-  FROM m WHERE n > 0),
+  OR (stut >= 5 AND 100 * stut > 40 * n) OR (n >= 3 AND len(regexp_extract_all(line, '[A-Z]')) > len(regexp_extract_all(line, '[a-z]'))) AS fails
+  FROM (SELECT *, len(list_filter(range(2, len(lw) + 1), lambda i: lw[i] = lw[i - 1])) AS stut FROM m WHERE n > 0)),
 s AS (SELECT r, count(*) FILTER (nth > 1) AS dup, count(*) FILTER (fails) AS failed, sum(n) FILTER (fails) AS lost FROM v GROUP BY r),
 b AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines,
