@@ -1 +1 @@
-
+"""Operators of the hotspot engine, as DataFrame functions."""
