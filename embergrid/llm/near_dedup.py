@@ -5,8 +5,8 @@ A text is the bag of its five-word shingles. Each shingle carries Poisson proces
 points of two bags are minima with the probability of their weighted Jaccard similarity. Signatures are cut into bands;
 texts that share a band are candidates, and the overlap of the whole bags decides.
 
-Linking runs in two steps. First every text meets the least text of each of its bands, so that a group of copies makes as
-many pairs as texts. Then texts that share a band but no component yet meet each other, behind a sketch of 256 bits of
+Linking runs in two steps. First every text meets the head of each of its bands, the text there that shares bands with
+most others, so that a group of copies makes about as many pairs as texts. Then texts that share a band but no component yet meet each other, behind a sketch of 256 bits of
 their signatures, so that no link between different texts of one band is lost. Components are the classes.
 
 Defined cases: words are lower-cased runs of ASCII letters, digits and non-ASCII characters; a text of one to four words
@@ -198,9 +198,13 @@ def near_dedup(df: DataFrame, similarity: float = 0.8, text_col: str = "text", i
     texts = cut(texts)
     sketches = texts.select("id", "s0", "s1", "s2", "s3")
     exploded = texts.select("id", F.explode("bands").alias("band"))
-    full = exploded.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared = cut(exploded.join(full.select("band", "head"), "band"))
-    star = shared.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    full = exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = exploded.join(full, "band")
+    # the text that meets most others heads its bands: of near copies that is their common original, if it is there
+    degree = met.groupBy("id").agg(F.sum("n").alias("degree"))
+    shared = cut(met.select("band", "id").join(degree, "id"))
+    heads = shared.groupBy("band").agg(F.max(F.struct("degree", "id")).alias("h")).select("band", F.col("h.id").alias("head"))
+    star = shared.join(heads, "band").where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     star = cut(star.join(sketches.alias("p"), F.col("a") == F.col("p.id")).join(sketches.alias("q"), F.col("b") == F.col("q.id")).where(_near("p", "q")).select("a", "b"))
     wanted = shared.select("id").distinct().join(texts.select("id", "doc_id"), "id")
     bags = cut(map_texts(docs.join(wanted, "doc_id"), _bags, T.StructType([T.StructField("bag", T.ArrayType(T.LongType()))]), carry=("id",)).dropDuplicates(["id"]) if _repeats(signed) else map_texts(docs.join(wanted, "doc_id"), _bags, T.StructType([T.StructField("bag", T.ArrayType(T.LongType()))]), carry=("id",)))
@@ -211,7 +215,9 @@ def near_dedup(df: DataFrame, similarity: float = 0.8, text_col: str = "text", i
     open_ = cut(member.join(mixed, "band").join(sketches, "id"))
     p, q = open_.alias("p"), open_.alias("q")
     cross = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.label") != F.col("q.label")) & _near("p", "q"))
-    cross = cross.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    cross = cross.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = cross.join(tried, ["a", "b"], "left_anti")
     more = cut(verified(cross, bags, similarity))
     if more.limit(1).count():
         labels = components(edges.union(more))
