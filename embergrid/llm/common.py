@@ -24,6 +24,7 @@ def map_texts(
     text_col: str = "text",
     carry: Iterable[str] = ("doc_id",),
     drop_unless: str | None = None,
+    slice_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Apply ``fn`` to the texts of each Arrow batch and append the columns that it returns.
 
@@ -38,7 +39,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, slice_bytes):
                 made = fn(part.column("__text").to_pylist())
                 arrays = [part.column(c) for c in carried] + [made[n] for n in names]
                 out = pa.RecordBatch.from_arrays(arrays, names=carried + names)
@@ -49,7 +50,7 @@ def map_texts(
     return source.mapInArrow(run, T.StructType(fields))
 
 
-def _slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``most`` bytes (one row at least)."""
     if batch.num_rows == 0:
         return

@@ -13,9 +13,12 @@ Defined cases: a null or empty text has no ids and decodes to the empty text.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
+from array import array
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +117,30 @@ def _many_spaces():
 
 
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE = 100_000
+CACHE = 150_000
+SLICE = 2 << 20  # bytes of text whose words are in memory at once
+LEARN = 8192  # words encoded in one call
+THREADS = "2"  # of the backend in each worker, as many as a task has cores; RAYON_NUM_THREADS overrides it
+
+
+class Recent:
+    """A bounded cache in two generations: what the last ``most`` new entries touched stays."""
+
+    def __init__(self, most: int = CACHE):
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Make all keys that either generation holds current; the others."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        out = []
+        for k in keys - self.new.keys():
+            v = self.old.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                self.new[k] = v
+        return out
 
 
 class Codec:
@@ -123,41 +149,41 @@ class Codec:
     def __init__(self, path: str):
         import sentencepiece
 
+        os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
         with open(path, "rb") as f:
             self.model = Model.parse(f.read())
         self.tok = self.model.backend()
         self.spm = sentencepiece.SentencePieceProcessor(model_file=path)
         self.by_word = self.model.splits_at_mark and self.model.dummy_prefix
-        self.words: dict[str, tuple[np.ndarray, bool]] = {}
+        self.words = Recent()  # word -> ids as bytes
+        self.differ: set[str] = set()  # words on which the libraries disagree
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
 
     def learn(self, words: list[str]) -> None:
         """Encode words, as many threads as the library takes, and compare each with sentencepiece."""
-        mine = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-        theirs = self.spm.encode([w[1:].replace(MARK, " ") for w in words], num_threads=1)
-        for w, a, b in zip(words, mine, theirs, strict=True):
-            self.words[w] = (np.array(b, np.int32), a == b)
+        for at in range(0, len(words), LEARN):
+            part = words[at : at + LEARN]
+            mine = self.tok.encode_batch_fast(part, add_special_tokens=False)
+            theirs = self.spm.encode([w[1:].replace(MARK, " ") for w in part], num_threads=1)
+            for w, a, b in zip(part, mine, theirs, strict=True):
+                self.words.new[w] = array("i", b).tobytes()
+                if a.ids != b:
+                    self.differ.add(w)
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether both libraries agreed on all of it."""
-        none = np.zeros(0, np.int32)
         if not self.by_word:
             theirs = self.spm.encode([t or "" for t in texts], num_threads=1)
             source = [(" " if self.model.dummy_prefix and t else "") + (t or "") for t in texts]
             mine = [e.ids for e in self.tok.encode_batch_fast(source, add_special_tokens=False)]
             return [np.array(b, np.int32) for b in theirs], [a == b for a, b in zip(mine, theirs, strict=True)]
         cut = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > CACHE:
-            self.words.clear()
-        new = list({w for words in cut for w in words} - self.words.keys())
+        new = self.words.missing(set(chain.from_iterable(cut)))
         if new:
             self.learn(new)
-        ids, same = [], []
-        for words in cut:
-            got = [self.words[w] for w in words]
-            ids.append(np.concatenate([g[0] for g in got]) if got else none)
-            same.append(all(g[1] for g in got))
-        return ids, same
+        of = self.words.new.__getitem__
+        ids = [np.frombuffer(b"".join(map(of, words)), np.int32) for words in cut]
+        return ids, [self.differ.isdisjoint(words) for words in cut] if self.differ else [True] * len(texts)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids: pieces and fallback bytes joined, without the first marker."""
@@ -196,7 +222,7 @@ def sentencepiece_encode(df: DataFrame, path: str, text_col: str = "text", carry
         }
 
     out = T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("parity", T.BooleanType()), T.StructField("roundtrip", T.BooleanType())])
-    return map_texts(df, run, out, text_col, carry)
+    return map_texts(df, run, out, text_col, carry, slice_bytes=SLICE)
 
 
 def sentencepiece_decode(df: DataFrame, path: str, ids_col: str = "token_ids", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

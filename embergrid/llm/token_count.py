@@ -10,7 +10,9 @@ class may differ between regular-expression engines, are encoded whole by the li
 
 from __future__ import annotations
 
+import os
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,62 +22,71 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from embergrid.llm.common import map_texts
+from embergrid.llm.sentencepiece_codec import LEARN, SLICE, THREADS, Recent
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPLIT = regex.compile(PATTERN).findall
 #: UTF-8 lead bytes from here on begin U+0500 and above; below, both engines class all characters alike (tested).
 SAFE_BELOW = 0xD4
-CACHE = 200_000
 
 
-class Counter2:
-    """The tokenizer of one worker with both tiers."""
+class Tiers:
+    """The tokenizer of one worker with both tiers: the broadcast table and a bounded cache of what it misses."""
 
     def __init__(self, path: str, frequent: dict[str, int]):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.frequent = frequent
-        self.cache: dict[str, int] = {}
-
-    def whole(self, text: str) -> int:
-        return len(self.tok.encode(text, add_special_tokens=False).ids)
-
-    def count(self, text: str, data: bytes) -> int:
-        if not data:
-            return 0
-        plain = data.isascii() or int(np.frombuffer(data, np.uint8).max()) < SAFE_BELOW
-        if not plain or any(a in text for a in self.added):
-            return self.whole(text)
-        total = 0
-        get, cached = self.frequent.get, self.cache.get
-        for word, n in Counter(_SPLIT(text)).items():
-            k = get(word) or cached(word)
-            if k is None:
-                k = self.whole(word)
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[word] = k
-            total += k * n
-        return total
+        self.cache = Recent()
+
+    def encoded(self, texts: list[str]) -> list[int]:
+        """Token counts by the library."""
+        parts = (texts[at : at + LEARN] for at in range(0, len(texts), LEARN))
+        return [len(e) for part in parts for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+
+    def plain(self, text: str, data: bytes) -> bool:
+        """Whether the pre-token pattern may cut the text."""
+        return (data.isascii() or int(np.frombuffer(data, np.uint8).max()) < SAFE_BELOW) and not any(a in text for a in self.added)
+
+    def count(self, texts: list[str], datas: list[bytes]) -> list[int]:
+        cut = [_SPLIT(t) if self.plain(t, d) else None for t, d in zip(texts, datas, strict=True)]
+        words = set(chain.from_iterable(c for c in cut if c)) - self.frequent.keys()
+        new = self.cache.missing(words)
+        self.cache.new.update(zip(new, self.encoded(new), strict=True))
+        known = _Both(self.frequent, self.cache.new)
+        whole = iter(self.encoded([t for t, c in zip(texts, cut, strict=True) if c is None]))
+        return [next(whole) if c is None else sum(map(known.__getitem__, c)) for c in cut]
+
+
+class _Both(dict):
+    """The first tier, and where it misses the second."""
+
+    def __init__(self, first: dict, second: dict):
+        super().__init__(first)
+        self.second = second
+
+    def __missing__(self, word: str) -> int:
+        return self.second[word]
 
 
 _WORKER: dict = {}
 
 
-def _worker(path: str, held) -> Counter2:
+def _worker(path: str, held) -> Tiers:
     if _WORKER.get("path") != path:
-        _WORKER.update(path=path, counter=Counter2(path, held.value))
+        _WORKER.update(path=path, counter=Tiers(path, held.value))
     _WORKER["counter"].frequent = held.value  # the cache of exact counts outlives a table
     return _WORKER["counter"]
 
 
 def frequent_pretokens(df: DataFrame, path: str, size: int = 8192, per_task: int = 2048, counters: int = 65_536, text_col: str = "text") -> dict[str, int]:
-    """The most frequent pre-tokens over all texts, with their token counts.
+    """Frequent pre-tokens over all texts, with their token counts: the words between spaces that are letters alone.
 
     Each task keeps a frequency sketch of at most ``counters`` entries (when it is full, the lower half goes) and
     returns its ``per_task`` leading ones; the merged table of at most ``size`` entries reaches the driver.
@@ -86,16 +97,16 @@ def frequent_pretokens(df: DataFrame, path: str, size: int = 8192, per_task: int
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(_SPLIT(text))
+                    seen.update(text.split(" "))
                     if len(seen) > counters:
                         seen = Counter(dict(seen.most_common(counters // 2)))
-        top = [(w, n) for w, n in seen.most_common(per_task) if n > 1 and len(w) <= 64]
+        top = [(" " + w, n) for w, n in seen.most_common(2 * per_task) if n > 1 and len(w) <= 64 and w.isalpha()][:per_task]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
     parts = df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(summarise, "word string, n long")
     rows = parts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).toArrow()
-    counter = Counter2(path, {})
-    return {w: counter.whole(w) for w in rows["word"].to_pylist()}
+    words = [w for w in rows["word"].to_pylist() if _SPLIT(w) == [w]]
+    return dict(zip(words, Tiers(path, {}).encoded(words), strict=True))
 
 
 def token_counts(df: DataFrame, path: str, frequent: dict[str, int], limit: int = 1024, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -105,8 +116,8 @@ def token_counts(df: DataFrame, path: str, frequent: dict[str, int], limit: int
     def run(texts):
         counter = _worker(path, held)
         data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        n = [counter.count(t or "", d) for t, d in zip(texts, data, strict=True)]
+        n = counter.count([t or "" for t in texts], data)
         return {"n_bytes": pa.array([len(d) for d in data], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([k > limit for k in n], pa.bool_())}
 
     out = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
-    return map_texts(df, run, out, text_col, carry)
+    return map_texts(df, run, out, text_col, carry, slice_bytes=SLICE)
