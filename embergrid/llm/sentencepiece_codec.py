@@ -166,6 +166,7 @@ class Codec:
             mine = self.tok.encode_batch_fast(part, add_special_tokens=False)
             theirs = self.spm.encode([w[1:].replace(MARK, " ") for w in part], num_threads=1)
             for w, a, b in zip(part, mine, theirs, strict=True):
+                b = b or [self.spm.piece_to_id(w)]  # the mark alone, which stands for no text of its own
                 self.words.new[w] = array("i", b).tobytes()
                 if a.ids != b:
                     self.differ.add(w)
