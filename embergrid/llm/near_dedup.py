@@ -94,7 +94,8 @@ def signature(shingles: np.ndarray, counts: np.ndarray, size: int = SIZE) -> np.
         steps = np.arange(drawn, drawn + t, dtype=np.uint64) * np.uint64(3)
         r = mix(seed[:, None] + steps * _MIX[1])
         gap = -np.log(((r >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / (size * width)[:, None]
-        points = x[:, None] + np.cumsum(gap, axis=1)
+        # one running sum from the first gap on, so that equal points of two bags are equal to the last bit
+        points = np.cumsum(np.column_stack([x, gap]), axis=1)[:, 1:]
         r = mix(r)
         part = (r >> np.uint64(32)).astype(np.int64) % size
         level = np.floor(base[:, None] + (r & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * width[:, None])
