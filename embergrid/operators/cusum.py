@@ -198,3 +198,29 @@ def reset_pixels(state: DataFrame, pixels: DataFrame, cfg: CusumConfig = CusumCo
     """State with the given pixels (pixel_id) as never seen."""
     fresh = first_state(state.join(pixels, "pixel_id", "left_semi").select("pixel_id"), cfg)
     return state.join(pixels, "pixel_id", "left_anti").unionByName(fresh)
+
+
+def to_detections(out: DataFrame, source: str = "HIMAWARI_CUSUM") -> DataFrame:
+    """Detection records of the candidates, all of low confidence (needs lat, lon, obs_time, bt7 and is_day)."""
+    from embergrid.functions.records import grid_source_id
+
+    return out.where("candidate").select(
+        grid_source_id(source, F.col("lat"), F.col("lon"), F.col("obs_time")).alias("source_id"), F.lit("HIMAWARI").alias("source"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
+        F.col("obs_time").alias("acq_datetime"), F.lit("low").alias("confidence"), F.col("bt7").alias("brightness"), F.when(F.col("is_day"), "D").otherwise("N").alias("daynight"),
+    )
+
+
+def predicted_btd(btd: Column, z: Column, is_day: Column, cfg: CusumConfig = CusumConfig()) -> Column:
+    """What the model had expected, taken back from the score with the noise alone (an approximation)."""
+    return btd - F.coalesce(z, F.lit(0.0)) * F.sqrt(F.when(is_day, cfg.noise.day).otherwise(cfg.noise.night))
+
+
+def save_state(state: DataFrame, path: str, frame_no: int, version: int = 3) -> None:
+    """A state table by version and frame; earlier frames stay, so that a failed write loses nothing."""
+    state.select(*[c.split()[0] for c in STATE.split(", ")]).write.mode("overwrite").parquet(f"{path}/version={version}/frame_no={frame_no}")
+
+
+def load_state(spark, path: str, grid: DataFrame, frame_no: int, version: int = 3, cfg: CusumConfig = CusumConfig()) -> DataFrame:
+    """State of the grid's pixels at a frame; pixels that it lacks start anew, those off the grid go."""
+    state = spark.read.schema(STATE).parquet(f"{path}/version={version}/frame_no={frame_no}").join(grid.select("pixel_id"), "pixel_id", "left_semi")
+    return state.unionByName(first_state(grid.select("pixel_id").join(state.select("pixel_id"), "pixel_id", "left_anti"), cfg))

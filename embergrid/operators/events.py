@@ -138,3 +138,9 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
+
+
+def ingest_summary(stored: DataFrame, batch: DataFrame, key: str = "source_id") -> DataFrame:
+    """One row: rows of the batch, those that are new, and duplicates (stored before, or repeated in the batch)."""
+    fresh = batch.select(key).distinct().join(stored.select(key), key, "left_anti").agg(F.count("*").alias("new"))
+    return batch.agg(F.count("*").alias("total")).crossJoin(fresh).select("total", "new", (F.col("total") - F.col("new")).alias("duplicates"))  # one row each

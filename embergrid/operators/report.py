@@ -40,3 +40,14 @@ def markdown_rows(events: DataFrame) -> DataFrame:
     frp = F.when(F.col("max_frp").isNull() | (F.col("max_frp") == 0), "—").otherwise(F.format_string("%.1f", "max_frp"))
     cells: list[Column] = [F.col("event_seq").cast("string"), F.col("status"), F.format_string("%.4f", "centroid_lat"), F.format_string("%.4f", "centroid_lon"), F.col("detection_count").cast("string"), frp, F.col("source_set")]
     return events.select("event_seq", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def save_report(events: DataFrame, path: str, report_date: str) -> None:
+    """A day's report: features with circles, the table's lines, and counts by status, each as files under one folder.
+
+    The date labels the report; it does not select events.
+    """
+    base = f"{path.rstrip('/')}/report_date={report_date}"
+    write_collection(events, f"{base}/features", with_circle=True)
+    markdown_rows(events).orderBy("event_seq").select("line").write.mode("overwrite").text(f"{base}/table")
+    status_counts(events).coalesce(1).write.mode("overwrite").json(f"{base}/status")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from embergrid.config import PersistenceConfig
 from embergrid.functions import geo, records, solar
-from embergrid.operators import contextual, cusum, events, masks, merge, report, validate
+from embergrid.operators import calibration, contextual, cusum, events, lifecycle, masks, merge, report, validate
 from embergrid.operators import persistence as persist
 from embergrid.operators import series as ops
 from embergrid.operators.spatial import spatial_join
@@ -529,3 +529,69 @@ def segment_completeness(spark, d):
     return feeds.complete_frames(feeds.segments(table(spark, d, "events").select(name.alias("path"))))
 
 
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(DISTINCT l_orderkey) FILTER (l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) AS BIGINT) AS new, CAST(count(*) - count(DISTINCT l_orderkey) FILTER (l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) AS BIGINT) AS duplicates FROM lineitem")
+def ingest_summary(spark, d):
+    stored = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return events.ingest_summary(stored, table(spark, d, "lineitem"), "l_orderkey")
+
+
+@query(f"""WITH {v.DET}, {v.TRUTH}, d AS (SELECT t.truth_id, d.det_id, sqrt(pow(t.lat_u / 1e6 - d.lat_u / 1e6, 2) + pow(t.lon_u / 1e6 - d.lon_u / 1e6, 2)) AS far FROM truth t JOIN det d ON abs(t.lat_u - d.lat_u) <= 50001 AND abs(t.lon_u - d.lon_u) <= 50001)
+SELECT t.truth_id, m.m.det_id AS det_id, round(m.m.far, 9) AS far FROM truth t LEFT JOIN (SELECT truth_id, min({{'far': far, 'det_id': det_id}}) AS m FROM d WHERE far <= 0.05 GROUP BY 1) m USING (truth_id)""")
+def nearest_pixel(spark, d):
+    grid = _right(v.det(spark, d), F.col("det_id").alias("row"), F.lit(0).alias("col"))
+    out = calibration.nearest_pixel(_place(v.truth(spark, d)).select(F.col("truth_id").alias("label"), "lat", "lon"), grid, 0.05)
+    return out.select(F.col("label").alias("truth_id"), F.col("row").alias("det_id"), F.round("pixel_dist_deg", 9).alias("far"))
+
+
+@query(f"WITH {v.DET}, {v.TRUTH} SELECT truth_id FROM truth WHERE first_day BETWEEN (SELECT min(day) - 1 FROM det WHERE frame_no = 3) AND (SELECT max(day) + 1 FROM det WHERE frame_no = 3)")
+def eligible_truth(spark, d):
+    t = v.truth(spark, d).withColumn("first_dt", F.col("first_day"))
+    return calibration.eligible_truth(t, v.det(spark, d).where("frame_no = 3").select(F.col("day").alias("obs_time"))).select("truth_id")
+
+
+@query(f"WITH {v.SITES} SELECT seq, row_number() OVER (PARTITION BY site, minute // 1000 ORDER BY CASE confidence WHEN 'high' THEN 2 WHEN 'nominal' THEN 1 ELSE 0 END DESC, seq) > 1 AS derived FROM sites")
+def provenance_dedup(spark, d):
+    members = _members(spark, d).withColumn("observation_key", F.floor(F.col("minute") / 1000))
+    return lifecycle.provenance(members).select("seq", "derived")
+
+
+@query(f"""WITH {PASSES} SELECT event_seq, CASE WHEN status = 'PROVISIONAL' AND detection_count % 3 >= 2 AND (5002 - last_minute) / 60 >= 6 THEN 'RETRACTED' WHEN (5002 - last_minute) / 60 >= 12 THEN 'CLOSED'
+WHEN status = 'CONFIRMED' AND (5002 - last_minute) / 60 > 1 THEN 'MONITORING' ELSE status END AS status FROM ev""")
+def event_lifecycle(spark, d):
+    as_of = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + 5002 * 60)
+    ev = _events(spark, d).withColumn("missed_frames", F.col("detection_count") % 3)
+    return lifecycle.transitions(ev, as_of).select("event_seq", "status")
+
+
+@query(f"""WITH {VALID}, met AS (SELECT c.frame_id, c."row", c.col, CAST(b.btd AS DOUBLE) AS x FROM bg c JOIN bg b ON c.frame_id = b.frame_id AND abs(c."row" - b."row") <= 5 AND abs(c.col - b.col) <= 5 WHERE c.candidate AND b.background),
+mid AS (SELECT frame_id, "row", col, median(x) AS median, count(*) AS n FROM met GROUP BY ALL HAVING count(*) >= 10) SELECT frame_id, "row", col, n, median, median(abs(x - median)) AS mad FROM met JOIN mid USING (frame_id, "row", col) GROUP BY ALL""")
+def mad_background(spark, d):
+    return lifecycle.mad_background(contextual.classify(_valid(spark, d), scale=100.0))
+
+
+@query(f"WITH {v.DET} SELECT det_id, round_even(lat_u / 1e6 * 20, 0) / 20 AS lat, round_even(lon_u / 1e6 * 20, 0) / 20 AS lon FROM det")
+def snap_grid(spark, d):
+    p = _place(v.det(spark, d))
+    return p.select("det_id", records.snap(F.col("lat")).alias("lat"), records.snap(F.col("lon")).alias("lon"))
+
+
+@query(f"""WITH {PASSES} SELECT event_seq, '| ' || event_seq || ' | ' || status || ' | ' || detection_count || ' | ' || CASE WHEN max_frp IS NULL OR max_frp = 0 THEN '—' ELSE max_frp || '.0' END || ' | ' || source_set || ' |' AS line FROM ev""")
+def markdown_table(spark, d):
+    rows = report.markdown_rows(_events(spark, d).withColumn("max_frp", F.col("max_frp").cast("double")))
+    return rows.select("event_seq", F.regexp_replace("line", r" \| -\d+\.\d{4} \| \d+\.\d{4}", "").alias("line"))
+
+
+@query()
+def calibration_series(spark, d):
+    s = v.series(spark, d).select(F.col("user_id").cast("string").alias("label"), F.timestamp_seconds("t").alias("obs_time"), (F.col("z100") / 100.0).alias("btd"), (~F.col("clear")).cast("int").alias("cloud_flag"), (F.col("ord") % 2 == 0).alias("is_day"), F.lit(147.0).alias("lon"))
+    return calibration.follow_targets(s)
+
+
+@query()
+def cusum_heatmap(spark, d):
+    from embergrid.config import CusumConfig
+
+    out = cusum.run_series(_kalman_input(spark, d), CusumConfig(require_adjacent=False, min_clear=5))
+    return cusum.heatmap(out, floor=0.00001)
