@@ -11,12 +11,13 @@ class may differ between regular-expression engines, are encoded whole by the li
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from collections import Counter
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,11 +25,42 @@ from pyspark.sql import types as T
 from embergrid.llm.common import map_texts
 from embergrid.llm.sentencepiece_codec import LEARN, SLICE, THREADS, Recent
 
-#: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_SPLIT = regex.compile(PATTERN).findall
-#: UTF-8 lead bytes from here on begin U+0500 and above; below, both engines class all characters alike (tested).
-SAFE_BELOW = 0xD4
+#: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind, over classes L, N and S.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+#: Classes are written out for the characters below; texts with others go to the library whole. UTF-8 begins those
+#: characters with bytes below 0xD4.
+BELOW, LEAD = 0x500, 0xD4
+
+
+def _classes() -> dict[str, str]:
+    """Letters, numbers and white space below the bound, as ranges of a character class."""
+    out = {"S": r"\t-\r \x85\xa0"}
+    for kind in "LN":
+        points = [cp for cp in range(BELOW) if unicodedata.category(chr(cp))[0] == kind]
+        starts = [cp for cp in points if cp - 1 not in points]
+        ends = [cp for cp in points if cp + 1 not in points]
+        out[kind] = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+    return out
+
+
+def compiled() -> re.Pattern:
+    return re.compile(PATTERN.format(**_classes()))
+
+
+_SPLIT = compiled().findall
+
+
+def _byte_names() -> list[str]:
+    """The character by which byte-level vocabularies write each byte: printable ones as they are, others from U+0100 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    names = {b: chr(b) for b in kept}
+    for b in range(256):
+        if b not in names:
+            names[b] = chr(256 + len(names) - len(kept))
+    return [names[b] for b in range(256)]
+
+
+_NAMES = str.maketrans({b: c for b, c in enumerate(_byte_names())})
 
 
 class Tiers:
@@ -50,15 +82,20 @@ class Tiers:
         parts = (texts[at : at + LEARN] for at in range(0, len(texts), LEARN))
         return [len(e) for part in parts for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
 
+    def pieces(self, words: list[str]) -> list[int]:
+        """Token counts of single pre-tokens, by the library's merge model alone."""
+        merge = self.tok.model.tokenize
+        return [len(merge(w.encode().decode("latin-1").translate(_NAMES))) for w in words]
+
     def plain(self, text: str, data: bytes) -> bool:
         """Whether the pre-token pattern may cut the text."""
-        return (data.isascii() or int(np.frombuffer(data, np.uint8).max()) < SAFE_BELOW) and not any(a in text for a in self.added)
+        return (data.isascii() or int(np.frombuffer(data, np.uint8).max()) < LEAD) and not any(a in text for a in self.added)
 
     def count(self, texts: list[str], datas: list[bytes]) -> list[int]:
         cut = [_SPLIT(t) if self.plain(t, d) else None for t, d in zip(texts, datas, strict=True)]
         words = set(chain.from_iterable(c for c in cut if c)) - self.frequent.keys()
         new = self.cache.missing(words)
-        self.cache.new.update(zip(new, self.encoded(new), strict=True))
+        self.cache.new.update(zip(new, self.pieces(new), strict=True))
         known = _Both(self.frequent, self.cache.new)
         whole = iter(self.encoded([t for t, c in zip(texts, cut, strict=True) if c is None]))
         return [next(whole) if c is None else sum(map(known.__getitem__, c)) for c in cut]
@@ -88,7 +125,7 @@ def _worker(path: str, held) -> Tiers:
 def frequent_pretokens(df: DataFrame, path: str, size: int = 8192, per_task: int = 2048, counters: int = 65_536, text_col: str = "text") -> dict[str, int]:
     """Frequent pre-tokens over all texts, with their token counts: the words between spaces that are letters alone.
 
-    Each task keeps a frequency sketch of at most ``counters`` entries (when it is full, the lower half goes) and
+    Each task keeps a frequency sketch of at most ``counters`` entries (when it is full, the rarest go) and
     returns its ``per_task`` leading ones; the merged table of at most ``size`` entries reaches the driver.
     """
 
@@ -98,15 +135,17 @@ def frequent_pretokens(df: DataFrame, path: str, size: int = 8192, per_task: int
             for text in batch.column(0).to_pylist():
                 if text:
                     seen.update(text.split(" "))
-                    if len(seen) > counters:
-                        seen = Counter(dict(seen.most_common(counters // 2)))
+                    floor = 1
+                    while len(seen) > (counters if floor == 1 else counters // 2):
+                        seen = Counter({w: n for w, n in seen.items() if n > floor})
+                        floor *= 2
         top = [(" " + w, n) for w, n in seen.most_common(2 * per_task) if n > 1 and len(w) <= 64 and w.isalpha()][:per_task]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
     parts = df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(summarise, "word string, n long")
     rows = parts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).toArrow()
     words = [w for w in rows["word"].to_pylist() if _SPLIT(w) == [w]]
-    return dict(zip(words, Tiers(path, {}).encoded(words), strict=True))
+    return dict(zip(words, Tiers(path, {}).pieces(words), strict=True))
 
 
 def token_counts(df: DataFrame, path: str, frequent: dict[str, int], limit: int = 1024, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
