@@ -12,7 +12,8 @@ their signatures, so that no link between different texts of one band is lost. C
 Defined cases: words are lower-cased runs of ASCII letters, digits and non-ASCII characters; a text of one to four words
 is one shingle; texts without a word are alike only if equal; null is a text of its own, equal to other nulls; equal word
 sequences are one text (named by 64 bits of their digest); repeated rows fall in one class; a class is named by its least
-doc_id, and a null doc_id is never that name unless the class has no other.
+doc_id, and a null doc_id is never that name unless the class has no other; texts that occur only without an id are
+compared for equality alone.
 """
 
 from __future__ import annotations
@@ -195,8 +196,8 @@ def near_dedup(df: DataFrame, similarity: float = 0.8, text_col: str = "text", i
     """
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     signed = cut(map_texts(docs, _signed, _SIGNED))
-    texts = signed.groupBy("id").agg(F.min(F.struct("doc_id", "bands", "s0", "s1", "s2", "s3")).alias("x")).select("id", "x.*")
-    texts = cut(texts)
+    texts = signed.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "bands", "s0", "s1", "s2", "s3")).alias("x"))
+    texts = cut(texts.select("id", *[f"x.{c}" for c in ("doc_id", "bands", "s0", "s1", "s2", "s3")]))
     sketches = texts.select("id", "s0", "s1", "s2", "s3")
     exploded = texts.select("id", F.explode("bands").alias("band"))
     full = exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -208,7 +209,8 @@ def near_dedup(df: DataFrame, similarity: float = 0.8, text_col: str = "text", i
     star = shared.join(heads, "band").where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     star = cut(star.join(sketches.alias("p"), F.col("a") == F.col("p.id")).join(sketches.alias("q"), F.col("b") == F.col("q.id")).where(_near("p", "q")).select("a", "b"))
     wanted = shared.select("id").distinct().join(texts.select("id", "doc_id"), "id")
-    bags = cut(map_texts(docs.join(wanted, "doc_id"), _bags, T.StructType([T.StructField("bag", T.ArrayType(T.LongType()))]), carry=("id",)).dropDuplicates(["id"]) if _repeats(signed) else map_texts(docs.join(wanted, "doc_id"), _bags, T.StructType([T.StructField("bag", T.ArrayType(T.LongType()))]), carry=("id",)))
+    bags = map_texts(docs.join(wanted, "doc_id"), _bags, T.StructType([T.StructField("bag", T.ArrayType(T.LongType()))]), carry=("id",))
+    bags = cut(bags.dropDuplicates(["id"]) if _repeats(signed) else bags)
     edges = cut(verified(star, bags, similarity))
     labels = components(edges)
     member = shared.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
