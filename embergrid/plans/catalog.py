@@ -185,7 +185,10 @@ def spatial_anti_join(spark, d):
     return spatial_join(_place(v.det(spark, d)), _right(v.truth(spark, d)), 5.0, "left_anti").select("det_id")
 
 
-_METHOD = F.when(F.col("confidence") == "high", "both").when(F.col("source") == "HIMAWARI", "cusum").otherwise("contextual")
+def _method():
+    return F.when(F.col("confidence") == "high", "both").when(F.col("source") == "HIMAWARI", "cusum").otherwise("contextual")
+
+
 _METHOD_SQL = "CASE WHEN confidence = 'high' THEN 'both' WHEN source = 'HIMAWARI' THEN 'cusum' ELSE 'contextual' END"
 MATCH = f"""{v.DET}, {v.TRUTH}, hits AS (SELECT t.truth_id, d.det_id, d.day, {_METHOD_SQL} AS method FROM truth t JOIN det d ON {v.near_sql('t', 'd', 5.0)}),
 firsts AS (SELECT truth_id, min({{'day': day, 'det_id': det_id, 'method': method}}) AS f, count(*) FILTER (method IN ('contextual', 'both')) AS n_ctx, count(*) FILTER (method IN ('cusum', 'both')) AS n_cus FROM hits GROUP BY 1),
@@ -195,7 +198,7 @@ alarms AS (SELECT det_id FROM det d WHERE NOT EXISTS (SELECT 1 FROM truth t WHER
 
 
 def _matched(spark, d):
-    dets = _right(v.det(spark, d).withColumn("method", _METHOD).withColumn("level", F.lit(1)), "det_id", F.col("day").alias("obs_time"), "method", "level")
+    dets = _right(v.det(spark, d).withColumn("method", _method()).withColumn("level", F.lit(1)), "det_id", F.col("day").alias("obs_time"), "method", "level")
     t = _place(v.truth(spark, d)).withColumn("first_dt", F.col("first_day"))
     return validate.match_truth(t, dets)
 
