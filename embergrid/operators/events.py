@@ -112,7 +112,9 @@ def rollup(members: DataFrame, cfg: EventConfig = EventConfig()) -> DataFrame:
 
 def numbered(events: DataFrame, offset: int = 0) -> DataFrame:
     """Ids in order of creation. Creation numbers are unique, so ranges can be counted apart: no single sorting task."""
-    parts = events.repartitionByRange("event_seq").sortWithinPartitions("event_seq").withColumn("__part", F.spark_partition_id())
+    from embergrid.sources.tables import cut
+
+    parts = cut(events.repartitionByRange("event_seq").withColumn("__part", F.spark_partition_id()))
     local = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy("event_seq")))
     sizes = parts.groupBy("__part").count()
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__part") < F.col("a.__part"), "left").groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("__first"))
