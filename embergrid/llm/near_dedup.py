@@ -23,7 +23,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,8 +161,12 @@ def _bags(texts: list[str | None]) -> dict[str, pa.Array]:
 def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) whose bags overlap enough, by the whole bags."""
     both = pairs.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b").join(bags.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a")
-    shared = F.size(F.array_intersect("bag_a", "bag_b"))
-    return both.where(shared >= F.lit(similarity) * (F.size("bag_a") + F.size("bag_b") - shared)).select("a", "b")
+    return both.where(_alike(F.col("bag_a"), F.col("bag_b"), similarity)).select("a", "b")
+
+
+def _alike(a: Column, b: Column, similarity: float) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return shared >= F.lit(similarity) * (F.size(a) + F.size(b) - shared)
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -215,13 +219,13 @@ def near_dedup(df: DataFrame, similarity: float = 0.8, text_col: str = "text", i
     labels = components(edges)
     member = shared.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
     mixed = member.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
-    open_ = cut(member.join(mixed, "band").join(sketches, "id"))
+    # pairs that fail are turned down inside the join: no row is made for them, and each pair is judged in one band
+    open_ = cut(member.join(mixed, "band").join(texts.select("id", "bands", "s0", "s1", "s2", "s3"), "id").join(bags, "id"))
     p, q = open_.alias("p"), open_.alias("q")
-    cross = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.label") != F.col("q.label")) & _near("p", "q"))
-    cross = cross.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = cross.join(tried, ["a", "b"], "left_anti")
-    more = cut(verified(cross, bags, similarity))
+    apart = (F.col("p.band") == F.col("q.band")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.label") != F.col("q.label"))
+    once = F.array_min(F.array_intersect("p.bands", "q.bands")) == F.col("p.band")
+    more = p.join(q, apart & _near("p", "q") & once & _alike(F.col("p.bag"), F.col("q.bag"), similarity))
+    more = cut(more.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")))
     if more.limit(1).count():
         labels = components(edges.union(more))
     home = signed.select("doc_id", "id").join(labels, "id", "left").select("doc_id", F.coalesce("label", "id").alias("label"))
