@@ -6,6 +6,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
@@ -46,9 +47,11 @@ def duck(sf):
 def rows(df) -> list[tuple]:
     """Rows of a pandas frame, columns by name, values as comparable text."""
     def text(v):
-        if v is None or v != v:
+        if v is None or (not hasattr(v, "__len__") and pd.isna(v)):
             return "null"
-        return f"{v:.6g}" if isinstance(v, float) else str(v)
+        if isinstance(v, float):  # whole numbers of a column with nulls, too
+            return str(int(v)) if v.is_integer() else f"{v:.6g}"
+        return str(v)
 
     return sorted(tuple(text(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
