@@ -133,6 +133,14 @@ def known_notices() -> dict[str, str]:
     return rows
 
 
+def openings_pattern() -> str:
+    """A pattern for canonical lines, before respelling, that begin as a known notice does, in any of the equal spellings."""
+    heads = {canonical(form.format("")) for form in OPENINGS}
+    for old, new in EQUIVALENT:
+        heads = {h.replace(new, f"(?:{old}|{new})") for h in heads}
+    return "^(?:" + "|".join(sorted(heads)) + ") "
+
+
 def license_scan(df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Append text_digest (null for an empty form), license_id of the whole text, and notices (sorted licences named by
     whole lines) with n_notices.
@@ -147,10 +155,11 @@ def license_scan(df: DataFrame, text_col: str = "text", carry: tuple[str, ...] =
     notices = known_notices()
     lookup = F.create_map(*[F.lit(x) for pair in sorted(notices.items()) for x in pair])
     widest = max(len(canonical(o.format("the " + x))) for o in OPENINGS for called in NAMES.values() for x in called)
+    begins = openings_pattern()
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n"), canonical_line), lambda x: x != "")
     work = df.select(*carried, lines.alias("__lines"))
     whole = respell(F.concat_ws(" ", "__lines"))
-    short = F.filter("__lines", lambda x: (F.length(x) <= widest + 16) & x.contains("licen"))
+    short = F.filter("__lines", lambda x: (F.length(x) <= widest + 16) & x.rlike(begins))
     named = F.transform(short, lambda x: F.element_at(lookup, F.sha2(respell(x), 256)))
     work = work.select(
         *carried,

@@ -172,6 +172,13 @@ def test_op4_column_form_equals_python_form(spark):
     assert [r.text_digest for r in got] == [lic.digest(t) for t in known]
 
 
+def test_op4_finds_every_known_notice(spark):
+    known = [(f.format(a + x), n) for n, called in lic.NAMES.items() for x in called for f in lic.OPENINGS for a in ("", "the ")]
+    known += [(t.replace("icense", "icence").replace("NonCommercial", "Non-Commercial"), n) for t, n in known]
+    got = lic.license_scan(frame(spark, [f"a\n{t}.\nb" for t, _ in known])).orderBy("doc_id").collect()
+    assert [(t, r.notices) for (t, _), r in zip(known, got, strict=True)] == [(t, [n]) for t, n in known]
+
+
 def test_op5_equals_the_library(spark, texts):
     from tokenizers import Tokenizer
 
