@@ -16,13 +16,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from embergrid.llm.common import crc_of_id, map_texts, smallest_per_group
+from embergrid.llm.common import crc_of_id, cut, map_texts, smallest_per_group
 
 BLOCK = 2048
+SPAN = 256
 GAP, OTHER = 0, 1  # symbols: a run of non-letters; a letter that no language has
 
 
@@ -50,8 +51,8 @@ def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], np.bincount(owner[keep], minlength=len(texts))
 
 
-def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the automaton of all substrings: state x symbol -> state, -1 for none; the root is 0."""
+def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of the automaton of all substrings, symbol -> state for each state; the root is 0."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for s in map(int, symbols):
@@ -83,22 +84,43 @@ def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.full((len(nxt), width), -1, np.int32)
-    for i, row in enumerate(nxt):
+    return nxt
+
+
+def displaced(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each state, owner, target): the rows laid over each other without a clash, so that the table grows with
+    the transitions, not with states times symbols. ``owner[place + symbol]`` is the state's own place where it has the
+    transition, and ``target`` the next state's place; no two states have one place.
+    """
+    room = 2 * sum(map(len, rows)) + len(rows) + 1
+    place, taken, used, end, draw = [0] * len(rows), set(), set(), room + width, 1
+    for i in sorted(range(len(rows)), key=lambda i: -len(rows[i])):
+        for _ in range(64):
+            draw = draw * 6364136223846793005 + 1442695040888963407 & 0xFFFFFFFFFFFFFFFF
+            at = (draw >> 16) % room
+            if at not in taken and all(at + s not in used for s in rows[i]):
+                break
+        else:  # too wide a row for the gaps: behind the end
+            at, end = end, end + width
+        place[i] = at
+        taken.add(at)
+        used.update(at + s for s in rows[i])
+    owner, target = np.full(end + width, -1, np.int64), np.zeros(end + width, np.int64)
+    for at, row in zip(place, rows, strict=True):
         for s, t in row.items():
-            out[i, s] = t
-    return out
+            owner[at + s], target[at + s] = at, place[t]
+    return np.array(place, np.int64), owner, target
 
 
 @dataclass(frozen=True)
 class ParseModel:
-    """One joint transition table (the languages' automata one after the other) over ``alphabet`` symbols."""
+    """The languages' automata over ``alphabet`` symbols, each in a sparse table of its own, one behind the other."""
 
     languages: tuple[str, ...]
     alphabet: np.ndarray  # sorted code points, symbol = position + 2
-    table: np.ndarray  # flat: state * width + symbol -> state * width, or -1
-    roots: np.ndarray  # state * width of each language
-    width: int
+    owner: np.ndarray  # place + symbol -> the place, if the state there has the transition
+    target: np.ndarray  # place + symbol -> the next state's place
+    roots: np.ndarray  # place of each language's root
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
         names = np.full(0x110000, OTHER, np.int32)
@@ -106,6 +128,10 @@ class ParseModel:
         names[0] = GAP
         return names[points]
 
+    def step(self, state: np.ndarray, s: np.ndarray) -> np.ndarray:
+        at = state + s
+        return np.where(self.owner[at] == state, self.target[at], -1)
+
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text in each language, and the text's letters."""
         points, n_sym = letters(texts)
@@ -130,11 +156,11 @@ class ParseModel:
         for step in range(int(size[0])):
             n = lanes[step]
             s = sym[start[:n] + step]
-            now = self.table[state[:, :n] + s]
+            now = self.step(state[:, :n], s)
             begins = (now < 0) | fresh[:, :n]
             if begins.any():
                 made[:, :n] += begins
-                now = np.where(now < 0, self.table[roots + s], now)
+                now = np.where(now < 0, self.step(roots, s), now)
                 alone = now < 0  # no phrase of the language begins so: the symbol is one of its own
                 fresh[:, :n] = alone
                 now = np.where(alone, roots, now)
@@ -158,46 +184,62 @@ class ParseModel:
         return ["und" if none[i] else self.languages[b] for i, b in enumerate(best)], score
 
 
-def build_model(texts_by_lang: dict[str, list[str]], chars: int = 24_000) -> ParseModel:
-    """Compile at most ``chars`` symbols of text per language, in the order given."""
-    points = {}
-    for lang in sorted(texts_by_lang):
-        p, _ = letters(["\n".join(texts_by_lang[lang])])
-        points[lang] = p[:chars]
+def build_model(texts_by_lang: dict[str, list[str]]) -> ParseModel:
+    """Compile all the texts given; a language without a letter in them is not learned."""
+    points = {lang: letters(["\n".join(texts_by_lang[lang])])[0] for lang in sorted(texts_by_lang)}
     points = {k: v for k, v in points.items() if (v != 0).any()}
-    alphabet = np.unique(np.concatenate([v[v != 0] for v in points.values()])) if points else np.zeros(0, np.uint32)
-    width = len(alphabet) + 2
-    model = ParseModel(tuple(points), alphabet, np.zeros(0, np.int32), np.zeros(0, np.int32), width)
-    tables, roots, at = [], [], 0
+    alphabet = np.unique(np.concatenate([np.unique(v[v != 0]) for v in points.values()])) if points else np.zeros(0, np.uint32)
+    none = np.zeros(0, np.int64)
+    model = ParseModel(tuple(points), alphabet, none, none, none)
+    owners, targets, roots, at = [], [], [], 0
     for p in points.values():
-        t = suffix_automaton(model.symbols(p), width)
-        tables.append(np.where(t < 0, -1, (t + at) * width))
-        roots.append(at * width)
-        at += len(t)
-    flat = np.concatenate(tables).ravel().astype(np.int32) if tables else np.zeros(0, np.int32)
-    return ParseModel(tuple(points), alphabet, flat, np.array(roots, np.int32), width)
+        place, owner, target = displaced(suffix_automaton(model.symbols(p)), len(alphabet) + 2)
+        owners.append(np.where(owner < 0, -1, owner + at))
+        targets.append(target + at)
+        roots.append(place[0] + at)
+        at += len(owner)
+    if not points:
+        return model
+    return ParseModel(tuple(points), alphabet, np.concatenate(owners), np.concatenate(targets), np.array(roots, np.int64))
+
+
+def shares(sizes: list[int], total: int) -> list[int]:
+    """What each text may teach: short ones all, longer ones an equal share of the rest."""
+    out, left = [0] * len(sizes), total
+    for k, i in enumerate(sorted(range(len(sizes)), key=lambda i: sizes[i])):
+        out[i] = min(sizes[i], left // (len(sizes) - k))
+        left -= out[i]
+    return out
+
+
+def spread(text: Column, share: Column) -> Column:
+    """``share`` characters of a text, in spans of up to ``SPAN`` that lie evenly over the whole of it."""
+    n, spans = F.length(text), F.ceil(share / SPAN).cast("int")
+    size = F.floor(share / spans).cast("int")
+    start = lambda i: F.floor(i * (n - size) / F.greatest(spans - 1, F.lit(1))).cast("int") + 1
+    cut_up = F.transform(F.sequence(F.lit(0), spans - 1), lambda i: F.substring(text, start(i), size))
+    return F.when(n <= share, F.array(text)).when(share > 0, cut_up).otherwise(F.array())
 
 
-def fit(df: DataFrame, docs_per_lang: int = 64, chars: int = 24_000, languages: int = 64) -> ParseModel:
-    """Fit on a bounded sample: per language the ``docs_per_lang`` documents outside the held-out fold with the
-    smallest hash of their text's id, ``chars`` letters of them, and the first ``languages`` languages by name.
+def fit(df: DataFrame, docs_per_lang: int = 64, chars: int = 24_000) -> ParseModel:
+    """Fit on a sample that is bounded per language: the ``docs_per_lang`` distinct texts outside the held-out fold with
+    the smallest hash, equal ones once, and ``chars`` symbols spread over them. Every language of the fold is learned.
     """
-    ids = (
-        df.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_of_id() % 4 != 2))
-        .select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    )
-    chosen = smallest_per_group(ids, "lang", [F.col("h"), F.col("doc_id")], docs_per_lang).orderBy("lang", "h", "doc_id").limit(docs_per_lang * languages)
-    rows = (
-        df.select("doc_id", "lang", F.substring("text", 1, chars).alias("text"))
-        .join(F.broadcast(chosen), ["doc_id", "lang"])
-        .orderBy("lang", "h", "doc_id", "text")
-        .limit(docs_per_lang * languages)
-        .toArrow()
-    )
+    spark = df.sparkSession
+    known = df.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_of_id() % 4 != 2)).select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
+    distinct = known.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
+    chosen = smallest_per_group(distinct, "lang", [F.col("h")], docs_per_lang)
+    squeezed = F.regexp_replace("text", r"\P{L}+", " ").alias("text")
+    texts = cut(known.join(F.broadcast(chosen), ["doc_id", "lang", "h"]).select("lang", "h", squeezed).dropDuplicates(["lang", "h"]))
+    sizes: dict[str, list[tuple[int, int]]] = {}
+    for r in texts.select("lang", "h", F.length("text").alias("n")).orderBy("lang", "h").toLocalIterator():
+        sizes.setdefault(r["lang"], []).append((r["h"], r["n"]))
+    rows = [(lang, h, m) for lang, of in sizes.items() for (h, _), m in zip(of, shares([n for _, n in of], chars), strict=True)]
+    share = F.broadcast(spark.createDataFrame(rows, "lang string, h long, share int"))
     by_lang: dict[str, list[str]] = {}
-    for lang, text in zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True):
-        by_lang.setdefault(lang, []).append(text)
-    return build_model(by_lang, chars)
+    for r in texts.join(share, ["lang", "h"]).select("lang", "h", spread(F.col("text"), F.col("share")).alias("spans")).orderBy("lang", "h").toLocalIterator():
+        by_lang.setdefault(r["lang"], []).extend(r["spans"])
+    return build_model(by_lang)
 
 
 def identify(df: DataFrame, model: ParseModel, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

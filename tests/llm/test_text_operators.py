@@ -157,6 +157,41 @@ def test_op3_blocks_and_held_out_accuracy(spark, monkeypatch):
     assert model.predict([None, "", "12 !"])[0] == ["und"] * 3
 
 
+def taught(n):
+    """The first n ids outside the held-out fold."""
+    return [i for i in range(2 * n + 20) if zlib.crc32(str(i).encode()) % 4 != 2][:n]
+
+
+def test_op3_long_and_repeated_texts_leave_room(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(6))
+    short = [" ".join(word() for _ in range(9)) for _ in range(10)]
+    hot, long = " ".join(word() for _ in range(300)), " ".join(word() for _ in range(9000)) + " last words of all"
+    texts = [hot] * 300 + [long] + short
+    rows = [(i, t, "x", "s", None) for i, t in zip(taught(len(texts)), texts, strict=True)]
+    model = lid.fit(spark.createDataFrame(rows, SCHEMA))
+    assert model.phrases(short)[0].ravel().tolist() == [1] * len(short)
+    assert model.phrases(["last words of all"])[0][0, 0] == 1
+
+
+def test_op3_learns_every_language(spark):
+    rnd = random.Random(6)
+    words = [["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(20)] for _ in range(70)]
+    ids = taught(70 * 66)
+    rows = [(ids[66 * k + j], " ".join(rnd.choice(words[k]) for _ in range(12)), f"l{k:02}", "s", None) for k in range(70) for j in range(66)]
+    model = lid.fit(spark.createDataFrame(rows, SCHEMA))
+    assert len(model.languages) == 70
+    assert model.predict([" ".join(w) for w in words])[0] == [f"l{k:02}" for k in range(70)]
+
+
+def test_op3_large_alphabets_stay_sparse():
+    rnd = random.Random(7)
+    texts = {k: "".join(chr(0x4E00 + rnd.randrange(20_000)) for _ in range(12_000)) for k in "ab"}
+    model = lid.build_model({k: [t] for k, t in texts.items()})
+    assert model.owner.nbytes + model.target.nbytes < 100 << 20
+    assert model.phrases([texts["a"]])[0][0, 0] == -(-12_000 // lid.BLOCK) and model.predict([texts["a"], texts["b"]])[0] == ["a", "b"]
+
+
 def test_op4_texts_and_notices(spark):
     mit = lic.TEXTS["MIT"]
     varied = "Copyright (c) 2024 Somebody\n\n" + mit.replace("MIT License\n", "").replace('"AS IS"', "''as is''").replace("COPYRIGHT HOLDERS", "copyright  holders").upper()
