@@ -154,7 +154,7 @@ def run_frames(state: DataFrame, frames: list[DataFrame], cfg: CusumConfig = Cus
     for frame in frames:
         out = cut(step(state, frame, cfg))
         unseen = state.join(out.select("pixel_id"), "pixel_id", "left_anti")
-        state = out.select(*names).unionByName(unseen.select(*names))
+        state = cut(out.select(*names).unionByName(unseen.select(*names)))
         yield out
 
 

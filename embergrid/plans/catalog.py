@@ -5,6 +5,7 @@ Each pair stands together: the query builds on the operators, the SQL states the
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from embergrid.operators import series as ops
 from embergrid.operators.spatial import spatial_join
 from embergrid.plans import views as v
 from embergrid.sources import feeds
-from embergrid.sources.tables import table
+from embergrid.sources.tables import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -339,12 +340,29 @@ def _kalman_input(spark, d):
     return px.select("pixel_id", "frame_id", "row", "col", F.lit(147.0).alias("lon"), (F.col("frame_id") * 86400 + 3600).cast("double").alias("t"), ((F.col("bt7") - F.col("bt14")) / 100).alias("btd"), (F.col("bt14") / 100).alias("bt14"), (~F.col("cloud")).alias("clear"), "is_day", F.col("is_water").alias("suppressed"))
 
 
+def _kalman_frames(spark, d):
+    """The whole model, all frames in order: neighbours decide which candidates count and are reset."""
+    from embergrid.config import CusumConfig
+
+    cfg, px = CusumConfig(min_clear=5), cut(_kalman_input(spark, d))
+    order = [r[0] for r in px.select("frame_id", "t").distinct().orderBy("t", "frame_id").collect()]
+    frames = [px.where(F.col("frame_id") == f) for f in order]
+    return functools.reduce(DataFrame.unionByName, cusum.run_frames(cusum.first_state(px.select("pixel_id").distinct(), cfg), frames, cfg))
+
+
+KALMAN_OUT = ("pixel_id", "frame_id", "z", "confidence", "s_slow", "s_fast", "n_obs", "candidate")
+
+
 @query()
 def kalman_cusum_full(spark, d):
+    return _kalman_frames(spark, d).select(*KALMAN_OUT)
+
+
+@query()
+def kalman_cusum_without_neighbours(spark, d):
     from embergrid.config import CusumConfig
 
-    out = cusum.run_series(_kalman_input(spark, d), CusumConfig(require_adjacent=False, min_clear=5))
-    return out.select("pixel_id", "frame_id", "z", "confidence", "s_slow", "s_fast", "n_obs", "candidate")
+    return cusum.run_series(_kalman_input(spark, d), CusumConfig(require_adjacent=False, min_clear=5)).select(*KALMAN_OUT)
 
 
 PASSES = f"""RECURSIVE {v.SITES}, o AS (SELECT site, minute, row_number() OVER (PARTITION BY site ORDER BY minute, seq) AS i FROM sites),
@@ -594,7 +612,4 @@ def calibration_series(spark, d):
 
 @query()
 def cusum_heatmap(spark, d):
-    from embergrid.config import CusumConfig
-
-    out = cusum.run_series(_kalman_input(spark, d), CusumConfig(require_adjacent=False, min_clear=5))
-    return cusum.heatmap(out, floor=0.00001)
+    return cusum.heatmap(_kalman_frames(spark, d), floor=0.00001)

@@ -155,6 +155,35 @@ def test_adjacent_candidates_are_reset(spark):
     assert out[0].s_slow == 0 and out[3].s_slow > 6
 
 
+def test_full_query_equals_a_sequential_pass_with_neighbours(spark):
+    import pandas as pd
+
+    from embergrid.plans import catalog
+
+    cfg, d = CusumConfig(min_clear=5), "/root/testdata/sf0.01"
+    names = [c.split()[0] for c in cusum.STATE.split(", ")]
+    px = catalog._kalman_input(spark, d).toPandas()
+    state = cusum.first_state(spark.createDataFrame(px[["pixel_id"]].drop_duplicates()), cfg).toPandas().set_index("pixel_id", drop=False)
+    want, lone = {}, 0
+    for _, f in px.groupby(["t", "frame_id"]):
+        f = f.set_index("pixel_id")
+        now = cusum.advance(state.loc[f.index].join(f), cfg).set_index("pixel_id", drop=False)
+        hot = {p for p in now.index if now.candidate[p] and not f.suppressed[p]}
+        at = {(f.row[p], f.col[p]) for p in hot}
+        kept = {p for p in hot if any((f.row[p] + i, f.col[p] + j) in at for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)}
+        lone += len(hot - kept)
+        now["candidate"] = [p in kept for p in now.index]
+        now.loc[list(kept), ["s_slow", "s_fast", "consecutive"]] = 0
+        state = pd.concat([state.drop(index=f.index), now[names]])
+        want |= {(r.pixel_id, r.frame_id): r for r in now.itertuples()}
+    got = catalog.QUERIES["kalman_cusum_full"](spark, d).collect()
+    assert lone > 0 and len(got) == len(want)
+    for r in got:
+        w = want[(r.pixel_id, r.frame_id)]
+        assert (r.n_obs, r.candidate) == (w.n_obs, w.candidate)
+        assert r.s_slow == pytest.approx(w.s_slow) and r.s_fast == pytest.approx(w.s_fast)
+
+
 def test_solar_noon_and_midnight(spark):
     df = spark.createDataFrame([(datetime(2026, 3, 20, 12), 0.0, 0.0), (datetime(2026, 3, 20, 0), 0.0, 0.0), (datetime(2026, 6, 21, 12), 23.4, 0.0)], "t timestamp, lat double, lon double")
     got = [r[0] for r in df.select(solar.solar_zenith(F.col("t"), F.col("lat"), F.col("lon"))).collect()]
