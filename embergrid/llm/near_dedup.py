@@ -12,8 +12,8 @@ their signatures, so that no link between different texts of one band is lost. C
 Defined cases: words are lower-cased runs of ASCII letters, digits and non-ASCII characters; a text of one to four words
 is one shingle; texts without a word are alike only if equal; null is a text of its own, equal to other nulls; equal word
 sequences are one text (named by 64 bits of their digest); repeated rows fall in one class; a class is named by its least
-doc_id, and a null doc_id is never that name unless the class has no other; texts that occur only without an id are
-compared for equality alone.
+doc_id, and a null doc_id is never that name unless the class has no other. No verdict needs doc_id to be a key: rows
+are told apart by id and text, and rows that agree in both have one verdict.
 """
 
 from __future__ import annotations
@@ -147,15 +147,17 @@ _SIGNED = T.StructType([T.StructField("id", T.LongType()), T.StructField("bands"
 
 
 def _bags(texts: list[str | None]) -> dict[str, pa.Array]:
-    """The bag as a set: a shingle's further occurrences under names of their own."""
-    rows = []
+    """Name and bag of each text, the bag as a set: a shingle's further occurrences under names of their own."""
+    rows, names = [], []
     for text in texts:
-        shingles, counts = bag(words_of(text))
+        words = words_of(text)
+        names.append(name_of(text, words))
+        shingles, counts = bag(words)
         nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         rows.append(mix(np.repeat(shingles, counts) + nth.astype(np.uint64) * _MIX[0]).view(np.int64))
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    return {"bag": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+    return {"id": pa.array(names, pa.int64()), "bag": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
 
 
 def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
@@ -194,14 +196,22 @@ def _near(a: str, b: str):
 
 
 def near_dedup(df: DataFrame, similarity: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per input row: doc_id, class_id (least doc_id of the class), n_class (its rows) and kept (it names the class).
+    """One row per input row: doc_id, class_id (least doc_id of the class), n_class (its rows) and kept (it names the class;
+    where the name stands on several texts, the one with the least hash).
+    """
+    return _verdicts(df, similarity, text_col, id_col)[0].select("doc_id", "class_id", "n_class", "kept")
+
+
+def _verdicts(df: DataFrame, similarity: float, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, bool]:
+    """The result with each row's text hash ``__key``, and whether doc_id is no key of the rows.
 
     Texts are read twice and cross the network once, for the texts that share a band; all else moves ids, bands or bags.
     """
-    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    signed = cut(map_texts(docs, _signed, _SIGNED))
-    texts = signed.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "bands", "s0", "s1", "s2", "s3")).alias("x"))
-    texts = cut(texts.select("id", *[f"x.{c}" for c in ("doc_id", "bands", "s0", "s1", "s2", "s3")]))
+    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("__key", F.xxhash64("text"))
+    signed = cut(map_texts(docs, _signed, _SIGNED, carry=("doc_id", "__key")))
+    repeats = _repeats(signed)
+    texts = signed.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key", "bands", "s0", "s1", "s2", "s3")).alias("x"))
+    texts = cut(texts.select("id", *[f"x.{c}" for c in ("doc_id", "__key", "bands", "s0", "s1", "s2", "s3")]))
     sketches = texts.select("id", "s0", "s1", "s2", "s3")
     exploded = texts.select("id", F.explode("bands").alias("band"))
     full = exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -212,9 +222,10 @@ def near_dedup(df: DataFrame, similarity: float = 0.8, text_col: str = "text", i
     heads = shared.groupBy("band").agg(F.max(F.struct("degree", "id")).alias("h")).select("band", F.col("h.id").alias("head"))
     star = shared.join(heads, "band").where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     star = cut(star.join(sketches.alias("p"), F.col("a") == F.col("p.id")).join(sketches.alias("q"), F.col("b") == F.col("q.id")).where(_near("p", "q")).select("a", "b"))
-    wanted = shared.select("id").distinct().join(texts.select("id", "doc_id"), "id")
-    bags = map_texts(docs.join(wanted, "doc_id"), _bags, T.StructType([T.StructField("bag", T.ArrayType(T.LongType()))]), carry=("id",))
-    bags = cut(bags.dropDuplicates(["id"]) if _repeats(signed) else bags)
+    # one row of each text, by its id and the text's hash; the bag goes under the name of the very text that it is made of
+    wanted = shared.select("id").distinct().join(texts.select("id", "doc_id", "__key"), "id").select("doc_id", "__key")
+    bags = map_texts(_semi(docs, wanted, repeats), _bags, T.StructType([T.StructField("id", T.LongType()), T.StructField("bag", T.ArrayType(T.LongType()))]), carry=())
+    bags = cut(bags.dropDuplicates(["id"]) if repeats else bags)
     edges = cut(verified(star, bags, similarity))
     labels = components(edges)
     member = shared.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
@@ -228,21 +239,36 @@ def near_dedup(df: DataFrame, similarity: float = 0.8, text_col: str = "text", i
     more = cut(more.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")))
     if more.limit(1).count():
         labels = components(edges.union(more))
-    home = signed.select("doc_id", "id").join(labels, "id", "left").select("doc_id", F.coalesce("label", "id").alias("label"))
-    names = home.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_class"))
-    return home.join(names, "label").select("doc_id", "class_id", "n_class", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    home = signed.select("doc_id", "__key", "id").join(labels, "id", "left").select("doc_id", "__key", F.coalesce("label", "id").alias("label"))
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    if repeats:
+        least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("x")
+        names = home.groupBy("label").agg(least, F.count("*").alias("n_class")).select("label", F.col("x.doc_id").alias("class_id"), F.col("x.__key").alias("__class_key"), "n_class")
+        kept = kept & (F.col("__key") == F.col("__class_key"))
+    else:
+        names = home.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_class"))
+    return home.join(names, "label").select("doc_id", "__key", "class_id", "n_class", kept.alias("kept")), repeats
+
+
+def _semi(docs: DataFrame, rows: DataFrame, repeats: bool, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` (with doc_id and __key) whose id and text hash are, or are not, among ``rows``."""
+    if not repeats:
+        return docs.join(rows.select("doc_id"), "doc_id", how)
+    r = rows.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__of"))
+    return docs.join(r, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), how)
 
 
 def _repeats(signed: DataFrame) -> bool:
-    """Whether a doc_id stands in several rows."""
-    n, distinct = signed.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    """Whether a doc_id stands in several rows or in none."""
+    n, distinct = signed.agg(F.count("*"), F.count_distinct("doc_id")).first()
     return n != distinct
 
 
 def drop_near_duplicates(df: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``df`` without those that a class keeps another row for. Rows without an id stay; of rows with one id
-    and equal columns one stays."""
-    verdict = near_dedup(df, similarity)
-    gone = verdict.where("doc_id is not null and not kept").select("doc_id").distinct()
-    out = df.join(gone, "doc_id", "left_anti")
-    return out.dropDuplicates() if _repeats(df) else out
+    """One row of each class of ``df``: the one that names it, whether or not ids are missing or stand on several texts."""
+    verdict, repeats = _verdicts(df, similarity)
+    if not repeats:
+        return _semi(df, verdict.where("not kept"), False, "left_anti")
+    gone = verdict.where("not kept").select("doc_id", "__key").distinct()
+    left = _semi(df.withColumn("__key", F.xxhash64("text")), gone, True, "left_anti")
+    return left.dropDuplicates(["doc_id", "__key"]).select(*df.columns)

@@ -355,6 +355,21 @@ def test_op9_classes_equal_components_of_true_links(spark):
     assert left == sorted({root(i) for i in range(len(some))})
 
 
+def test_op9_needs_no_key(spark):
+    rnd = random.Random(9)
+    prose = lambda: [f"w{rnd.randrange(500)}" for _ in range(120)]
+    near = lambda w: " ".join([*w[:-1], "end"])
+    a, b, c, d, e = (prose() for _ in range(5))
+    a0, b0, c0, d0, e0 = map(" ".join, (a, b, c, d, e))
+    rows = [(None, a0), (None, near(a)), (None, a0), (0, b0), (5, b0), (5, c0), (6, near(c)), (7, d0), (7, e0), (8, near(d)), (None, near(e)), (9, "x y"), (9, "x y")]
+    df = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], SCHEMA)
+    got = nd.near_dedup(df).groupBy("doc_id", "class_id", "n_class").count().collect()
+    assert set(map(tuple, got)) == {(None, None, 3, 3), (0, 0, 2, 1), (5, 0, 2, 1), (5, 5, 2, 1), (6, 5, 2, 1), (7, 7, 2, 2), (8, 7, 2, 1), (None, 7, 2, 1), (9, 9, 2, 2)}
+    left = [(r.doc_id, r.text) for r in nd.drop_near_duplicates(df).collect()]
+    assert len(left) == 6 and {(0, b0), (5, c0), (7, d0), (7, e0), (9, "x y")} < set(left)
+    assert [x for x in left if x[0] is None][0][1] in (a0, near(a))
+
+
 def plain_best_fit(sizes, shards, capacity):
     free = [capacity] * shards
     for s in sizes:
