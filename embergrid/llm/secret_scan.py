@@ -6,7 +6,8 @@ reversed automaton of that rule walks back to the leftmost start. Every rule mus
 (or in fixed text), so that runs of ends are matches.
 
 Defined cases: a null text is an empty one; matches of one rule never overlap, those of different rules may; offsets are
-code points with the end exclusive; matches too short for their rule are dropped after they took their characters.
+code points with the end exclusive; a private key reaches from its header through its END line (the text's end without
+one), and headers of certificates and public keys are no matches; matches too short for their rule are dropped after they took their characters.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ class Rule:
     pattern: str
     min_chars: int = 0  # of the match behind its head
     head: str = ""  # the match's unambiguous beginning that min_chars leaves out
+    until: str = ""  # a match goes on, over line ends, through the next of these, or to the text's end if there is none
 
 
 _KEYS = "(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api_?key")) + ")"
@@ -42,7 +44,7 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{6,}", 24),
     Rule("github", r"gh[opsu]_[A-Za-z0-9]+", 40),
-    Rule("private_key", r"-----BEGIN [A-Z ]+-----"),
+    Rule("private_key", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY( BLOCK)?-----", until=r"-----END [A-Z0-9 ]*PRIVATE KEY( BLOCK)?-----"),
 )
 
 
@@ -221,11 +223,12 @@ class Ready:
             raise ValueError("a rule crosses a line end")
         self.back = [(d, _shared(d.table)) for d in scanner.back]
         self.heads = [re.compile(r.head.encode()) for r in scanner.rules]
+        self.until = [re.compile(r.until.encode()) if r.until else None for r in scanner.rules]
 
     def ends(self, data: bytes, narrow: int = 24) -> list[tuple[int, int]]:
         """(end, state) wherever a match ends: the one pass over the bytes.
 
-        No rule crosses a line end, where every state goes back to the first (checked when the scanner is made), so the
+        No rule's pattern crosses a line end, where every state goes back to the first (checked when the scanner is made), so the
         lines advance together in numpy, the longest few of them at last alone.
         """
         a = np.frombuffer(data, np.uint8)
@@ -306,9 +309,14 @@ class Ready:
         for k, lasts in runs.items():
             low = 0
             for end in lasts:
+                if end <= low:  # inside a match that went on
+                    continue
                 start = self.starts(k, data, end, low)
                 if start < 0:
                     continue
+                if self.until[k]:
+                    close = self.until[k].search(data, end)
+                    end = close.end() if close else len(data)
                 low = end
                 if end - self.heads[k].match(data, start, end).end() >= self.rules[k].min_chars:
                     found.append((start, k, end))
@@ -351,7 +359,7 @@ def secret_scan(df: DataFrame, text_col: str = "text", carry: tuple[str, ...] =
     whose size depends on the rules alone."""
     scanner = scanner or build()
     held = df.sparkSession.sparkContext.broadcast(scanner)
-    patterns = tuple(r.pattern for r in scanner.rules)
+    patterns = scanner.rules
 
     def run(texts):
         if _WORKER.get("patterns") != patterns:

@@ -283,6 +283,14 @@ def test_op7_query_columns_and_redaction(spark):
     assert r.redacted_text == 'é [ASSIGN]" [ACCESS] [HEX]'
 
 
+def test_op7_private_keys_go_with_their_bodies(spark):
+    key = lambda kind, body: f"-----BEGIN {kind}-----\n{body}\n-----END {kind}-----"
+    public = key("CERTIFICATE", "MIIabc") + "\n" + key("PUBLIC KEY", "MIIdef")
+    some = [f"é a\n{key('RSA PRIVATE KEY', 'MIIx\nyz==')}\nb {key('PRIVATE KEY', 'q')} c", "x -----BEGIN EC PRIVATE KEY-----\nMII\n-----BEGIN PRIVATE KEY-----\nz", public, key("PGP PRIVATE KEY BLOCK", "v") + "\n" + public, "after"]
+    got = sec.secret_scan(frame(spark, some), with_text=True).orderBy("doc_id").collect()
+    assert [r.redacted_text for r in got] == ["é a\n[PRIVATE_KEY]\nb [PRIVATE_KEY] c", "x [PRIVATE_KEY]", public, "[PRIVATE_KEY]\n" + public, "after"]
+
+
 def test_op8_equals_plain_windows_both_ways(spark, texts):
     rnd = random.Random(6)
     items = [(1, " ".join(rnd.choice("abc") for _ in range(12))), (2, "A-b c"), (3, None), (None, "a b"), (4, "!"), (5, " ".join(texts.text[3].split()[5:30]))]
