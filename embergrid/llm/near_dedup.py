@@ -11,14 +11,17 @@ their signatures, so that no link between different texts of one band is lost. C
 
 Defined cases: words are lower-cased runs of ASCII letters, digits and non-ASCII characters; a text of one to four words
 is one shingle; texts without a word are alike only if equal; null is a text of its own, equal to other nulls; equal word
-sequences are one text (named by 64 bits of their digest); repeated rows fall in one class; a class is named by its least
+sequences are one text (named by 128 bits of their digest); repeated rows fall in one class; a class is named by its least
 doc_id, and a null doc_id is never that name unless the class has no other. No verdict needs doc_id to be a key: rows
-are told apart by id and text, and rows that agree in both have one verdict.
+are told apart by id and text, and rows that agree in both have one verdict. Extra columns are ignored, whatever their
+names, and kept by ``drop_near_duplicates``; very long texts are signed whole; an empty table has no rows. Equal texts of
+one id are one row after ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,11 @@ ROWS = 6
 BANDS = 42
 #: Sketch bits that may differ: at a similarity of 0.8 the mean is 25.6 and the deviation 4.8; six deviations are let pass.
 SKETCH_MOST = 54
+SKETCH = ("s0", "s1", "s2", "s3")
+TOGETHER = 1 << 15  # words of the texts that are signed in one go
+#: A key with more than a HOT-th of all rows (LEAST_HOT at least) is dealt over several tasks.
+HOT, LEAST_HOT = 1024, 64
+PAIRED = 4096  # texts of a band that one task compares with all of the band
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -59,110 +67,151 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def bag(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes and their counts."""
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    k = min(SHINGLE, len(h))
-    n = len(h) - k + 1
-    s = np.zeros(n, np.uint64)
-    for i in range(k):
-        s += mix(h[i : i + n] * _PLACES[i])
-    return np.unique(mix(s), return_counts=True)
-
-
-def signature(shingles: np.ndarray, counts: np.ndarray, size: int = SIZE) -> np.ndarray:
-    """Least point of each component over the processes of the bag (float64, inf for an empty bag).
-
-    Points come in rounds, only from processes that may still lower a component.
+def bags_of(many: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes and their counts of many texts, one text behind the other, and how many each text has."""
+    lens = np.fromiter(map(len, many), np.int64, len(many))
+    h = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(many)), np.uint64, int(lens.sum()))
+    starts = np.cumsum(lens) - lens
+    full = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
+    for i in range(SHINGLE):
+        full += mix(h[i : i + len(full)] * _PLACES[i])
+    full = mix(full)
+    parts = []
+    for at, n in zip(starts.tolist(), lens.tolist(), strict=True):
+        if n >= SHINGLE:
+            parts.append(np.sort(full[at : at + n - SHINGLE + 1]))
+        elif n:  # one shingle of all the words
+            s = np.zeros(1, np.uint64)
+            for i in range(n):
+                s += mix(h[at + i : at + i + 1] * _PLACES[i])
+            parts.append(mix(s))
+    sizes = np.maximum(lens - SHINGLE + 1, np.minimum(lens, 1))
+    flat = np.concatenate(parts) if parts else full[:0]
+    owner = np.repeat(np.arange(len(many)), sizes)
+    first = np.ones(len(flat), bool)
+    first[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(first)
+    return flat[at], np.diff(at, append=len(flat)), np.bincount(owner[at], minlength=len(many))
+
+
+def signatures(shingles: np.ndarray, counts: np.ndarray, sizes: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """Least point of each component over the processes of each bag (float64, one row a bag, inf for an empty bag).
+
+    All bags advance together: points come in rounds, only from processes that may still lower a component of their bag.
     """
-    h = np.full(size, np.inf)
-    if not len(shingles):
-        return h
-    seeds, base, width, weight = [mix(shingles)], [np.zeros(len(shingles))], [np.ones(len(shingles))], [counts]
+    h = np.full((len(sizes), size), np.inf)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    seeds, base, width, weight, owners = [mix(shingles)], [np.zeros(len(shingles))], [np.ones(len(shingles))], [counts], [owner]
     k = 0
     while (more := counts > 1 << k).any():
         seeds.append(mix(shingles[more] ^ np.uint64(0x5851F42D4C957F2D * (k + 1) & 0xFFFFFFFFFFFFFFFF)))
         base.append(np.full(more.sum(), float(1 << k)))
         width.append(np.full(more.sum(), float(1 << k)))
         weight.append(counts[more])
+        owners.append(owner[more])
         k += 1
-    seed, base, width, weight = map(np.concatenate, (seeds, base, width, weight))
-    x, drawn = np.zeros(len(seed)), 0
+    seed, base, width, weight, owner = map(np.concatenate, (seeds, base, width, weight, owners))
+    x, drawn, least = np.zeros(len(seed)), 0, h.reshape(-1)
     while len(seed):
-        t = max(1, min(512, -(-2 * size // len(seed))))
+        t = max(1, min(64, 4096 // len(seed)))
         steps = np.arange(drawn, drawn + t, dtype=np.uint64) * np.uint64(3)
         r = mix(seed[:, None] + steps * _MIX[1])
-        gap = -np.log(((r >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / (size * width)[:, None]
+        gap = np.log(((r >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / (-size * width)[:, None]
         # one running sum from the first gap on, so that equal points of two bags are equal to the last bit
         points = np.cumsum(np.column_stack([x, gap]), axis=1)[:, 1:]
         r = mix(r)
-        part = (r >> np.uint64(32)).astype(np.int64) % size
+        part = ((r >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64) + (owner * size)[:, None]
         level = np.floor(base[:, None] + (r & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * width[:, None])
         held = level < weight[:, None]
-        np.minimum.at(h, part[held], points[held])
+        np.minimum.at(least, part[held], points[held])
         x, drawn = points[:, -1], drawn + t
-        live = x < h.max()
-        if not live.all():
-            seed, base, width, weight, x = seed[live], base[live], width[live], weight[live], x[live]
+        live = np.flatnonzero(x < h.max(axis=1)[owner])
+        if len(live) < len(seed):
+            seed, base, width, weight, x, owner = seed[live], base[live], width[live], weight[live], x[live], owner[live]
     return h
 
 
-def name_of(text: str | None, words: list[bytes]) -> int:
-    """64 bits that name the text's word sequence."""
+def name_of(text: str | None, words: list[bytes]) -> tuple[int, int]:
+    """128 bits that name the text's word sequence, as two numbers."""
     if words:
         data = b"w" + b" ".join(words)
     else:
         data = b"n" if text is None else b"t" + text.encode("utf-8", "surrogatepass")
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+    d = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def _marks(many: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bands, sketch and bag size of each word list; lists without a word have no use for theirs."""
+    shingles, counts, sizes = bags_of(many)
+    bits = mix(signatures(shingles, counts, sizes).view(np.uint64))
+    key = np.zeros((len(many), BANDS), np.uint64)
+    for part in bits[:, : BANDS * ROWS].reshape(len(many), BANDS, ROWS).transpose(2, 0, 1):
+        key = mix(key ^ part)
+    sketch = np.packbits((bits & np.uint64(1)).astype(bool), axis=1).view("<i8")
+    owner = np.repeat(np.arange(len(many)), sizes)
+    return mix(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64), sketch, np.bincount(owner, counts, len(many)).astype(np.int64)
 
 
 def _signed(texts: list[str | None]) -> dict[str, pa.Array]:
-    """Name, bands and sketch of each text; texts without a word have no bands."""
-    names, bands, sketches, last = [], [], [], {}
-    salt = np.arange(BANDS, dtype=np.uint64)
-    for text in texts:
-        words = words_of(text)
-        name = name_of(text, words)
-        names.append(name)
-        if name not in last:
-            if not words:
-                last[name] = ([], [0, 0, 0, 0])
-            else:
-                bits = mix(signature(*bag(words)).view(np.uint64))
-                key = np.zeros(BANDS, np.uint64)
-                for part in bits[: BANDS * ROWS].reshape(BANDS, ROWS).T:
-                    key = mix(key ^ part)
-                sketch = np.packbits((bits & np.uint64(1)).astype(bool)).view("<i8")
-                last[name] = (mix(key + salt).view(np.int64).tolist(), sketch.tolist())
-        b, s = last[name]
-        bands.append(b)
-        sketches.append(s)
-    out = {"id": pa.array(names, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))}
-    return out | {f"s{i}": pa.array([s[i] for s in sketches], pa.int64()) for i in range(4)}
-
-
-_SIGNED = T.StructType([T.StructField("id", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), *(T.StructField(f"s{i}", T.LongType()) for i in range(4))])
+    """Name, bands, sketch and bag size of each text; texts without a word have no bands."""
+    words = [words_of(t) for t in texts]
+    names = [name_of(t, w) for t, w in zip(texts, words, strict=True)]
+    first = {name: i for i, name in reversed(list(enumerate(names)))}  # equal texts of the batch are signed once
+    todo = sorted(first.values())
+    bands, sketch, size = np.zeros((len(texts), BANDS), np.int64), np.zeros((len(texts), 4), np.int64), np.zeros(len(texts), np.int64)
+    at = 0
+    while at < len(todo):
+        end, n = at, 0
+        while end < len(todo) and (end == at or n + len(words[todo[end]]) <= TOGETHER):
+            n += len(words[todo[end]])
+            end += 1
+        part = todo[at:end]
+        bands[part], sketch[part], size[part] = _marks([words[i] for i in part])
+        at = end
+    of = np.fromiter((first[name] for name in names), np.int64, len(names))
+    ends = np.cumsum([0, *(BANDS if w else 0 for w in words)]).astype(np.int32)
+    flat = bands[of][np.fromiter(map(bool, words), bool, len(words))].ravel()
+    out = {"id": pa.array([a for a, _ in names], pa.int64()), "check": pa.array([b for _, b in names], pa.int64()), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "n": pa.array(size[of])}
+    return out | {s: pa.array(sketch[of, i]) for i, s in enumerate(SKETCH)}
+
+
+_SIGNED = T.StructType([T.StructField("id", T.LongType()), T.StructField("check", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("n", T.LongType()), *(T.StructField(s, T.LongType()) for s in SKETCH)])
 
 
 def _bags(texts: list[str | None]) -> dict[str, pa.Array]:
     """Name and bag of each text, the bag as a set: a shingle's further occurrences under names of their own."""
-    rows, names = [], []
-    for text in texts:
-        words = words_of(text)
-        names.append(name_of(text, words))
-        shingles, counts = bag(words)
-        nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        rows.append(mix(np.repeat(shingles, counts) + nth.astype(np.uint64) * _MIX[0]).view(np.int64))
-    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    return {"id": pa.array(names, pa.int64()), "bag": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
-
-
-def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose bags overlap enough, by the whole bags."""
-    both = pairs.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b").join(bags.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a")
+    words = [words_of(t) for t in texts]
+    names = [name_of(t, w) for t, w in zip(texts, words, strict=True)]
+    shingles, counts, sizes = bags_of(words)
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    flat = mix(np.repeat(shingles, counts) + nth.astype(np.uint64) * _MIX[0]).view(np.int64)
+    ends = np.cumsum([0, *np.bincount(np.repeat(np.arange(len(texts)), sizes), counts, len(texts)).astype(np.int64)]).astype(np.int32)
+    return {"id": pa.array([a for a, _ in names], pa.int64()), "check": pa.array([b for _, b in names], pa.int64()), "bag": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+
+
+_BAGS = T.StructType([T.StructField("id", T.LongType()), T.StructField("check", T.LongType()), T.StructField("bag", T.ArrayType(T.LongType()))])
+
+
+def hot_keys(rows: DataFrame, key: str, total: int, n: Column | None = None) -> DataFrame:
+    """Keys of more than ``total / HOT`` rows, fewer than HOT of them, with the number of parts to cut each into."""
+    most = max(total // HOT, LEAST_HOT)
+    counted = rows.groupBy(key).agg((F.sum(n) if n is not None else F.count("*")).alias("__n"))
+    return counted.where(F.col("__n") > most).select(key, F.ceil(F.col("__n") / most).cast("int").alias("__parts"))
+
+
+def salted_join(rows: DataFrame, few: DataFrame, key: str, hot: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``key`` where ``few`` has one row a key and a hot key's ``rows`` spread over as many parts as it has."""
+    h = F.broadcast(hot)
+    left = rows.join(h, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    right = few.join(h, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
+def verified(pairs: DataFrame, bags: DataFrame, similarity: float, hot: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose bags overlap enough, by the whole bags; ``hot``: the a of many pairs."""
+    both = pairs.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
+    both = salted_join(both, bags.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a", hot, ["b"])
     return both.where(_alike(F.col("bag_a"), F.col("bag_b"), similarity)).select("a", "b")
 
 
@@ -174,16 +223,20 @@ def _alike(a: Column, b: Column, similarity: float) -> Column:
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(id, label): the least id of each component, by least labels of neighbours with pointer jumping.
 
-    Every round is written to the shared folder, so that lineage stays short; only counts reach the driver.
+    Every round is written to the shared folder, so that lineage stays short; only counts reach the driver. The rows of
+    a hub, or of a label that many took over, are spread over several tasks.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    total = both.count()
+    hubs = cut(hot_keys(both, "b", total))
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
     for _ in range(most):
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("least"))
+        near = salted_join(both, labels.select(F.col("id").alias("b"), "label"), "b", hubs, ["a"]).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        step = cut(labels.join(near, "id").select("id", "label", F.least("label", "near").alias("least")))
         # the label is itself a member: take over its label, too
-        heads = labels.select(F.col("id").alias("least"), F.col("label").alias("far"))
-        new = cut(step.join(heads, "least").select("id", F.least("least", "far").alias("new"), "label"))
+        heads = step.select(F.col("id").alias("least"), F.col("label").alias("far"))
+        new = salted_join(step, heads, "least", hot_keys(step, "least", total), ["id"]).select("id", F.least("least", "far").alias("new"), "label")
+        new = cut(new)
         changed = new.where(F.col("new") != F.col("label")).limit(1).count()
         labels = new.select("id", F.col("new").alias("label"))
         if not changed:
@@ -192,7 +245,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def _near(a: str, b: str):
-    return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(4)), F.lit(0)) <= SKETCH_MOST
+    return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH), F.lit(0)) <= SKETCH_MOST
 
 
 def near_dedup(df: DataFrame, similarity: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -202,6 +255,14 @@ def near_dedup(df: DataFrame, similarity: float = 0.8, text_col: str = "text", i
     return _verdicts(df, similarity, text_col, id_col)[0].select("doc_id", "class_id", "n_class", "kept")
 
 
+def _renamed(rows: DataFrame, clash: DataFrame | None) -> DataFrame:
+    """Ids that stand for several texts give way to a hash of all 128 bits."""
+    if clash is None:
+        return rows.drop("check")
+    known = clash.select("id", F.lit(True).alias("__clash"))
+    return rows.join(F.broadcast(known), "id", "left").withColumn("id", F.when(F.col("__clash"), F.xxhash64("id", "check")).otherwise(F.col("id"))).drop("__clash", "check")
+
+
 def _verdicts(df: DataFrame, similarity: float, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, bool]:
     """The result with each row's text hash ``__key``, and whether doc_id is no key of the rows.
 
@@ -209,45 +270,65 @@ def _verdicts(df: DataFrame, similarity: float, text_col: str = "text", id_col:
     """
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("__key", F.xxhash64("text"))
     signed = cut(map_texts(docs, _signed, _SIGNED, carry=("doc_id", "__key")))
-    repeats = _repeats(signed)
-    texts = signed.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key", "bands", "s0", "s1", "s2", "s3")).alias("x"))
-    texts = cut(texts.select("id", *[f"x.{c}" for c in ("doc_id", "__key", "bands", "s0", "s1", "s2", "s3")]))
-    sketches = texts.select("id", "s0", "s1", "s2", "s3")
+    n_rows, n_ids = signed.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    repeats = n_rows != n_ids
+    clash = cut(signed.groupBy("id").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo != hi").select("id"))
+    clash = clash if clash.limit(1).count() else None  # none is expected below some billion texts
+    signed = _renamed(signed, clash)
+    marks = ("bands", "n", *SKETCH)
+    texts = signed.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key", *marks)).alias("x"), F.count("*").alias("n_rows"))
+    texts = cut(texts.select("id", "n_rows", *[f"x.{c}" for c in ("doc_id", "__key", *marks)]))
+    sketches = texts.select("id", "n", *SKETCH)
     exploded = texts.select("id", F.explode("bands").alias("band"))
-    full = exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = exploded.join(full, "band")
+    full = cut(exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    total = full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    crowded = cut(hot_keys(full, "band", total, F.col("n")))
+    met = salted_join(exploded, full, "band", crowded, ["id"])
     # the text that meets most others heads its bands: of near copies that is their common original, if it is there
     degree = met.groupBy("id").agg(F.sum("n").alias("degree"))
     shared = cut(met.select("band", "id").join(degree, "id"))
     heads = shared.groupBy("band").agg(F.max(F.struct("degree", "id")).alias("h")).select("band", F.col("h.id").alias("head"))
-    star = shared.join(heads, "band").where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    star = cut(star.join(sketches.alias("p"), F.col("a") == F.col("p.id")).join(sketches.alias("q"), F.col("b") == F.col("q.id")).where(_near("p", "q")).select("a", "b"))
+    star = cut(salted_join(shared, heads, "band", crowded, ["id"]).where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    hubs = cut(hot_keys(star, "a", star.count()))
+    names_of = lambda s: sketches.select(F.col("id").alias(s), F.struct("n", *SKETCH).alias(f"of_{s}"))
+    star = salted_join(star.join(names_of("b"), "b"), names_of("a"), "a", hubs, ["b"])
+    star = cut(star.where(_sizes("of_a", "of_b", similarity) & _near("of_a", "of_b")).select("a", "b"))
     # one row of each text, by its id and the text's hash; the bag goes under the name of the very text that it is made of
     wanted = shared.select("id").distinct().join(texts.select("id", "doc_id", "__key"), "id").select("doc_id", "__key")
-    bags = map_texts(_semi(docs, wanted, repeats), _bags, T.StructType([T.StructField("id", T.LongType()), T.StructField("bag", T.ArrayType(T.LongType()))]), carry=())
+    bags = _renamed(map_texts(_semi(docs, wanted, repeats), _bags, _BAGS, carry=()), clash)
     bags = cut(bags.dropDuplicates(["id"]) if repeats else bags)
-    edges = cut(verified(star, bags, similarity))
+    edges = cut(verified(star, bags, similarity, hubs))
     labels = components(edges)
-    member = shared.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-    mixed = member.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
+    member = cut(shared.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label")))
+    mixed = member.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("band", "m")
     # pairs that fail are turned down inside the join: no row is made for them, and each pair is judged in one band
-    open_ = cut(member.join(mixed, "band").join(texts.select("id", "bands", "s0", "s1", "s2", "s3"), "id").join(bags, "id"))
-    p, q = open_.alias("p"), open_.alias("q")
-    apart = (F.col("p.band") == F.col("q.band")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.label") != F.col("q.label"))
+    open_ = salted_join(member, mixed, "band", crowded, ["id"]).join(texts.select("id", "bands", "n", *SKETCH), "id").join(bags, "id")
+    # a crowded band's pairs are judged in several tasks: one side is dealt, the other goes to each
+    parts = F.ceil(F.col("m") / PAIRED).cast("int")
+    open_ = cut(open_)
+    p = open_.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).alias("p")
+    q = open_.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("q")
+    apart = (F.col("p.band") == F.col("q.band")) & (F.col("p.part") == F.col("q.part")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.label") != F.col("q.label"))
     once = F.array_min(F.array_intersect("p.bands", "q.bands")) == F.col("p.band")
-    more = p.join(q, apart & _near("p", "q") & once & _alike(F.col("p.bag"), F.col("q.bag"), similarity))
+    more = p.join(q, apart & _sizes("p", "q", similarity) & _near("p", "q") & once & _alike(F.col("p.bag"), F.col("q.bag"), similarity))
     more = cut(more.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")))
     if more.limit(1).count():
         labels = components(edges.union(more))
-    home = signed.select("doc_id", "__key", "id").join(labels, "id", "left").select("doc_id", "__key", F.coalesce("label", "id").alias("label"))
+    # classes from one row a text; every row then learns its text's class
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("x")
+    home = cut(texts.select("id", "doc_id", "__key", "n_rows").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    names = home.groupBy("label").agg(least, F.sum("n_rows").alias("n_class")).select("label", F.col("x.doc_id").alias("class_id"), F.col("x.__key").alias("__class_key"), "n_class")
+    of_text = salted_join(home.select("id", "label"), names, "label", hot_keys(home, "label", n_rows), ["id"]).drop("label")
+    out = salted_join(signed.select("doc_id", "__key", "id"), of_text, "id", hot_keys(texts, "id", n_rows, F.col("n_rows")), ["doc_id"])
     kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    if repeats:
-        least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("x")
-        names = home.groupBy("label").agg(least, F.count("*").alias("n_class")).select("label", F.col("x.doc_id").alias("class_id"), F.col("x.__key").alias("__class_key"), "n_class")
-        kept = kept & (F.col("__key") == F.col("__class_key"))
-    else:
-        names = home.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_class"))
-    return home.join(names, "label").select("doc_id", "__key", "class_id", "n_class", kept.alias("kept")), repeats
+    kept = kept & (F.col("__key") == F.col("__class_key")) if repeats else kept
+    return out.select("doc_id", "__key", "class_id", "n_class", kept.alias("kept")), repeats
+
+
+def _sizes(a: str, b: str, similarity: float) -> Column:
+    """Whether bags of these sizes can be alike at all."""
+    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (x >= F.lit(similarity) * y) & (y >= F.lit(similarity) * x)
 
 
 def _semi(docs: DataFrame, rows: DataFrame, repeats: bool, how: str = "left_semi") -> DataFrame:
@@ -258,12 +339,6 @@ def _semi(docs: DataFrame, rows: DataFrame, repeats: bool, how: str = "left_semi
     return docs.join(r, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), how)
 
 
-def _repeats(signed: DataFrame) -> bool:
-    """Whether a doc_id stands in several rows or in none."""
-    n, distinct = signed.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    return n != distinct
-
-
 def drop_near_duplicates(df: DataFrame, similarity: float = 0.8) -> DataFrame:
     """One row of each class of ``df``: the one that names it, whether or not ids are missing or stand on several texts."""
     verdict, repeats = _verdicts(df, similarity)

@@ -323,11 +323,79 @@ def test_op9_signatures_estimate_weighted_jaccard():
     for _ in range(5):
         a = dict(zip(range(40), rnd.integers(1, 9, 40), strict=True))
         b = {k: int(rnd.integers(1, 9)) if k % 4 == 0 else v for k, v in a.items()}
-        sig = lambda x: nd.signature(nd.mix(np.array(list(x), np.uint64)), np.array(list(x.values())), 4096)
+        sig = lambda x: nd.signatures(nd.mix(np.array(list(x), np.uint64)), np.array(list(x.values())), np.array([len(x)]), 4096)[0]
         true = sum(min(a[k], b[k]) for k in a) / sum(max(a[k], b[k]) for k in a)
         assert (sig(a) == sig(b)).mean() == pytest.approx(true, abs=0.04)
 
 
+def test_op9_signs_a_text_alike_in_any_company():
+    rnd = random.Random(12)
+    texts = [" ".join(rnd.choice("abcdef") for _ in range(rnd.randrange(1, 300))) for _ in range(80)] + ["one", "a b c d", "a b c d e"]
+    words = [dec.words_of(t) for t in texts]
+    bands, sketch, size = nd._marks(words)
+    for i, w in enumerate(words):
+        alone = nd._marks([w])
+        assert (alone[0][0] == bands[i]).all() and (alone[1][0] == sketch[i]).all() and alone[2][0] == size[i] == max(1, len(w) - 4)
+    shingles, counts, sizes = nd.bags_of(words)
+    for w, h, n in zip(words, np.split(shingles, np.cumsum(sizes)[:-1]), np.split(counts, np.cumsum(sizes)[:-1]), strict=True):
+        assert sorted(n) == sorted(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))).values()) and len(set(h)) == len(h)
+
+
+def true_links(texts, similarity=0.8):
+    """Links between different word sequences by counting common shingles over an inverted index."""
+    bags = {i: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, t in enumerate(texts) if (w := dec.words_of(t))}
+    where = {}
+    for i, b in bags.items():
+        for x, n in b.items():
+            for k in range(n):
+                where.setdefault((x, k), []).append(i)
+    shared = Counter((i, j) for of in where.values() for n, i in enumerate(of) for j in of[n + 1 :])
+    size = {i: sum(b.values()) for i, b in bags.items()}
+    return {(i, j) for (i, j), n in shared.items() if n >= similarity * (size[i] + size[j] - n)}
+
+
+def test_op9_finds_all_true_links_of_the_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = pd.read_parquet(f"{sf}/documents.parquet").drop_duplicates("text")
+    got = QUERIES["op9_near_dedup"](spark, sf).toPandas().set_index("doc_id").class_id
+    ids = docs.doc_id.tolist()
+    links = true_links(docs.text.tolist())
+    assert len(links) >= 5 and all(got[ids[i]] == got[ids[j]] for i, j in links)
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in links:
+        a, b = sorted((root(ids[i]), root(ids[j])))
+        parent[b] = a
+    assert all(got[i] == root(i) for i in ids if (docs.set_index("doc_id").text.map(lambda t: len(dec.words_of(t))) > 0)[i])
+
+
+def test_op9_names_that_clash_stay_apart(spark, monkeypatch):
+    """With 64 bits that hardly differ, all 128 tell the texts apart."""
+    rnd = random.Random(10)
+    some = [" ".join(f"w{rnd.randrange(300)}" for _ in range(60)) for _ in range(12)]
+    some += [some[0], some[1].rsplit(" ", 1)[0] + " end", "", None]
+    want = {tuple(r) for r in nd.near_dedup(frame(spark, some)).collect()}
+    name = nd.name_of
+    monkeypatch.setattr(nd, "name_of", lambda t, w: (name(t, w)[0] % 2, name(t, w)[1]))
+    assert {tuple(r) for r in nd.near_dedup(frame(spark, some)).collect()} == want
+    assert len({r[1] for r in want}) == 14
+
+
+def test_op9_hot_groups_give_the_same_classes(spark, monkeypatch):
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(900)}" for _ in range(80)]
+    some = [" ".join(base)] * 40 + [" ".join([*base[:-1], f"x{i}"]) for i in range(40)] + [" ".join(f"v{rnd.randrange(900)}" for _ in range(30)) for _ in range(20)]
+    want = {tuple(r) for r in nd.near_dedup(frame(spark, some)).collect()}
+    for c, v in (("HOT", 8), ("LEAST_HOT", 2), ("PAIRED", 3)):
+        monkeypatch.setattr(nd, c, v)
+    assert {tuple(r) for r in nd.near_dedup(frame(spark, some)).collect()} == want and len({r[1] for r in want}) == 21
+
+
 def test_op9_classes_equal_components_of_true_links(spark):
     rnd = random.Random(8)
     vocabulary = [f"w{i}" for i in range(500)]
