@@ -1,22 +1,19 @@
 """Operator 6: SentencePiece encoding and decoding on the tokenizers library.
 
 The model's protobuf is parsed here; its normaliser, word marker, scores (merge order of a BPE model, probabilities of a
-unigram model) and byte fallback are rebuilt as a tokenizers pipeline. A batch's distinct words are encoded
-multithreaded, once each, and every one is verified against the sentencepiece library; a word on which the two
-disagree takes that library's ids and marks its documents.
+unigram model) and byte fallback are rebuilt as a tokenizers pipeline, which makes the ids and decodes them again. Whole
+texts are encoded in multithreaded batches, and every text is then verified against the sentencepiece library:
+``parity`` tells whether that library gives the same ids. It changes none.
 
-Words are exact units where no piece holds the marker behind another character (checked when the model is read); a model
-for which that fails is encoded text by text.
-
-Defined cases: a null or empty text has no ids and decodes to the empty text.
+Defined cases: a null or empty text has no ids and decodes to the empty text; a text is encoded whole, however long;
+repeated rows give repeated results; a carried column gives way to an output of the same name; an empty table has no
+rows. A literal word marker in a text is a space to the model and decodes to one (``roundtrip`` is false then).
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
-from array import array
 from dataclasses import dataclass
 from itertools import chain
 
@@ -79,10 +76,6 @@ class Model:
                 norm = dict(_fields(value))
         return cls(tuple(pieces), trainer.get(3, UNIGRAM), norm.get(2, b""), bool(norm.get(3, 1)), bool(norm.get(4, 1)))
 
-    @property
-    def splits_at_mark(self) -> bool:
-        return not self.squeeze and not self.charsmap and not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, k in self.pieces if k in (NORMAL, USER))
-
     def backend(self):
         """The tokenizers pipeline."""
         from tokenizers import Tokenizer, decoders, models, normalizers
@@ -104,9 +97,12 @@ class Model:
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.squeeze:
             steps += [normalizers.Strip(), normalizers.Replace(_many_spaces(), " ")]
+        if self.dummy_prefix:
+            steps.append(normalizers.Prepend(MARK))
         steps.append(normalizers.Replace(" ", MARK))
         tok.normalizer = normalizers.Sequence(steps)
-        tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        first = [decoders.Strip(" ", 1, 0)] if self.dummy_prefix else []
+        tok.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "), *first])
         return tok
 
 
@@ -116,10 +112,9 @@ def _many_spaces():
     return Regex(" {2,}")
 
 
-_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 CACHE = 150_000
-SLICE = 2 << 20  # bytes of text whose words are in memory at once
-LEARN = 8192  # words encoded in one call
+SLICE = 2 << 20  # bytes of text in memory at once with their encodings
+LEARN = 8192  # pre-tokens encoded in one call
 THREADS = "2"  # of the backend in each worker, as many as a task has cores; RAYON_NUM_THREADS overrides it
 
 
@@ -144,7 +139,7 @@ class Recent:
 
 
 class Codec:
-    """Backend and sentencepiece of one worker, with a bounded cache of words."""
+    """Backend and sentencepiece of one worker."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -154,44 +149,16 @@ class Codec:
             self.model = Model.parse(f.read())
         self.tok = self.model.backend()
         self.spm = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.by_word = self.model.splits_at_mark and self.model.dummy_prefix
-        self.words = Recent()  # word -> ids as bytes
-        self.differ: set[str] = set()  # words on which the libraries disagree
-        self.bytes_of = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
-
-    def learn(self, words: list[str]) -> None:
-        """Encode words, as many threads as the library takes, and compare each with sentencepiece."""
-        for at in range(0, len(words), LEARN):
-            part = words[at : at + LEARN]
-            mine = self.tok.encode_batch_fast(part, add_special_tokens=False)
-            theirs = self.spm.encode([w[1:].replace(MARK, " ") for w in part], num_threads=1)
-            for w, a, b in zip(part, mine, theirs, strict=True):
-                b = b or [self.spm.piece_to_id(w)]  # the mark alone, which stands for no text of its own
-                self.words.new[w] = array("i", b).tobytes()
-                if a.ids != b:
-                    self.differ.add(w)
-
-    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text, and whether both libraries agreed on all of it."""
-        if not self.by_word:
-            theirs = self.spm.encode([t or "" for t in texts], num_threads=1)
-            source = [(" " if self.model.dummy_prefix and t else "") + (t or "") for t in texts]
-            mine = [e.ids for e in self.tok.encode_batch_fast(source, add_special_tokens=False)]
-            return [np.array(b, np.int32) for b in theirs], [a == b for a, b in zip(mine, theirs, strict=True)]
-        cut = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = self.words.missing(set(chain.from_iterable(cut)))
-        if new:
-            self.learn(new)
-        of = self.words.new.__getitem__
-        ids = [np.frombuffer(b"".join(map(of, words)), np.int32) for words in cut]
-        return ids, [self.differ.isdisjoint(words) for words in cut] if self.differ else [True] * len(texts)
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of the ids: pieces and fallback bytes joined, without the first marker."""
-        of = self.bytes_of
-        data = b"".join([of[i] for i in ids.tolist()])
-        text = data.decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def verify(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
+        """Whether the sentencepiece library gives the same ids."""
+        return [a == b for a, b in zip(ids, self.spm.encode(texts, num_threads=1), strict=True)]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.tok.decode_batch(ids, skip_special_tokens=False)
 
 
 _WORKER: dict[str, Codec] = {}
@@ -205,21 +172,23 @@ def codec(path: str) -> Codec:
 
 
 def sentencepiece_encode(df: DataFrame, path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Append token_ids, n_tokens, parity (both libraries agree) and roundtrip (the ids decode to the text); a narrow map.
+    """Append token_ids, n_tokens, parity (sentencepiece agrees) and roundtrip (the ids decode to the text); a narrow map.
 
     ``path`` must be readable on every executor, as an installed package's file is.
     """
 
     def run(texts):
         c = codec(path)
-        ids, same = c.encode(texts)
-        offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        texts = [t or "" for t in texts]
+        ids = c.encode(texts)
+        sizes = list(map(len, ids))
+        offsets = np.cumsum([0, *sizes]).astype(np.int32)
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
         return {
-            "token_ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32))),
-            "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
-            "parity": pa.array(same, pa.bool_()),
-            "roundtrip": pa.array([c.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)], pa.bool_()),
+            "token_ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+            "n_tokens": pa.array(sizes, pa.int64()),
+            "parity": pa.array(c.verify(texts, ids), pa.bool_()),
+            "roundtrip": pa.array([a == b for a, b in zip(c.decode(ids), texts, strict=True)], pa.bool_()),
         }
 
     out = T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("parity", T.BooleanType()), T.StructField("roundtrip", T.BooleanType())])
@@ -230,7 +199,6 @@ def sentencepiece_decode(df: DataFrame, path: str, ids_col: str = "token_ids", c
     """Append decoded_text of a column of ids; null ids decode to the empty text."""
 
     def run(rows):
-        c = codec(path)
-        return {"decoded_text": pa.array([c.decode(np.array(r or [], np.int64)) for r in rows], pa.string())}
+        return {"decoded_text": pa.array(codec(path).decode([list(r) if r is not None else [] for r in rows]), pa.string())}
 
     return map_texts(df, run, T.StructType([T.StructField("decoded_text", T.StringType())]), ids_col, carry)

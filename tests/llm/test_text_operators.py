@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -248,10 +249,57 @@ def test_op6_equals_sentencepiece_and_decodes(spark, texts):
     assert [r.decoded_text for r in back] == [t or "" for t in some]
 
 
-def test_op6_rebuilds_unigram_models():
-    pieces = (("<unk>", 0.0, spc.UNKNOWN), ("▁", -2.0, 1), ("a", -3.0, 1), ("▁ab", -1.0, 1), ("b", -3.0, 1))
-    tok = spc.Model(pieces, spc.UNIGRAM, b"", True, False).backend()
-    assert tok.encode(" abb", add_special_tokens=False).ids == [3, 4]
+def model_file(path, pieces, kind, charsmap=b"", prefix=True, squeeze=False, fallback=False):
+    """A hand-made model in the protobuf format."""
+    def number(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    field = lambda n, data: number(n << 3 | 2) + number(len(data)) + data
+    flag = lambda n, x: number(n << 3) + number(int(x))
+    body = b"".join(field(1, field(1, p.encode()) + number(2 << 3 | 5) + struct.pack("<f", s) + flag(3, k)) for p, s, k in pieces)
+    body += field(2, flag(3, kind) + flag(35, fallback)) + field(3, (field(2, charsmap) if charsmap else b"") + flag(3, prefix) + flag(4, squeeze) + flag(5, True))
+    path.write_bytes(body)
+    return str(path)
+
+
+UNIGRAM = [("<unk>", 0.0, spc.UNKNOWN), ("<s>", 0.0, spc.CONTROL), ("</s>", 0.0, spc.CONTROL), ("▁", -2.0, 1), ("a", -3.1, 1), ("▁ab", -1.0, 1), ("b", -3.2, 1), ("ba", -4.0, 1), ("▁b", -3.5, 1), ("c", -5.0, 1), ("ab", -2.5, 1)]
+BYTES = [(f"<0x{b:02X}>", 0.0, spc.BYTE) for b in range(256)]
+
+
+@pytest.mark.parametrize("options", [{}, {"squeeze": True}, {"prefix": False}, {"fallback": True}, {"squeeze": True, "fallback": True}], ids=str)
+def test_op6_rebuilds_unigram_models(options, tmp_path):
+    pieces = UNIGRAM + (BYTES if options.get("fallback") else [])
+    codec = spc.Codec(model_file(tmp_path / "m.model", pieces, spc.UNIGRAM, **options))
+    rnd = random.Random(13)
+    texts = ["".join(rnd.choice("ab c") for _ in range(rnd.randrange(1, 30))) for _ in range(200)] + ["", "ab", "a é b", "  ab  ab "]
+    if options.get("fallback"):
+        texts += ["é", "ab 日本 c", "😀a"]
+    ids = codec.encode(texts)
+    assert all(codec.verify(texts, ids)) and ids == codec.spm.encode(texts)
+    if not options.get("squeeze"):
+        known = [t for t in texts if options.get("fallback") or "é" not in t]
+        assert codec.decode(codec.encode(known)) == known
+
+
+def test_op6_rebuilds_the_normaliser_map(tmp_path):
+    import sentencepiece
+
+    rules = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    charsmap = dict(spc._fields(dict(spc._fields(rules))[3]))[2]
+    codec = spc.Codec(model_file(tmp_path / "m.model", UNIGRAM, spc.UNIGRAM, charsmap=charsmap, squeeze=True))
+    texts = ["ａｂ　ａb", "a\u00a0b\tc", "ab\u200bc", "①ab", "  ａ  "]
+    ids = codec.encode(texts)
+    assert ids == codec.spm.encode(texts) and all(codec.verify(texts, ids))
+
+
+def test_op6_flags_what_the_library_would_encode_otherwise():
+    codec = spc.Codec(SPM)
+    ids = codec.encode(["one two", "three"])
+    assert codec.verify(["one two", "three"], ids) == [True, True]
+    assert codec.verify(["one two", "three"], [ids[0][:-1], ids[1]]) == [False, True]
 
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
