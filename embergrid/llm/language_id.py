@@ -1,12 +1,16 @@
 """Operator 3: language by cross-parsing entropy over suffix automata.
 
 Per language, labelled text is compiled to a suffix automaton. A document is cut greedily into the longest phrases that
-occur in a language's text; the language that needs the fewest phrases per letter wins. Texts are parsed in blocks of
-``BLOCK`` letters so that many blocks advance together in numpy; a phrase ends at a block's end for every language alike.
+occur in a language's text; phrases are normalised by the text's length and by the logarithm of what the language has
+learned from, and the language that needs the fewest wins.
+
+Long texts are parsed from many places at once, and joined exactly: a parse that begins at a place of its own soon begins
+a phrase where the parse from further left begins one, and from there on both are the same.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; letters unknown to a language are phrases of
-their own; ties go to the language that sorts first; rows without a language teach nothing; without any labelled text
-every document is ``und``.
+their own; ties go to the language that sorts first; rows without a language teach nothing; equal texts teach once;
+without any labelled text, as in an empty table, every document is ``und``; repeated rows give repeated results; a carried
+column gives way to an output of the same name.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from pyspark.sql import types as T
 
 from embergrid.llm.common import crc_of_id, cut, map_texts, smallest_per_group
 
-BLOCK = 2048
+BLOCK = 2048  # symbols between the places where parses of a long text begin; no result depends on it
+MARKS = 64 << 20  # phrase beginnings (text symbols times languages) held at once
 SPAN = 256
 GAP, OTHER = 0, 1  # symbols: a run of non-letters; a letter that no language has
 
@@ -121,6 +126,7 @@ class ParseModel:
     owner: np.ndarray  # place + symbol -> the place, if the state there has the transition
     target: np.ndarray  # place + symbol -> the next state's place
     roots: np.ndarray  # place of each language's root
+    learned: np.ndarray  # symbols that each language has learned from
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
         names = np.full(0x110000, OTHER, np.int32)
@@ -132,51 +138,91 @@ class ParseModel:
         at = state + s
         return np.where(self.owner[at] == state, self.target[at], -1)
 
+    def advance(self, state: np.ndarray, fresh: np.ndarray, roots: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One symbol on: the new states, whether the symbol begins a phrase, and whether the next one must."""
+        now = self.step(state, s)
+        begins = (now < 0) | fresh
+        if begins.any():
+            now = np.where(now < 0, self.step(roots, s), now)
+            alone = now < 0  # no phrase of the language begins so: the symbol is one of its own
+            return np.where(alone, roots, now), begins, alone
+        return now, begins, np.zeros_like(begins)
+
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text in each language, and the text's letters."""
         points, n_sym = letters(texts)
         counts = np.zeros((len(texts), len(self.languages)), np.int64)
         n_letters = np.bincount(np.repeat(np.arange(len(texts)), n_sym)[points != 0], minlength=len(texts))
-        if not len(points) or not len(self.languages):
-            return counts, n_letters
-        sym = self.symbols(points)
+        if len(points) and len(self.languages):
+            sym, ends = self.symbols(points), np.cumsum(n_sym)
+            most, first = max(1, MARKS // len(self.languages)), 0
+            while first < len(texts):  # runs of texts that fit together, one at least
+                begin = int(ends[first] - n_sym[first])
+                last = max(first + 1, int(np.searchsorted(ends, begin + most, side="right")))
+                counts[first:last] = self._parse(sym[begin : ends[last - 1]], n_sym[first:last])
+                first = last
+        return counts, n_letters
+
+    def _parse(self, sym: np.ndarray, n_sym: np.ndarray) -> np.ndarray:
+        """Phrases of each text (``n_sym`` symbols of ``sym``) in each language."""
+        langs = np.arange(len(self.languages))[:, None]
         ends = np.cumsum(n_sym)
         blocks = -(-n_sym // BLOCK)
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        first = np.cumsum(blocks) - blocks
-        start = (ends - n_sym)[owner] + (np.arange(len(owner)) - first[owner]) * BLOCK
+        owner = np.repeat(np.arange(len(n_sym)), blocks)
+        start = (ends - n_sym)[owner] + (np.arange(len(owner)) - (np.cumsum(blocks) - blocks)[owner]) * BLOCK
         size = np.minimum(BLOCK, ends[owner] - start)
         order = np.argsort(-size, kind="stable")
-        owner, start, size = owner[order], start[order], size[order]
-        lanes = np.searchsorted(-size, -np.arange(int(size[0])), side="left")  # blocks longer than each step
+        lanes = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), side="left")  # blocks longer than each step
+        place = start[order]
         state = np.repeat(self.roots[:, None], len(owner), axis=1)
-        made = np.zeros((len(self.languages), len(owner)), np.int32)
-        fresh = np.ones((len(self.languages), len(owner)), bool)  # the next symbol begins a phrase
-        roots = self.roots[:, None]
-        for step in range(int(size[0])):
-            n = lanes[step]
-            s = sym[start[:n] + step]
-            now = self.step(state[:, :n], s)
-            begins = (now < 0) | fresh[:, :n]
-            if begins.any():
-                made[:, :n] += begins
-                now = np.where(now < 0, self.step(roots, s), now)
-                alone = now < 0  # no phrase of the language begins so: the symbol is one of its own
-                fresh[:, :n] = alone
-                now = np.where(alone, roots, now)
-            state[:, :n] = now
-        for k in range(len(self.languages)):
-            counts[:, k] = np.bincount(owner, made[k], minlength=len(texts)).astype(np.int64)
-        return counts, n_letters
+        fresh = np.ones((len(langs), len(owner)), bool)  # the next symbol begins a phrase
+        marks = np.zeros((len(langs), len(sym)), bool)  # where the parse of each block begins phrases
+        for step, n in enumerate(lanes.tolist()):
+            at = place[:n] + step
+            state[:, :n], begins, fresh[:, :n] = self.advance(state[:, :n], fresh[:, :n], self.roots[:, None], sym[at])
+            marks[:, at] = begins
+        # each block's parse goes on into the next ones, until it begins a phrase where theirs begins one
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        state, fresh = state[:, back], fresh[:, back]
+        stop = ends[owner]
+        meet = np.repeat(stop[None, :], len(langs), axis=0)  # where it met them: the text's end if nowhere
+        extra = np.zeros_like(meet)  # phrases that it began until then
+        lang, lane = np.nonzero(np.repeat((start + size < stop)[None, :], len(langs), axis=0))
+        at = (start + size)[lane]
+        s, f = state[lang, lane], fresh[lang, lane]
+        while len(lane):
+            s, begins, f = self.advance(s, f, self.roots[lang], sym[at])
+            met = begins & marks[lang, at]
+            meet[lang[met], lane[met]] = at[met]
+            extra[lang, lane] += begins & ~met
+            at = at + 1
+            on = ~met & (at < stop[lane])
+            lang, lane, at, s, f = lang[on], lane[on], at[on], s[on], f[on]
+        counts = np.zeros((len(n_sym), len(langs)), np.int64)
+        single = blocks[owner] == 1
+        upto = np.zeros((len(langs), len(sym) + 1), np.int32)
+        np.cumsum(marks, axis=1, out=upto[:, 1:])
+        here = start[single]
+        counts[owner[single]] = (upto[:, here + size[single]] - upto[:, here]).T
+        begin = np.repeat((ends - n_sym)[None, :], len(langs), axis=0)  # where the true parse of each text stands
+        for b in np.flatnonzero(~single):
+            t, end = owner[b], start[b] + size[b]
+            inside = begin[:, t] < end  # else the parse from further left ran past this block
+            counts[t] += np.where(inside, upto[langs[:, 0], end] - upto[langs[:, 0], begin[:, t]] + extra[:, b], 0)
+            begin[:, t] = np.where(inside, meet[:, b], begin[:, t])
+        return counts
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         counts, n = self.phrases(texts)
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
-        best = counts.argmin(axis=1)
+        # the cross-parsing estimate of the entropy: phrases a letter, times the bits that name a place in what was learned
+        rate = counts * np.log2(self.learned + 1.0) / np.maximum(n, 1)[:, None]
+        best = rate.argmin(axis=1)
         if len(self.languages) > 1:
-            two = np.sort(counts, axis=1)[:, :2].astype(float)
-            score = two[:, 1] / np.maximum(two.sum(axis=1), 1)
+            two = np.sort(rate, axis=1)[:, :2]
+            score = two[:, 1] / np.maximum(two.sum(axis=1), 1e-9)
         else:
             score = np.ones(len(texts))
         none = n == 0
@@ -190,7 +236,7 @@ def build_model(texts_by_lang: dict[str, list[str]]) -> ParseModel:
     points = {k: v for k, v in points.items() if (v != 0).any()}
     alphabet = np.unique(np.concatenate([np.unique(v[v != 0]) for v in points.values()])) if points else np.zeros(0, np.uint32)
     none = np.zeros(0, np.int64)
-    model = ParseModel(tuple(points), alphabet, none, none, none)
+    model = ParseModel(tuple(points), alphabet, none, none, none, none)
     owners, targets, roots, at = [], [], [], 0
     for p in points.values():
         place, owner, target = displaced(suffix_automaton(model.symbols(p)), len(alphabet) + 2)
@@ -200,7 +246,8 @@ def build_model(texts_by_lang: dict[str, list[str]]) -> ParseModel:
         at += len(owner)
     if not points:
         return model
-    return ParseModel(tuple(points), alphabet, np.concatenate(owners), np.concatenate(targets), np.array(roots, np.int64))
+    learned = np.array([len(p) for p in points.values()], np.int64)
+    return ParseModel(tuple(points), alphabet, np.concatenate(owners), np.concatenate(targets), np.array(roots, np.int64), learned)
 
 
 def shares(sizes: list[int], total: int) -> list[int]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from embergrid.llm import decontaminate, language_id, license_scan, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, token_count
 from embergrid.llm.common import crc_of_id, table
@@ -18,13 +19,13 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality_classifier.quality_scores(docs, model)
-    return scored.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(crc_of_id() % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.fit(docs))
-    return found.select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(crc_of_id() % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
