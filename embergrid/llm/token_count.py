@@ -4,16 +4,21 @@ Tier 1 is a compact table of frequent pre-tokens and their token counts, broadca
 misses and keeps the result in a bounded cache of the worker. Pre-tokens are never shuffled: only the first pass's
 summaries of frequent ones, of a bounded size per task, are merged. The table decides speed alone, never a count.
 
-Defined cases: a null text is an empty one with no tokens; texts that hold an added token's string, or characters whose
-class may differ between regular-expression engines, are encoded whole by the library.
+The classes of the pre-token pattern are read off the library itself, whose Unicode version may differ from Python's.
+
+Defined cases: a null text is an empty one with no tokens; texts that hold an added token's string are encoded whole by
+the library; a text is counted whole, however long; repeated rows give repeated results; of equally frequent pre-tokens
+those that sort first enter the table, which changes no count; a carried column gives way to an output of the same name;
+an empty table has an empty first tier and no rows.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import unicodedata
+import uuid
 from collections import Counter
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,27 +32,33 @@ from embergrid.llm.sentencepiece_codec import LEARN, SLICE, THREADS, Recent
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind, over classes L, N and S.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
-#: Classes are written out for the characters below; texts with others go to the library whole. UTF-8 begins those
-#: characters with bytes below 0xD4.
-BELOW, LEAD = 0x500, 0xD4
-
-
-def _classes() -> dict[str, str]:
-    """Letters, numbers and white space below the bound, as ranges of a character class."""
-    out = {"S": r"\t-\r \x85\xa0"}
-    for kind in "LN":
-        points = [cp for cp in range(BELOW) if unicodedata.category(chr(cp))[0] == kind]
-        starts = [cp for cp in points if cp - 1 not in points]
-        ends = [cp for cp in points if cp + 1 not in points]
-        out[kind] = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+#: Texts are cut by the narrowest pattern that holds all their characters: those below U+0500, the basic plane, all. UTF-8
+#: begins characters beyond the first two bounds with the bytes given.
+BOUNDS, LEADS = (0x500, 0x10000, 0x110000), (0xD4, 0xF0)
+
+Classes = dict[str, list[tuple[int, int]]]
+
+
+@lru_cache(maxsize=1)
+def classes() -> Classes:
+    """Ranges of the code points that the library takes for letters, numbers and white space."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    probe = {"L": (r"\p{L}+", "a"), "N": (r"\p{N}+", "1"), "S": (r"\s+", " ")}
+    out: Classes = {}
+    for kind, (pattern, member) in probe.items():
+        runs = [every[a:b] for _, (a, b) in Split(Regex(pattern), "isolated").pre_tokenize_str(every)]
+        inside = {i % 2 for i, run in enumerate(runs) if member in run}  # runs inside and outside alternate
+        out[kind] = [(ord(run[0]), ord(run[-1])) for i, run in enumerate(runs) if i % 2 in inside]
     return out
 
 
-def compiled() -> re.Pattern:
-    return re.compile(PATTERN.format(**_classes()))
-
-
-_SPLIT = compiled().findall
+def compiled(of: Classes, below: int) -> re.Pattern:
+    """The pattern with its classes written out for the characters below a bound."""
+    names = {k: "".join(f"\\U{a:08x}-\\U{min(b, below - 1):08x}" for a, b in ranges if a < below) for k, ranges in of.items()}
+    return re.compile(PATTERN.format(**names))
 
 
 def _byte_names() -> list[str]:
@@ -63,20 +74,24 @@ def _byte_names() -> list[str]:
 _NAMES = str.maketrans({b: c for b, c in enumerate(_byte_names())})
 
 
-class Tiers:
-    """The tokenizer of one worker with both tiers: the broadcast table and a bounded cache of what it misses."""
+class Tiers(dict):
+    """The tokenizer of one worker with both tiers: itself, the broadcast table, and a bounded cache of what it misses."""
 
-    def __init__(self, path: str, frequent: dict[str, int]):
+    def __init__(self, path: str, frequent: dict[str, int], of: Classes):
         from tokenizers import Tokenizer
 
+        super().__init__(frequent)
         os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.frequent = frequent
+        self.split = [compiled(of, b).findall for b in BOUNDS]
         self.cache = Recent()
 
+    def __missing__(self, word: str) -> int:
+        return self.cache.new[word]
+
     def encoded(self, texts: list[str]) -> list[int]:
         """Token counts by the library."""
         parts = (texts[at : at + LEARN] for at in range(0, len(texts), LEARN))
@@ -87,39 +102,33 @@ class Tiers:
         merge = self.tok.model.tokenize
         return [len(merge(w.encode().decode("latin-1").translate(_NAMES))) for w in words]
 
-    def plain(self, text: str, data: bytes) -> bool:
-        """Whether the pre-token pattern may cut the text."""
-        return (data.isascii() or int(np.frombuffer(data, np.uint8).max()) < LEAD) and not any(a in text for a in self.added)
+    def pretokens(self, text: str, data: bytes) -> list[str] | None:
+        """The text's pre-tokens; None for a text with an added token's string."""
+        if any(a in text for a in self.added):
+            return None
+        top = 0 if data.isascii() else int(np.frombuffer(data, np.uint8).max())
+        return self.split[sum(top >= lead for lead in LEADS)](text)
 
     def count(self, texts: list[str], datas: list[bytes]) -> list[int]:
-        cut = [_SPLIT(t) if self.plain(t, d) else None for t, d in zip(texts, datas, strict=True)]
-        words = set(chain.from_iterable(c for c in cut if c)) - self.frequent.keys()
+        cut = [self.pretokens(t, d) for t, d in zip(texts, datas, strict=True)]
+        words = set(chain.from_iterable(c for c in cut if c)) - self.keys()
         new = self.cache.missing(words)
         self.cache.new.update(zip(new, self.pieces(new), strict=True))
-        known = _Both(self.frequent, self.cache.new)
         whole = iter(self.encoded([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(whole) if c is None else sum(map(known.__getitem__, c)) for c in cut]
-
-
-class _Both(dict):
-    """The first tier, and where it misses the second."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(first)
-        self.second = second
-
-    def __missing__(self, word: str) -> int:
-        return self.second[word]
+        return [next(whole) if c is None else sum(map(self.__getitem__, c)) for c in cut]
 
 
 _WORKER: dict = {}
 
 
-def _worker(path: str, held) -> Tiers:
-    if _WORKER.get("path") != path:
-        _WORKER.update(path=path, counter=Tiers(path, held.value))
-    _WORKER["counter"].frequent = held.value  # the cache of exact counts outlives a table
-    return _WORKER["counter"]
+def _worker(path: str, table: str, held) -> Tiers:
+    if _WORKER.get("of") != (path, table):
+        old = _WORKER.get("tiers") if _WORKER.get("of", ("",))[0] == path else None
+        frequent, of = held.value
+        _WORKER.update(of=(path, table), tiers=Tiers(path, frequent, of))
+        if old:  # exact counts outlive a table
+            _WORKER["tiers"].cache = old.cache
+    return _WORKER["tiers"]
 
 
 def frequent_pretokens(df: DataFrame, path: str, size: int = 8192, per_task: int = 2048, counters: int = 65_536, text_col: str = "text") -> dict[str, int]:
@@ -144,16 +153,17 @@ def frequent_pretokens(df: DataFrame, path: str, size: int = 8192, per_task: int
 
     parts = df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(summarise, "word string, n long")
     rows = parts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).toArrow()
-    words = [w for w in rows["word"].to_pylist() if _SPLIT(w) == [w]]
-    return dict(zip(words, Tiers(path, {}).pieces(words), strict=True))
+    tiers = Tiers(path, {}, classes())
+    words = [w for w in rows["word"].to_pylist() if tiers.pretokens(w, w.encode()) == [w]]
+    return dict(zip(words, tiers.pieces(words), strict=True))
 
 
 def token_counts(df: DataFrame, path: str, frequent: dict[str, int], limit: int = 1024, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Append n_bytes, n_tokens and over_limit to every row; a narrow map."""
-    held = df.sparkSession.sparkContext.broadcast(frequent)
+    held, table = df.sparkSession.sparkContext.broadcast((frequent, classes())), uuid.uuid4().hex
 
     def run(texts):
-        counter = _worker(path, held)
+        counter = _worker(path, table, held)
         data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         n = counter.count([t or "" for t in texts], data)
         return {"n_bytes": pa.array([len(d) for d in data], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([k > limit for k in n], pa.bool_())}

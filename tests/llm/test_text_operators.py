@@ -249,14 +249,30 @@ def test_op5_equals_the_library(spark, texts):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((t or "").encode()), n, n > 100)
 
 
-def test_op5_pattern_classes_agree_below_the_bound():
+def test_op5_patterns_cut_as_the_library_for_all_code_points():
     from tokenizers import Tokenizer
 
     pre = Tokenizer.from_file(BPE).pre_tokenizer
-    cut = tc.compiled()
-    for cp in range(tc.BELOW):
-        s = f"a{chr(cp)}1{chr(cp)}! {chr(cp)}  {chr(cp)}{chr(cp)}'s"
-        assert [x[1] for x in pre.pre_tokenize_str(s)] == [m.span() for m in cut.finditer(s)]
+    cuts = [tc.compiled(tc.classes(), b) for b in tc.BOUNDS]
+    points = [*range(0x3000), *range(0x3000, 0x110000, 97), *range(0x1F5F0, 0x1F650), *(x for k in "LNS" for r in tc.classes()[k] for x in (r[0] - 1, r[0], r[1], r[1] + 1))]
+    for cp in points:
+        if 0 <= cp < 0x110000 and not 0xD800 <= cp < 0xE000:
+            s = f"a{chr(cp)}1{chr(cp)}! {chr(cp)}  {chr(cp)}{chr(cp)}'s"
+            want = [x[1] for x in pre.pre_tokenize_str(s)]
+            assert all([m.span() for m in cut.finditer(s)] == want for cut, b in zip(cuts, tc.BOUNDS, strict=True) if cp < b)
+
+
+def test_op5_texts_of_all_scripts_pass_through_both_tiers(monkeypatch):
+    """Curly quotes, dashes, Chinese, emoji and letters beyond the basic plane do not leave the tiers, and count right."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BPE)
+    tiers = tc.Tiers(BPE, {" the": 1}, tc.classes())
+    monkeypatch.setattr(tiers, "encoded", lambda texts: [0 for _ in texts])
+    rnd = random.Random(15)
+    alphabet = [*"ab1 .,\n\t' “”’—…é", *"日本語中文", *"привет", *"עברית", *"हिन्दी", "😀", "👍🏽", "𝒜", "𐐷", "\u2028", "\u3000", "\u0301", "Ⅷ", "½", " the", "'s", "'ll"]
+    some = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(1, 80))) for _ in range(400)]
+    assert tiers.count(some, [t.encode() for t in some]) == [len(tok.encode(t, add_special_tokens=False).ids) for t in some]
 
 
 def test_op6_equals_sentencepiece_and_decodes(spark, texts):
