@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,9 +60,11 @@ def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where nothing is set (local tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset, a temporary one of a local master, and of no cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='embergrid-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
@@ -77,6 +79,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than a HOT-th of all rows (LEAST_HOT at least) is dealt over several tasks.
+HOT, LEAST_HOT = 1024, 64
+
+
+def hot_keys(rows: DataFrame, key: str, total: int, n: Column | None = None) -> DataFrame:
+    """Keys of more than ``total / HOT`` rows, fewer than HOT of them, with the number of parts to cut each into."""
+    most = max(total // HOT, LEAST_HOT)
+    counted = rows.groupBy(key).agg((F.sum(n) if n is not None else F.count("*")).alias("__n"))
+    return counted.where(F.col("__n") > most).select(key, F.ceil(F.col("__n") / most).cast("int").alias("__parts"))
+
+
+def salted_join(rows: DataFrame, few: DataFrame, key: str, hot: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``key`` where ``few`` has one row a key and a hot key's ``rows`` spread over as many parts as it has."""
+    h = F.broadcast(hot)
+    left = rows.join(h, key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    right = few.join(h, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return left.join(right, [key, "__part"], how).drop("__part")
+
+
 def smallest_per_group(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
     """The first ``n`` rows of each group; Spark limits the groups in each task before it shuffles them."""
     from pyspark.sql import Window

@@ -5,14 +5,16 @@ position; where it may not, the block ending there selects a bucket of windows b
 confirms. Windows of short items, shorter by nature, form a search of their own so that they do not shrink the skips of
 the others.
 
+A benchmark of more than ``max_windows`` words is searched for in several passes, each with a share of the items.
+
 Defined cases: null and empty texts have no words; items without words or with a null id have no windows; repeated items
-count once by id; a window that several items share counts for each. If the windows exceed ``max_windows`` they are not
-broadcast: the documents' windows are joined to them by hash instead, with the same result.
+count once by id; a window that several items share counts for each; texts are searched whole, however long; repeated
+rows give repeated results; a carried column gives way to an output of the same name, and to nothing else; an empty table
+has no rows, and an empty benchmark no hits.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from embergrid.llm.common import map_texts
+from embergrid.llm.common import cut, map_texts
 
 WINDOW = 10
 MAX_WINDOWS = 500_000
@@ -122,18 +124,18 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_OUT = T.StructType(
-    [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
-)
+_RANGES = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+_ITEMS = T.ArrayType(T.StringType())
+OUTPUTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def _row_arrays(n_words: list[int], n_hit: list[int], items: list[list[str]]) -> dict[str, pa.Array]:
+def _searched(texts: list[str | None], matcher: Matcher, found: str, items: str) -> dict[str, pa.Array]:
+    got = [matcher.hits(t) for t in texts]
+    pairs = pa.struct([("a", pa.int64()), ("b", pa.int64())])
     return {
-        "n_words": pa.array(n_words, pa.int64()),
-        "n_hit": pa.array(n_hit, pa.int64()),
-        "n_items": pa.array([len(i) for i in items], pa.int64()),
-        "items_sha256": pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()),
-        "contaminated": pa.array([h > 0 for h in n_hit], pa.bool_()),
+        "n_words": pa.array([g[0] for g in got], pa.int64()),
+        found: pa.array([[{"a": a, "b": b} for a, b in g[1]] for g in got], pa.list_(pairs)),
+        items: pa.array([sorted(g[2]) for g in got], pa.list_(pa.string())),
     }
 
 
@@ -147,68 +149,35 @@ def decontaminate(
 ) -> DataFrame:
     """Append n_words, n_hit, n_items, items_sha256 and contaminated to every row.
 
-    The benchmark's words are counted first: up to ``max_windows`` windows (some 100 MB at most in a worker) go to every
-    task and the search is a narrow map; a larger benchmark takes the join.
+    The benchmark's words are counted first. Up to ``max_windows`` of them (some 100 MB at most in a worker) go to every task
+    and the search is one narrow map. More are dealt to passes by a hash of the item, each a narrow map whose hits are
+    written with the rows before the next one, so that only one pass's tables are in memory.
     """
-    tests = benchmark.select(F.col("item_id"), F.col("text"))
+    tests = benchmark.select(F.col("item_id"), F.col("text")).where(F.col("item_id").isNotNull())
     n = F.size(F.split(F.coalesce("text", F.lit("")), r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"))
-    if (tests.agg(F.sum(n)).first()[0] or 0) > max_windows:
-        out = by_join(df, tests, text_col, carry)
+    passes = max(1, -(-(tests.agg(F.sum(n)).first()[0] or 0) // max(1, max_windows)))
+    names = [c for c in dict.fromkeys(carry) if c not in OUTPUTS]
+    own = [f"__kept{i}" for i in range(len(names))]  # no carried name can meet one of the search's
+    rows = df.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)], F.col(f"`{text_col}`").alias("__doc"))
+    spark, columns = df.sparkSession, []
+    for k in range(passes):
+        some = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else tests
+        got = some.toArrow()
+        held = spark.sparkContext.broadcast(Matcher.build(zip(got["item_id"].to_pylist(), got["text"].to_pylist(), strict=True)))
+        found, items = f"__found{k}", f"__items{k}"
+        out = T.StructType([T.StructField("n_words", T.LongType()), T.StructField(found, _RANGES), T.StructField(items, _ITEMS)])
+        rows = map_texts(rows, lambda texts, held=held, f=found, i=items: _searched(texts, held.value, f, i), out, "__doc", (*own, *([] if k == passes - 1 else ["__doc"]), *columns))
+        rows = rows if k == passes - 1 else cut(rows)
+        columns += [found, items]
+    covered = F.array_distinct(F.flatten(F.transform(F.flatten(F.array(*columns[::2])), lambda r: F.sequence(r["a"], r["b"] - 1))))
+    seen = F.array_sort(F.array_distinct(F.flatten(F.array(*columns[1::2]))))
+    if passes == 1:  # the ranges of one search do not overlap
+        covered_n = F.aggregate(columns[0], F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
     else:
-        rows = tests.limit(max_windows + 1).toArrow()
-        matcher = Matcher.build(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True))
-        held = df.sparkSession.sparkContext.broadcast(matcher)
-
-        def run(texts):
-            got = [held.value.hits(t) for t in texts]
-            return _row_arrays([g[0] for g in got], [sum(b - a for a, b in g[1]) for g in got], [sorted(g[2]) for g in got])
-
-        out = map_texts(df, run, _OUT, text_col, carry)
-    return out.where(~F.col("contaminated")) if only_clean else out
-
-
-def by_join(df: DataFrame, tests: DataFrame, text_col: str, carry: tuple[str, ...]) -> DataFrame:
-    """The way for benchmarks too large to broadcast: windows meet by a 128-bit digest in a shuffled join.
-
-    Rows are told apart by a number of their own, so that repeated ids stay apart. Items must be under ten words or
-    have ten-word windows, as everywhere; each distinct length of short items is a window length of its own.
-    """
-    spark = df.sparkSession
-
-    def cuts(lengths):
-        def run(batches):
-            for batch in batches:
-                keys, rows, at, size = [], [], [], []
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    words = words_of(text)
-                    for k in lengths or ([min(WINDOW, len(words))] if words else []):
-                        for i in range(len(words) - k + 1):
-                            keys.append(hashlib.blake2b(b" ".join(words[i : i + k]), digest_size=16).digest())
-                            rows.append(key)
-                            at.append(i)
-                            size.append(k)
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(keys, pa.binary()), pa.array(at, pa.int64()), pa.array(size, pa.int32())], names=["row", "key", "at", "size"])
-
-        return run
-
-    kind = "row string, key binary, at long, size int"
-    items = tests.where("item_id is not null").select(F.col("item_id").cast("string"), "text").mapInArrow(cuts(None), kind).select(F.col("row").alias("item"), "key", "size").distinct()
-    lengths = sorted(r[0] for r in items.select("size").distinct().collect())  # ten at most
-    from embergrid.llm.common import cut
-
-    numbered = cut(df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").alias("__text")).withColumn("__row", F.uuid()))
-    found = numbered.select("__row", "__text").mapInArrow(cuts(lengths), kind).join(items.drop("size"), "key")
-    per = found.groupBy("row").agg(F.collect_set(F.struct("at", "size")).alias("__at"), F.array_sort(F.collect_set("item")).alias("__items"))
-    joined = numbered.join(per, F.col("__row") == F.col("row"), "left")
-    covered = F.size(F.array_distinct(F.flatten(F.transform("__at", lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1)))))
-    counted = map_texts(joined.withColumn("__hit", F.coalesce(F.when(F.col("__at").isNotNull(), covered), F.lit(0)).cast("long")), lambda texts: {"n_words": pa.array([len(words_of(t)) for t in texts], pa.int64())}, T.StructType([_OUT["n_words"]]), "__text", (*carry, "__hit", "__items"))
-    names = [c for c in carry if c not in _OUT.names]
-    none = F.array().cast("array<string>")
-    return counted.select(
-        *names,
-        "n_words",
-        F.col("__hit").alias("n_hit"),
-        F.coalesce(F.size(F.coalesce("__items", none)), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.coalesce("__items", none), ","), 256).alias("items_sha256"),
-        (F.col("__hit") > 0).alias("contaminated"),
-    )
+        covered_n = F.size(covered).cast("long")
+    rows = rows.select(*own, "n_words", covered_n.alias("n_hit"), seen.alias("__seen"))
+    result = rows.select(
+        *[F.col(o).alias(c) for c, o in zip(names, own, strict=True)],
+        "n_words", "n_hit", F.size("__seen").cast("long").alias("n_items"), F.sha2(F.array_join("__seen", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+    return result.where(~F.col("contaminated")) if only_clean else result

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from embergrid.llm.common import cut, map_texts
+from embergrid.llm.common import cut, hot_keys, map_texts, salted_join
 from embergrid.llm.decontaminate import words_of
 
 SHINGLE = 5
@@ -41,8 +41,6 @@ BANDS = 42
 SKETCH_MOST = 54
 SKETCH = ("s0", "s1", "s2", "s3")
 TOGETHER = 1 << 15  # words of the texts that are signed in one go
-#: A key with more than a HOT-th of all rows (LEAST_HOT at least) is dealt over several tasks.
-HOT, LEAST_HOT = 1024, 64
 PAIRED = 4096  # texts of a band that one task compares with all of the band
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -193,21 +191,6 @@ def _bags(texts: list[str | None]) -> dict[str, pa.Array]:
 _BAGS = T.StructType([T.StructField("id", T.LongType()), T.StructField("check", T.LongType()), T.StructField("bag", T.ArrayType(T.LongType()))])
 
 
-def hot_keys(rows: DataFrame, key: str, total: int, n: Column | None = None) -> DataFrame:
-    """Keys of more than ``total / HOT`` rows, fewer than HOT of them, with the number of parts to cut each into."""
-    most = max(total // HOT, LEAST_HOT)
-    counted = rows.groupBy(key).agg((F.sum(n) if n is not None else F.count("*")).alias("__n"))
-    return counted.where(F.col("__n") > most).select(key, F.ceil(F.col("__n") / most).cast("int").alias("__parts"))
-
-
-def salted_join(rows: DataFrame, few: DataFrame, key: str, hot: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """Join on ``key`` where ``few`` has one row a key and a hot key's ``rows`` spread over as many parts as it has."""
-    h = F.broadcast(hot)
-    left = rows.join(h, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
-    right = few.join(h, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
-    return left.join(right, [key, "__salt"], how).drop("__salt")
-
-
 def verified(pairs: DataFrame, bags: DataFrame, similarity: float, hot: DataFrame) -> DataFrame:
     """Pairs (a, b) whose bags overlap enough, by the whole bags; ``hot``: the a of many pairs."""
     both = pairs.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
