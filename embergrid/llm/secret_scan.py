@@ -5,7 +5,8 @@ UTF-8 bytes follows its transition array and notes where a rule's match ends; fr
 reversed automaton of that rule walks back to the leftmost start. Every rule must end in its longest run of characters
 (or in fixed text), so that runs of ends are matches.
 
-Defined cases: a null text is an empty one; matches of one rule never overlap, those of different rules may; offsets are
+Defined cases: a null text is an empty one; a text is scanned whole, however long; repeated rows give repeated results; an
+empty table has no rows; a carried column gives way to an output of the same name; matches of one rule never overlap, those of different rules may; offsets are
 code points with the end exclusive; a private key reaches from its header through its END line (the text's end without
 one), and headers of certificates and public keys are no matches; matches too short for their rule are dropped after they took their characters.
 """
@@ -32,18 +33,29 @@ class Rule:
     pattern: str
     min_chars: int = 0  # of the match behind its head
     head: str = ""  # the match's unambiguous beginning that min_chars leaves out
+    kinds: tuple[tuple[str, str, int], ...] = ()  # what a match may be: kind, pattern and least length; none: no match
     until: str = ""  # a match goes on, over line ends, through the next of these, or to the text's end if there is none
 
 
 _KEYS = "(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api_?key")) + ")"
 _ASSIGN = _KEYS + r"""["']?\x20*[:=]\x20*["']?"""
 BASE = ("assign", "access", "hex")
-#: Base rules in the order of the contract, then further kinds of credentials in public formats.
+#: Kinds of credentials in public formats, each with its own pattern and its least length. Those of one rule have characters
+#: in common, so that one automaton state stands for all their tails; the kind is told by the beginning.
+PREFIXED = (
+    ("github", r"gh[opsur]_[A-Za-z0-9]+", 40), ("github_fine", r"github_pat_[A-Za-z0-9_]+", 40), ("gitlab", r"glpat-[A-Za-z0-9_-]+", 26),
+    ("slack", r"xox[abeoprs]-[A-Za-z0-9-]+", 20), ("google_api", r"AIza[A-Za-z0-9_-]+", 39), ("google_oauth", r"GOCSPX-[A-Za-z0-9_-]+", 30),
+    ("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]+", 24), ("npm", r"npm_[A-Za-z0-9]+", 40), ("pypi", r"pypi-[A-Za-z0-9_-]+", 50),
+    ("huggingface", r"hf_[A-Za-z0-9]+", 34), ("digitalocean", r"do[opr]_v1_[0-9a-f]+", 71), ("shopify", r"shp(?:at|ca|pa|ss)_[0-9a-fA-F]+", 38),
+)
+DOTTED = (("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40), ("sendgrid", r"SG\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 50))
+#: Base rules in the order of the contract, then the further ones.
 RULES = (
     Rule("assign", _ASSIGN + "[A-Za-z0-9+/_.=-]+", 6, _ASSIGN),
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{6,}", 24),
-    Rule("github", r"gh[opsu]_[A-Za-z0-9]+", 40),
+    Rule("prefixed", r"(gh[opsur]_|github_pat_|glpat-|xox[abeoprs]-|AIza|GOCSPX-|[rs]k_(live|test)_|npm_|pypi-|hf_|do[opr]_v1_|shp(at|ca|pa|ss)_)[A-Za-z0-9_-]+", kinds=PREFIXED),
+    Rule("dotted", r"(eyJ|SG\.)[A-Za-z0-9_.-]+", kinds=DOTTED),
     Rule("private_key", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY( BLOCK)?-----", until=r"-----END [A-Z0-9 ]*PRIVATE KEY( BLOCK)?-----"),
 )
 
@@ -219,26 +231,30 @@ class Ready:
     def __init__(self, scanner: Scanner):
         self.rules = scanner.rules
         self.search, self.table = scanner.search, _shared(scanner.search.table)
-        if any(scanner.search.table[10::256] != scanner.search.start):
+        # bytes behind which every state is the first one again: no match goes over them
+        self.resets = (scanner.search.table.reshape(-1, 256) == scanner.search.start).all(axis=0)
+        if not self.resets[10]:
             raise ValueError("a rule crosses a line end")
         self.back = [(d, _shared(d.table)) for d in scanner.back]
         self.heads = [re.compile(r.head.encode()) for r in scanner.rules]
+        self.kinds = [[(k, re.compile(p.encode()), n) for k, p, n in r.kinds] for r in scanner.rules]
         self.until = [re.compile(r.until.encode()) if r.until else None for r in scanner.rules]
 
     def ends(self, data: bytes, narrow: int = 24) -> list[tuple[int, int]]:
         """(end, state) wherever a match ends: the one pass over the bytes.
 
-        No rule's pattern crosses a line end, where every state goes back to the first (checked when the scanner is made), so the
-        lines advance together in numpy, the longest few of them at last alone.
+        No match goes over a line end, nor over other bytes that lead every state back to the first, such as most marks and all
+        non-ASCII bytes: what lies between them is a lane of its own. Lanes advance together in numpy, the longest few of
+        them at last alone.
         """
         a = np.frombuffer(data, np.uint8)
-        breaks = np.flatnonzero(a == 10)
+        breaks = np.flatnonzero(self.resets[a])
         starts = np.concatenate([[0], breaks + 1])
         size = np.concatenate([breaks, [len(a)]]) - starts
+        starts, size = starts[size > 0], size[size > 0]
         order = np.argsort(-size, kind="stable")
         starts, size = starts[order], size[order]
-        narrow = min(narrow, len(size) - 1)
-        together = int(size[narrow]) if len(size) else 0
+        together = int(size[min(narrow, len(size) - 1)]) if len(size) else 0
         lanes = np.searchsorted(-size, -np.arange(together), side="left")
         table, accept = self.search.table, self.search.accept
         state = np.full(len(size), self.search.start, np.int32)
@@ -318,17 +334,20 @@ class Ready:
                     close = self.until[k].search(data, end)
                     end = close.end() if close else len(data)
                 low = end
-                if end - self.heads[k].match(data, start, end).end() >= self.rules[k].min_chars:
-                    found.append((start, k, end))
+                if self.kinds[k]:
+                    of = ((kind, m.end()) for kind, p, n in self.kinds[k] if (m := p.match(data, start, end)) and m.end() - start >= n)
+                    found += [(start, k, to, kind) for kind, to in of]
+                elif end - self.heads[k].match(data, start, end).end() >= self.rules[k].min_chars:
+                    found.append((start, k, end, self.rules[k].kind))
         found.sort()
         if len(data) == len(text):
-            return [(self.rules[k].kind, s, e) for s, k, e in found]
-        points = {at: 0 for s, _, e in found for at in (s, e)}
+            return [(kind, s, e) for s, _, e, kind in found]
+        points = {at: 0 for s, _, e, _ in found for at in (s, e)}
         last = done = 0
         for at in sorted(points):
             done += len(data[last:at].decode("utf-8", "surrogatepass"))
             points[at], last = done, at
-        return [(self.rules[k].kind, points[s], points[e]) for s, k, e in found]
+        return [(kind, points[s], points[e]) for s, _, e, kind in found]
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:
