@@ -65,10 +65,31 @@ def test_run_equals_stages(spark, stages):
     assert sorted(zip(got.doc_id, got.n_tokens, strict=True)) == sorted(zip(stages[4][1].doc_id, stages[4][1].n_tokens, strict=True))
 
 
-def test_odd_rows_pass_all_stages(spark):
+LONG = " ".join(f"w{i}." for i in range(60))
+
+
+def test_odd_rows_have_defined_results_in_all_stages(spark):
+    """Nulls, ids that repeat or are missing, empty and very long texts, copies, extra columns, empty tables."""
+    sf = "/root/testdata/sf0.001"
+    huge = " ".join(f"v{i}" + ("." if i % 9 == 0 else "") for i in range(60_000))
+    rows = [(1, None), (None, "x " * 50), (2, ""), (3, LONG), (3, LONG), (None, LONG), (4, "Prose of a kind. " + LONG), (4, huge), (None, "Other words. " + LONG.replace("w", "u"))]
+    docs = spark.createDataFrame([(i, t, None, "s", None, "more") for i, t in rows], SCHEMA + ", kept string").select("kept", "text", "n_chars", "doc_id", "lang", "source")
+    texts = lambda df: sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:8]) for r in df.collect())
+    out = []
+    for _, f in cp.STAGES:
+        docs = cp.cut(f(spark, docs, sf))
+        out.append(docs)
+    good = [(False, 3, "w0. w1. "), (False, 3, "w0. w1. "), (False, 4, "Prose of"), (False, 4, "v0. v1 v"), (True, 0, "Other wo"), (True, 0, "w0. w1. ")]
+    assert texts(out[0]) == sorted(good)
+    left = [(False, 3, "w0. w1. "), (False, 4, "v0. v1 v"), (True, 0, "Other wo")]
+    assert texts(out[1]) == texts(out[2]) == texts(out[3]) == left
+    last = out[4].collect()
+    assert len(last) == 3 and all(r.parity and r.roundtrip and r.n_tokens == len(r.token_ids) for r in last) and max(r.n_tokens for r in last) > 60_000
+
+
+def test_each_stage_alone_on_null_and_empty_texts_and_empty_tables(spark):
     sf = "/root/testdata/sf0.001"
-    docs = spark.createDataFrame([(1, None, None, None, None), (None, "x " * 50, "en", "s", 3), (2, "", "en", "s", 0), (3, "Prose of a kind. " * 2 + " ".join(f"w{i}." for i in range(50)), None, None, None)], SCHEMA)
-    for rows in (docs, docs.where("false")):
-        for _, f in cp.STAGES:
-            rows = f(spark, rows, sf)
-            rows.collect()
+    docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "", "en", "s", 0), (None, None, "en", "s", 0)], SCHEMA)
+    for (name, f), want in zip(cp.STAGES, [[], [1, 2], [None, 1, 2, 3], [None, 1, 2, 3], [None, 1, 2, 3]], strict=True):
+        assert sorted((r.doc_id for r in f(spark, docs, sf).collect()), key=lambda i: i or 0) == want, name
+        assert f(spark, docs.where("false"), sf).count() == 0
