@@ -13,10 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write once in the shared folder of spark.checkpoint.dir (a temporary one where none is set) and read again."""
+    """Write once in the shared folder of spark.checkpoint.dir (where it is unset, a temporary one of a local master, and
+    of no cluster) and read again."""
     conf = df.sparkSession.conf
     root = conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='embergrid-')}"
         conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
