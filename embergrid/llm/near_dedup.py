@@ -284,17 +284,12 @@ def _verdicts(df: DataFrame, similarity: float, text_col: str = "text", id_col:
     labels = components(edges)
     member = cut(shared.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label")))
     mixed = member.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("band", "m")
-    # pairs that fail are turned down inside the join: no row is made for them, and each pair is judged in one band
     open_ = salted_join(member, mixed, "band", crowded, ["id"]).join(texts.select("id", "bands", "n", *SKETCH), "id").join(bags, "id")
-    # a crowded band's pairs are judged in several tasks: one side is dealt, the other goes to each
-    parts = F.ceil(F.col("m") / PAIRED).cast("int")
     open_ = cut(open_)
-    p = open_.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).alias("p")
-    q = open_.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("q")
-    apart = (F.col("p.band") == F.col("q.band")) & (F.col("p.part") == F.col("q.part")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.label") != F.col("q.label"))
-    once = F.array_min(F.array_intersect("p.bands", "q.bands")) == F.col("p.band")
-    more = p.join(q, apart & _sizes("p", "q", similarity) & _near("p", "q") & once & _alike(F.col("p.bag"), F.col("q.bag"), similarity))
-    more = cut(more.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")))
+    few, many, parts = open_.where(F.col("m") <= PAIRED).withColumn("part", F.lit(0)), open_.where(F.col("m") > PAIRED), F.ceil(F.col("m") / PAIRED).cast("int")
+    # a crowded band's pairs are judged in several tasks: one side is dealt, the other goes to each
+    dealt, repeated = many.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")), many.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    more = cut(_cross(few, few, similarity).union(_cross(dealt, repeated, similarity)))
     if more.limit(1).count():
         labels = components(edges.union(more))
     # classes from one row a text; every row then learns its text's class
@@ -308,6 +303,18 @@ def _verdicts(df: DataFrame, similarity: float, text_col: str = "text", id_col:
     return out.select("doc_id", "__key", "class_id", "n_class", kept.alias("kept")), repeats
 
 
+def _cross(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of one band's part, of different components, whose bags overlap enough.
+
+    Pairs that fail are turned down inside the join: no row is made for them, and each pair is judged in one band.
+    """
+    p, q = left.alias("p"), right.alias("q")
+    apart = (F.col("p.band") == F.col("q.band")) & (F.col("p.part") == F.col("q.part")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.label") != F.col("q.label"))
+    once = F.array_min(F.array_intersect("p.bands", "q.bands")) == F.col("p.band")
+    met = p.join(q, apart & _sizes("p", "q", similarity) & _near("p", "q") & once & _alike(F.col("p.bag"), F.col("q.bag"), similarity))
+    return met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+
+
 def _sizes(a: str, b: str, similarity: float) -> Column:
     """Whether bags of these sizes can be alike at all."""
     x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
