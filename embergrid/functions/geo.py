@@ -28,16 +28,36 @@ def in_ellipse(lat: Column, lon: Column, site_lat: Column, site_lon: Column, km:
     return F.pow((lat - site_lat) / (km / 111.0), 2) + F.pow((lon - site_lon) / (F.lit(km) / (111.0 * F.cos(F.radians(site_lat)))), 2) <= 1
 
 
-def cell_degrees(km: float, max_abs_lat: float) -> tuple[float, float]:
-    """Heights and widths, in degrees, of cells no narrower than ``km`` up to ``max_abs_lat``."""
-    high = km / KM_PER_DEGREE * 1.0001
-    return high, high / math.cos(math.radians(max_abs_lat))
+def row_degrees(km: float) -> float:
+    """Height, in degrees, of rows of cells no lower than ``km``."""
+    return km / KM_PER_DEGREE * 1.0001
 
 
 def cell(value: Column, degrees: float) -> Column:
     return F.floor(value / degrees).cast("long")
 
 
+def cells_around(row: Column, high: float) -> Column:
+    """How many cells, each at least as wide as high, a row holds around the globe; the row's neighbours count as its own,
+    so that points of any two neighbouring rows within ``high`` of each other lie at most one cell apart."""
+    reach = F.least(F.lit(90.0), F.greatest(F.abs(row - 1), F.abs(row + 2)) * high)
+    n = F.floor(360.0 * F.cos(F.radians(reach)) / (high * 1.05)).cast("long")
+    return F.when(n < 12, 1).otherwise(n).cast("long")
+
+
+def cell_in_row(lon: Column, around: Column) -> Column:
+    """The cell of a longitude, counted eastward from the antimeridian."""
+    return F.pmod(F.floor((lon + 180.0) / 360.0 * around).cast("long"), around)
+
+
+def tile(lat: Column, lon: Column, km: float) -> Column:
+    """A tile (row, column) whose points are all within ``km`` of each other."""
+    high = km / KM_PER_DEGREE / math.sqrt(2) * 0.99
+    row = cell(lat, high)
+    wide = high / F.cos(F.radians(F.least(F.abs(row), F.abs(row + 1)) * high))
+    return F.struct(row.alias("y"), F.floor(lon / wide).cast("long").alias("x"))
+
+
 def circle(lat: Column, lon: Column, metres: Column, corners: int = 32) -> Column:
     """Closed ring of [lon, lat] vertices, rounded to seven places; the first one east of the centre."""
     def vertex(i):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from embergrid.config import INACTIVE, EventConfig
 from embergrid.functions.records import confidence_rank
-from embergrid.operators.spatial import spread
+from embergrid.operators.spatial import cells_near, home_cell
 
 
 def count_passes(times: Column, gap_minutes: int = 30) -> Column:
@@ -38,34 +38,48 @@ def _km(lat1, lon1, lat2, lon2) -> float:
 
 def fold_component(pdf: pd.DataFrame, radius_km: float) -> pd.DataFrame:
     """Detections of one component in order of arrival: each joins the nearest event strictly within the radius (the
-    most recently seen one first among equals) or opens one. Events are named by their first detection."""
-    events: list[list] = []  # name, lat, lon, n, latest
-    names = []
-    for r in pdf.sort_values("seq").itertuples():
-        best, at = radius_km, None
-        for e in sorted(events, key=lambda e: e[4], reverse=True):
-            d = _km(r.lat, r.lon, e[1], e[2])
-            if d < best:
-                best, at = d, e
-        if at is None:
-            at = [r.seq, r.lat, r.lon, 0, r.acq]
-            events.append(at)
-        n = at[3]
-        at[1:5] = (at[1] * n + r.lat) / (n + 1), (at[2] * n + r.lon) / (n + 1), n + 1, max(at[4], r.acq)
-        names.append(at[0])
-    return pdf.sort_values("seq").assign(event_seq=names)[["seq", "event_seq"]]
-
-
-def cell_components(cells: DataFrame, most: int = 200) -> DataFrame:
-    """(cy, cx, label) of occupied cells joined over their eight neighbours, by repeated least labels.
-
-    Labels run along whole components with pointer jumping over cell numbers; rounds are checkpointed.
+    most recently seen one first among equals, then the older one) or opens one. Events are named by their first
+    detection and found through the cell of their centroid, so that a detection meets only those around it."""
+    pdf = pdf.sort_values("seq")
+    high = radius_km / 111.19 * 1.001
+    flat = pdf.lon.max() - pdf.lon.min() > 180 or pdf.lat.abs().max() > 85  # cells of all longitudes
+    wide = 1e9 if flat else high / math.cos(math.radians(min(89.0, pdf.lat.abs().max() + high))) * 1.01
+    cells: dict[tuple[int, int], dict[int, list]] = {}
+    names, n_events = [], 0
+    for seq, lat, lon, acq in zip(pdf.seq.tolist(), pdf.lat.tolist(), pdf.lon.tolist(), pdf.acq.tolist(), strict=True):
+        y, x = math.floor(lat / high), math.floor(lon / wide)
+        best = None
+        for cy in (y - 1, y, y + 1):
+            for cx in (x - 1, x, x + 1):
+                for number, e in cells.get((cy, cx), {}).items():
+                    d = _km(lat, lon, e[1], e[2])
+                    if d < radius_km and (best is None or (d, -e[4], number) < best[0]):
+                        best = (d, -e[4], number), (cy, cx), e
+        if best is None:
+            number, e = n_events, [seq, lat, lon, 1, acq]
+            n_events += 1
+        else:
+            (_, _, number), old, e = best
+            del cells[old][number]
+            n = e[3]
+            e[1:5] = (e[1] * n + lat) / (n + 1), (e[2] * n + lon) / (n + 1), n + 1, max(e[4], acq)
+        cells.setdefault((math.floor(e[1] / high), math.floor(e[2] / wide)), {})[number] = e
+        names.append(e[0])
+    return pd.DataFrame({"seq": pdf.seq.to_numpy(), "event_seq": names})
+
+
+def cell_components(places: DataFrame, km: float, most: int = 200) -> DataFrame:
+    """(id, label) of the cells that hold places (lat, lon), joined where places of them may be ``km`` apart.
+
+    Labels run along whole components with pointer jumping over cell numbers; rounds are written to the shared folder.
     """
     from embergrid.sources.tables import cut
 
-    ids = cells.select("cy", "cx").distinct().withColumn("id", F.xxhash64("cy", "cx"))
-    near = spread(ids, 1, "cy", "cx").select("cy", "cx", F.col("id").alias("other")).join(ids, ["cy", "cx"]).select("id", "other").where("id != other")
-    near = cut(near)
+    own = home_cell(places.select("lat", "lon").distinct(), km).withColumn("id", F.xxhash64("cy", "cx")).drop("cy", "cx")
+    ids = cut(own.select("id").distinct())
+    near = cells_near(own, km).select("id", F.xxhash64("cy", "cx").alias("other")).where("id != other").distinct()
+    near = near.join(ids.withColumnRenamed("id", "other"), "other", "left_semi")
+    near = cut(near.union(near.select(F.col("id").alias("other"), F.col("other").alias("id")).select("other", "id")).distinct())
     labels = cut(ids.select("id", F.col("id").alias("label")))
     for _ in range(most):
         least = near.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("least"))
@@ -74,24 +88,22 @@ def cell_components(cells: DataFrame, most: int = 200) -> DataFrame:
         new = cut(new.join(jump, "l1").select("id", "label", F.least("l1", "l2").alias("new")))
         labels, done = new.select("id", F.col("new").alias("label")), not new.where("new != label").limit(1).count()
         if done:
-            return ids.join(labels, "id").select("cy", "cx", "label")
+            return labels
     raise RuntimeError("cell components did not settle")
 
 
-def associate(dets: DataFrame, cfg: EventConfig = EventConfig(), max_abs_lat: float = 40.0) -> DataFrame:
+def associate(dets: DataFrame, cfg: EventConfig = EventConfig()) -> DataFrame:
     """Append event_seq, the arrival number of the detection that opened the row's event.
 
     An event's members stay within twice the radius of its last one, so events never leave a component of cells that wide;
     components are folded in parallel, each in order of arrival, with the result of one sequential pass. Input: seq
     (unique), lat, lon, acq. A component is as large as a connected burning area, which a task must hold.
     """
-    from embergrid.functions.geo import cell, cell_degrees
-
-    high, wide = cell_degrees(2 * cfg.radius_km * 1.02, max_abs_lat)
-    keyed = dets.withColumn("cy", cell(F.col("lat"), high)).withColumn("cx", cell(F.col("lon"), wide))
-    labelled = keyed.join(cell_components(keyed), ["cy", "cx"])
+    km = 2 * cfg.radius_km * 1.02
+    keyed = home_cell(dets, km).withColumn("id", F.xxhash64("cy", "cx"))
+    labelled = keyed.join(cell_components(dets, km), "id")
     radius = cfg.radius_km
-    folded = labelled.select("label", "seq", "lat", "lon", "acq").groupBy("label").applyInPandas(lambda pdf: fold_component(pdf, radius), "seq long, event_seq long")
+    folded = labelled.select("label", "seq", "lat", "lon", F.unix_micros(F.col("acq").cast("timestamp")).alias("acq")).groupBy("label").applyInPandas(lambda pdf: fold_component(pdf, radius), "seq long, event_seq long")
     return dets.join(folded, "seq")
 
 

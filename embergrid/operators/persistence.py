@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embergrid.config import PersistenceConfig
+from embergrid.functions.geo import tile
 from embergrid.operators.spatial import spatial_join
 
 
@@ -14,18 +15,28 @@ def persistence(dets: DataFrame, cfg: PersistenceConfig = PersistenceConfig()) -
 
     Outcomes: bypass (high confidence), persistent, promoted (held, then met in the next frame), discarded (held, not
     met) and held (no next frame yet). ``emit_frame`` is the frame in which a passing row comes out; it keeps its time.
-    Frames without detections advance the window by their number. The last frame's number is the table's greatest, or a
+    ``det_id`` names a detection. Frames without detections advance the window by their number. The last frame's number is the table's greatest, or a
     frame_no of rows without det_id that only mark empty frames.
     """
     real = dets.where(F.col("det_id").isNotNull())
+    steps = (-1, *range(1, cfg.window + 1))  # how far back a frame lies; -1 is the next one
+    every = (1 << len(steps)) - 1
+    # a detection in the same tile is near without a look at distances: that settles most frames of crowded places
+    tiled = real.withColumn("__tile", tile(F.col("lat"), F.col("lon"), cfg.km))
+    seen = tiled.select("frame_no", "__tile").distinct()
+    bits = F.explode(F.array(*[F.struct((F.col("frame_no") + s).alias("f"), F.lit(1 << i).alias("bit")) for i, s in enumerate(steps)])).alias("m")
+    seen = seen.select("__tile", bits).groupBy("__tile", F.col("m.f").alias("frame_no")).agg(F.bit_or("m.bit").alias("__bits"))
+    tiled = tiled.select("det_id", "frame_no", "lat", "lon", "__tile").join(seen, ["__tile", "frame_no"], "left").select("det_id", "frame_no", "lat", "lon", F.coalesce("__bits", F.lit(0)).alias("__bits"))
+    # what is open looks for any detection within the distance, frame by frame
+    look = F.explode(F.filter(F.array(*[F.struct((F.col("frame_no") - s).alias("f"), F.lit(1 << i).alias("bit")) for i, s in enumerate(steps)]), lambda m: F.col("__bits").bitwiseAND(m["bit"]) == 0))
+    open_ = tiled.where(F.col("__bits") != every).withColumn("__m", look).select("det_id", "frame_no", "lat", "lon", F.col("__m.f").alias("__f"), F.col("__m.bit").alias("__bits"))
     other = real.select(F.col("frame_no").alias("r_frame"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    steps = F.explode(F.array(*[F.lit(s) for s in (-1, *range(1, cfg.window + 1))]))  # frames are part of the join's key
-    other = other.withColumn("__step", steps).withColumn("r_meets", F.col("r_frame") + F.col("__step")).drop("__step")
-    pairs = spatial_join(real, other, cfg.km, on=[("frame_no", "r_meets")])
-    met = pairs.groupBy("det_id").agg(
-        F.count_distinct(F.when(F.col("r_frame") < F.col("frame_no"), F.col("r_frame"))).alias("n_prior"),
-        F.coalesce(F.max(F.col("r_frame") == F.col("frame_no") + 1), F.lit(False)).alias("met_next"),
-    )
+    near = spatial_join(open_, other, cfg.km, "left_semi", on=[("__f", "r_frame")])
+    met = tiled.select("det_id", "frame_no", "__bits").unionByName(near.select("det_id", "frame_no", "__bits")).groupBy("det_id", "frame_no").agg(F.bit_or("__bits").alias("__bits"))
+    # rows that share an id are one detection, which met the frames that any of them met
+    back = F.array_compact(F.array(*[F.when(F.col("__bits").bitwiseAND(1 << i) != 0, F.col("frame_no") - s) for i, s in enumerate(steps) if s > 0]))
+    met = met.select("det_id", back.alias("__back"), (F.col("__bits").bitwiseAND(1) != 0).alias("__next"))
+    met = met.groupBy("det_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("__back")))).cast("long").alias("n_prior"), F.max("__next").alias("met_next"))
     last = dets.agg(F.max("frame_no").alias("__last"))
     out = real.join(met, "det_id", "left").crossJoin(F.broadcast(last))  # one row
     n = F.coalesce(F.col("n_prior"), F.lit(0))

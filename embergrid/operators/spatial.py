@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from embergrid.functions.geo import cell, cell_degrees, haversine_km
+from embergrid.functions.geo import cell, cell_in_row, cells_around, haversine_km, row_degrees
 
 
 def spread(df: DataFrame, reach: int, *names: str) -> DataFrame:
@@ -15,6 +15,20 @@ def spread(df: DataFrame, reach: int, *names: str) -> DataFrame:
     return df
 
 
+def home_cell(df: DataFrame, km: float, lat: str = "lat", lon: str = "lon", y: str = "cy", x: str = "cx") -> DataFrame:
+    """Append the cell of each row's place. Rows of cells are as wide as their latitude asks for."""
+    high = row_degrees(km)
+    return df.withColumn(y, cell(F.col(lat), high)).withColumn(x, cell_in_row(F.col(lon), cells_around(F.col(y), high)))
+
+
+def cells_near(df: DataFrame, km: float, lat: str = "lat", lon: str = "lon", y: str = "cy", x: str = "cx") -> DataFrame:
+    """Each row once for every cell that may hold a place at most ``km`` away, across the antimeridian, too."""
+    high = row_degrees(km)
+    df = spread(df.withColumn(y, cell(F.col(lat), high)), 1, y).withColumn("__n", cells_around(F.col(y), high))
+    own = cell_in_row(F.col(lon), F.col("__n"))
+    return df.withColumn(x, F.explode(F.array_distinct(F.array(*[F.pmod(own + o, F.col("__n")) for o in (-1, 0, 1)])))).drop("__n")
+
+
 def spatial_join(
     left: DataFrame,
     right: DataFrame,
@@ -22,19 +36,19 @@ def spatial_join(
     how: str = "inner",
     on: list[tuple[str, str]] | None = None,
     residual: Column | None = None,
-    max_abs_lat: float = 60.0,
     strict: bool = False,
 ) -> DataFrame:
     """Join rows (lat, lon on the left; r_lat, r_lon on the right) at most ``km`` apart.
 
-    A left row lies in one cell and meets the right rows of the nine cells around it, so no pair comes twice. ``how`` is
-    inner, left, left_semi or left_anti; ``on`` adds equalities, ``residual`` any condition over both sides.
+    A left row lies in one cell and meets the right rows of the nine cells around it, so no pair comes twice. Rows of cells
+    are as wide as their latitude asks for and close at the antimeridian, so that any place on the globe will do. ``how``
+    is inner, left, left_semi or left_anti; ``on`` adds equalities, ``residual`` any condition over both sides.
     """
-    high, wide = cell_degrees(km, max_abs_lat)
-    a = left.withColumn("__cy", cell(F.col("lat"), high)).withColumn("__cx", cell(F.col("lon"), wide))
-    b = spread(right.withColumn("__ry", cell(F.col("r_lat"), high)).withColumn("__rx", cell(F.col("r_lon"), wide)), 1, "__ry", "__rx")
+    high = row_degrees(km)
+    a, b = home_cell(left, km, y="__cy", x="__cx"), cells_near(right, km, "r_lat", "r_lon", "__ry", "__rx")
     far = haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
-    cond = (F.col("__cy") == F.col("__ry")) & (F.col("__cx") == F.col("__rx")) & ((far < km) if strict else (far <= km))
+    # the cheap test first: most pairs of neighbouring cells differ too much in latitude alone
+    cond = (F.col("__cy") == F.col("__ry")) & (F.col("__cx") == F.col("__rx")) & (F.abs(F.col("lat") - F.col("r_lat")) <= high) & ((far < km) if strict else (far <= km))
     for x, y in on or []:
         cond = cond & (F.col(x) == F.col(y))
     if residual is not None:

@@ -5,11 +5,12 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from embergrid.config import ContextualConfig, CusumConfig
-from embergrid.functions import records, solar
+from embergrid.functions import geo, records, solar
 from embergrid.operators import contextual, cusum, events, masks
 from embergrid.operators import series as ops
 from embergrid.operators.spatial import spatial_join
@@ -90,6 +91,24 @@ def test_spatial_join_equals_all_pairs(spark):
     assert spatial_join(a, b, 5.0, "left_anti").count() == 300 - len({p for p, _ in want})
 
 
+def plain_association(pdf, radius):
+    """One pass over all detections in order of arrival, each against all events."""
+    found, names = [], []
+    for r in pdf.sort_values("seq").itertuples():
+        best, at = radius, None
+        for e in sorted(found, key=lambda e: e[4], reverse=True):
+            d = events._km(r.lat, r.lon, e[1], e[2])
+            if d < best:
+                best, at = d, e
+        if at is None:
+            at = [r.seq, r.lat, r.lon, 0, r.acq]
+            found.append(at)
+        n = at[3]
+        at[1:5] = (at[1] * n + r.lat) / (n + 1), (at[2] * n + r.lon) / (n + 1), n + 1, max(at[4], r.acq)
+        names.append(at[0])
+    return pd.DataFrame({"seq": sorted(pdf.seq), "event_seq": names})
+
+
 def test_association_equals_one_sequential_pass(spark):
     rnd = random.Random(7)
     rows = []
@@ -98,7 +117,7 @@ def test_association_equals_one_sequential_pass(spark):
         rows.append((i, lat + rnd.random() * 0.04, lon + rnd.random() * 0.04, datetime(2026, 1, 1) + timedelta(minutes=rnd.randrange(5000))))
     df = spark.createDataFrame(rows, "seq long, lat double, lon double, acq timestamp")
     got = {r.seq: r.event_seq for r in events.associate(df).collect()}
-    want = events.fold_component(df.toPandas(), 2.0)
+    want = plain_association(df.toPandas(), 2.0)
     assert got == dict(zip(want.seq, want.event_seq, strict=True))
 
 
@@ -221,3 +240,29 @@ def test_archive_prefers_folders(spark):
     files = [("/a/20260101_0000/x_B07.DAT",), ("/a/HS_H09_20260101_0000_B07_FLDK_R20_S0810.DAT",), ("/a/HS_H09_20260102_0010_B14_FLDK_R20_S0910.DAT",), ("/a/readme",)]
     got = {r.frame: r.path for r in feeds.archive(spark.createDataFrame(files, "path string")).collect()}
     assert got == {"20260101_0000": files[0][0], "20260102_0010": files[2][0]}
+
+
+@pytest.mark.parametrize("lat, lon", [(-33.0, 150.0), (0.0, 179.9), (71.0, -179.95), (-88.9, 10.0), (90.0, 0.0), (64.0, 0.0)])
+def test_spatial_join_anywhere_on_the_globe(spark, lat, lon):
+    """Beyond 60 degrees, at the poles and across the antimeridian, against all pairs."""
+    rnd = random.Random(int(lat * 10 + lon))
+    place = lambda: (max(-90.0, min(90.0, lat + rnd.uniform(-0.4, 0.4))), (lon + rnd.uniform(-2, 2) + 180) % 360 - 180)
+    a, b = [place() for _ in range(60)], [place() for _ in range(60)]
+    left = spark.createDataFrame([(i, *p) for i, p in enumerate(a)], "i long, lat double, lon double")
+    right = spark.createDataFrame([(j, *p) for j, p in enumerate(b)], "j long, r_lat double, r_lon double")
+    got = [(r.i, r.j) for r in spatial_join(left, right, 20.0).select("i", "j").collect()]
+    assert sorted(got) == [(i, j) for i, p in enumerate(a) for j, q in enumerate(b) if events._km(*p, *q) <= 20.0] and got
+    tiled = left.select("i", geo.tile(left.lat, left.lon, 20.0).alias("t")).collect()
+    assert all(events._km(*a[x.i], *a[y.i]) <= 20.0 for x in tiled for y in tiled if x.t == y.t)
+
+
+@pytest.mark.parametrize("lat, lon", [(-33.0, 150.0), (66.0, 20.0), (10.0, 179.99)])
+def test_association_equals_one_pass_anywhere(spark, lat, lon):
+    rnd = random.Random(4)
+    rows = [(i, lat + rnd.uniform(-0.1, 0.1), (lon + rnd.uniform(-0.005, 0.005) * (20 if lon < 179 else 1) + 180) % 360 - 180, i // 3) for i in range(150)]
+    df = spark.createDataFrame(rows, "seq long, lat double, lon double, n int").withColumn("acq", F.timestamp_seconds("n"))
+    got = {r.seq: r.event_seq for r in events.associate(df).collect()}
+    if lon < 179:
+        want = plain_association(df.toPandas(), 2.0)
+        assert got == dict(zip(want.seq, want.event_seq, strict=True)) and len(set(got.values())) < 150
+    assert len(got) == 150
