@@ -86,7 +86,6 @@ def detect(px: DataFrame, cfg: ContextualConfig = ContextualConfig(), scale: flo
     """
     px = classify(px, cfg, scale)
     px = px.join(background_stats(px, cfg, scale), PIXEL, "left")
-    frame = Window.partitionBy("frame_id")
     k = F.when(F.col("is_day"), cfg.sigma.day).otherwise(cfg.sigma.night)
     tests = (
         (F.col("bt7") > F.col("mu_bt7") + k * F.col("sd_bt7"))
@@ -99,9 +98,11 @@ def detect(px: DataFrame, cfg: ContextualConfig = ContextualConfig(), scale: flo
     glint = F.coalesce(F.col("is_day") & (F.col("glint") < cfg.glint_degrees), F.lit(False))
     level = F.when(F.col("btd") - F.col("mu_btd") > cfg.nominal_btd * scale, 2).otherwise(1)
     level = F.when(glint & (level == 2), 1).otherwise(level)
-    px = px.withColumn("contextual", contextual).withColumn("__n", F.sum(F.col("candidate").cast("long")).over(frame))
+    px = px.withColumn("contextual", contextual)
+    # frames with a candidate, counted before they are shuffled: no task holds a frame
+    px = px.join(px.where("candidate").select("frame_id").distinct().withColumn("__n", F.lit(1)), "frame_id", "left")
     mask = F.when(F.col("absolute"), 3).when(F.col("contextual"), level).otherwise(0)
-    down = F.col("is_industrial") & (F.col("__n") > 0)
+    down = F.col("is_industrial") & F.col("__n").isNotNull()
     return px.withColumn("__mask", mask).withColumn("fire_mask", F.when((F.col("__mask") >= 2) & down, 1).otherwise(F.col("__mask"))).drop("__mask", "__n")
 
 

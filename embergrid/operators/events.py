@@ -129,7 +129,8 @@ def numbered(events: DataFrame, offset: int = 0) -> DataFrame:
     parts = cut(events.repartitionByRange("event_seq").withColumn("__part", F.spark_partition_id()))
     local = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy("event_seq")))
     sizes = parts.groupBy("__part").count()
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__part") < F.col("a.__part"), "left").groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("__first"))
+    # one row a partition: a table whose size does not grow with the rows
+    before = sizes.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
     return local.join(F.broadcast(before), "__part").withColumn("id", F.col("__n") + F.col("__first") + offset).drop("__n", "__part", "__first")
 
 

@@ -613,3 +613,51 @@ def calibration_series(spark, d):
 @query()
 def cusum_heatmap(spark, d):
     return cusum.heatmap(_kalman_frames(spark, d), floor=0.00001)
+
+
+_IDS = f"""WITH {v.DET}, x AS (SELECT det_id, frame_no, (lat_u - (lat_u % 100)) / 1e6 AS lat, (lon_u - (lon_u % 100)) / 1e6 AS lon, day, frp FROM det)
+SELECT det_id, frame_no, sha256('HIMAWARI|' || printf('%.4f', lat) || '|' || printf('%.4f', lon) || '|' || strftime(day, '{{iso}}')) AS source_id,
+CASE frp % 5 WHEN 3 THEN 'high' WHEN 2 THEN 'nominal' ELSE 'low' END AS decoded,
+CASE WHEN frp % 7 = 0 THEN 'low' WHEN frp % 7 = 1 THEN 'high' WHEN frp % 7 = 2 THEN 'nominal' WHEN frp >= 80 THEN 'high' WHEN frp >= 30 THEN 'nominal' ELSE 'low' END AS feed,
+CASE WHEN frp % 3 = 0 THEN 'nominal' WHEN frp % 3 = 1 THEN CAST(frp AS VARCHAR) WHEN frp >= 80 THEN 'high' WHEN frp >= 30 THEN 'nominal' ELSE 'low' END AS typed,
+CASE WHEN frp % 10 <> 0 THEN frp % 10 WHEN frp % 4 <> 0 THEN frp % 4 ELSE 0 END AS truthy,
+CASE WHEN frp % 180 < 85 THEN 'D' ELSE 'N' END AS daynight,
+CASE WHEN frp % 101 > 80 THEN 'very high' WHEN frp % 101 > 50 THEN 'high' WHEN frp % 101 > 20 THEN 'moderate' ELSE 'low' END AS band,
+day + to_minutes(CAST(60 * (frp % 24) + frp % 60 AS BIGINT)) AS seen FROM x"""
+
+
+@query(_IDS.replace("{iso}", "%Y-%m-%dT%H:%M:%S+00:00"))
+def record_fields(spark, d):
+    """Record fields of every detection: ids, the feeds' confidence forms, first values, day letters, bands and clocks."""
+    frp = F.col("frp")
+    x = v.det(spark, d).withColumn("lat", (F.col("lat_u") - F.col("lat_u") % 100) / 1e6).withColumn("lon", (F.col("lon_u") - F.col("lon_u") % 100) / 1e6)
+    raw = F.when(frp % 7 == 0, "L").when(frp % 7 == 1, " high").when(frp % 7 == 2, "odd").otherwise(frp.cast("string"))
+    clock = F.concat((frp % 24).cast("string"), F.lpad((frp % 60).cast("string"), 2, "0"))
+    return x.select(
+        "det_id", "frame_no", records.grid_source_id("HIMAWARI", F.col("lat"), F.col("lon"), F.col("day").cast("timestamp")).alias("source_id"), records.decode_confidence(frp % 5).alias("decoded"), records.feed_confidence(raw).alias("feed"),
+        records.number_confidence(F.when(frp % 3 != 0, frp.cast("string")), frp % 3 == 2).alias("typed"), records.first_truthy(frp % 10, frp % 4, F.lit(0).cast("long")).alias("truthy"), records.day_night(frp % 180).alias("daynight"),
+        records.probability_band((frp % 101) / 100).alias("band"), records.hhmm(F.col("day").cast("string"), clock).cast("timestamp_ntz").alias("seen"),
+    )
+
+
+@query(f"""WITH {v.PIX}, p AS (SELECT frame_id, "row", col, CASE WHEN pixel_id % 13 <> 0 THEN bt7 END AS bt7, bt14, pixel_id % 17 <> 0 AS in_roi FROM pix),
+near AS (SELECT DISTINCT frame_id, "row" + dr AS "row", col + dc AS col FROM p, (SELECT unnest([-2, -1, 0, 1, 2]) AS dr), (SELECT unnest([-2, -1, 0, 1, 2]) AS dc) WHERE bt14 < 27315)
+SELECT frame_id, "row", col, bt14 < 27315 AS cloud, n.col IS NOT NULL AS cloud_adjacent, in_roi AND n.col IS NULL AND bt7 IS NOT NULL AS valid FROM p LEFT JOIN near n USING (frame_id, "row", col)""")
+def valid_pixels(spark, d):
+    """The valid mask itself: region, clouds with their buffer of two pixels, both bands."""
+    px = v.pix(spark, d).withColumn("bt7", F.when(F.col("pixel_id") % 13 != 0, F.col("bt7"))).withColumn("in_roi", F.col("pixel_id") % 17 != 0)
+    return masks.valid_pixels(px, 27315).select("frame_id", "row", "col", "cloud", "cloud_adjacent", "valid")
+
+
+@query(f"WITH {v.DET} SELECT det_id, frame_no, CAST(day AS VARCHAR) AS day, confidence, frp FROM det WHERE day <= DATE '1996-06-30' ORDER BY det.day DESC, det_id, frp, frame_no LIMIT 100")
+def recent_detections(spark, d):
+    """The hundred latest detections up to a day, newest first: the limit is the feature."""
+    seen = v.det(spark, d).where(F.col("day") <= F.lit("1996-06-30").cast("date"))
+    return seen.orderBy(F.desc("day"), "det_id", "frp", "frame_no").limit(100).select("det_id", "frame_no", F.col("day").cast("string").alias("day"), "confidence", "frp")
+
+
+@query(f"WITH {v.DET} SELECT confidence, source, CAST(count(DISTINCT frame_no) AS BIGINT) AS n_frames, CAST(count(DISTINCT day) AS BIGINT) AS n_days, max(CASE WHEN frp % 5 <> 0 THEN frp / 10.0 END) AS max_frp FROM det GROUP BY 1, 2")
+def distinct_counts(spark, d):
+    """Frames and days by confidence and source, and the greatest value with NaN taken for missing."""
+    det = v.det(spark, d).withColumn("f", F.when(F.col("frp") % 5 != 0, F.col("frp") / 10).otherwise(F.lit(float("nan"))))
+    return masks.nan_to_null(det, "f").groupBy("confidence", "source").agg(F.count_distinct("frame_no").alias("n_frames"), F.count_distinct("day").alias("n_days"), F.max("f").alias("max_frp"))
