@@ -62,6 +62,23 @@ def nearest_pixel(targets: DataFrame, grid: DataFrame, degrees: float = 0.1) ->
     return targets.join(best, "label", "left").select(*targets.columns, F.col("m.row").alias("row"), F.col("m.col").alias("col"), F.col("m.far").alias("pixel_dist_deg"))
 
 
+def nearest_pixel_anywhere(targets: DataFrame, grid: DataFrame, degrees: float = 0.1) -> DataFrame:
+    """Each target's nearest pixel however far away it is: what finds none within ``degrees`` looks eight times as far,
+    until all have one. Null only for an empty grid or a target without a place. At most nine rounds, each over the
+    targets that are left."""
+    from embergrid.sources.tables import cut
+
+    found, left = None, targets
+    while True:
+        met = cut(nearest_pixel(left, grid, degrees))
+        done = met if degrees > 510 else met.where(F.col("pixel_dist_deg").isNotNull())  # no two places are farther apart
+        found = done if found is None else found.unionByName(done)
+        left = met.where(F.col("pixel_dist_deg").isNull()).select(*targets.columns)
+        if degrees > 510 or left.isEmpty():
+            return found
+        degrees *= 8
+
+
 def background_partner(fires: DataFrame, others: DataFrame, degrees: float = 0.01) -> DataFrame:
     """For each fire target the first other target (by o_label) within ``degrees`` in both coordinates."""
     cells = lambda df, la, lo: df.withColumn("cy", F.floor(F.col(la) / degrees)).withColumn("cx", F.floor(F.col(lo) / degrees))

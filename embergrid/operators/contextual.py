@@ -68,16 +68,6 @@ def background_stats(px: DataFrame, cfg: ContextualConfig = ContextualConfig(),
     return sums.select(*PIXEL, *[c.alias(n) for n, c in out.items()])
 
 
-def box_sums_dense(px: DataFrame, window: int, value: str, where: str) -> DataFrame:
-    """Count and sum of the flagged pixels' values in a square window, on frames without gaps, by two running passes."""
-    h = window // 2
-    across = Window.partitionBy("frame_id", "row").orderBy("col").rangeBetween(-h, h)
-    down = Window.partitionBy("frame_id", "col").orderBy("row").rangeBetween(-h, h)
-    v = F.when(F.col(where), F.col(value).cast("double")).otherwise(0.0)
-    out = px.withColumn("__n", F.sum(F.col(where).cast("long")).over(across)).withColumn("__s", F.sum(v).over(across))
-    return out.withColumn("n_box", F.sum("__n").over(down)).withColumn("s_box", F.sum("__s").over(down)).drop("__n", "__s")
-
-
 def detect(px: DataFrame, cfg: ContextualConfig = ContextualConfig(), scale: float = 1.0) -> DataFrame:
     """Append fire_mask (0 none, 1 low, 2 nominal, 3 high) and the tests behind it.
 

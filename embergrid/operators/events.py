@@ -159,3 +159,9 @@ def ingest_summary(stored: DataFrame, batch: DataFrame, key: str = "source_id")
     """One row: rows of the batch, those that are new, and duplicates (stored before, or repeated in the batch)."""
     fresh = batch.select(key).distinct().join(stored.select(key), key, "left_anti").agg(F.count("*").alias("new"))
     return batch.agg(F.count("*").alias("total")).crossJoin(fresh).select("total", "new", (F.col("total") - F.col("new")).alias("duplicates"))  # one row each
+
+
+def system_status(detections: DataFrame, events: DataFrame) -> DataFrame:
+    """One row: stored detections, events and active events."""
+    e = events.agg(F.count("*").alias("total_events"), F.count_if(~F.col("status").isin(*INACTIVE)).alias("active_events"))
+    return detections.agg(F.count("*").alias("total_detections")).crossJoin(e)  # one row each

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embergrid.functions.geo import circle
+from embergrid.functions.records import REPORT_ZONE, competition_day
 
 
 def features(events: DataFrame, with_circle: bool = False) -> DataFrame:
@@ -20,9 +21,43 @@ def features(events: DataFrame, with_circle: bool = False) -> DataFrame:
     return events.select("event_seq", F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), rest, F.lit("}")).alias("feature"))
 
 
-def write_collection(events: DataFrame, path: str, with_circle: bool = False) -> None:
-    """Features as lines of text, one file a task; a reader joins them. Nothing is gathered on the driver."""
-    features(events, with_circle).select("feature").write.mode("overwrite").text(path)
+def collection(events: DataFrame, name: str, with_circle: bool = False, report_date: str | None = None, generated: str | None = None) -> DataFrame:
+    """A FeatureCollection as lines (part, event_seq, line): joined in that order they are one JSON document.
+
+    The head has part 0 and the end part 2. With ``report_date`` the head carries the reference system and the metadata of
+    a daily report: date, day of the window, times of generation (UTC and report zone), number of events and counts by
+    status. Only those counts (six statuses at most) are gathered into one row; features stay where they are.
+    """
+    head = {"type": F.lit("FeatureCollection"), "name": F.lit(name)}
+    if report_date is not None:
+        day = F.lit(report_date).cast("date")
+        utc = F.lit(generated).cast("timestamp") if generated else F.current_timestamp()
+        iso = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+        zone = F.to_utc_timestamp(utc, F.current_timezone())
+        head["crs"] = F.struct(F.lit("name").alias("type"), F.struct(F.lit("urn:ogc:def:crs:EPSG::4326").alias("name")).alias("properties"))
+        head["metadata"] = F.struct(
+            F.lit(report_date).alias("report_date"), competition_day(day).alias("competition_day"), F.concat(iso(zone), F.lit("Z")).alias("generation_time_utc"),
+            iso(F.from_utc_timestamp(zone, REPORT_ZONE)).alias("generation_time_local"), F.coalesce("total_events", F.lit(0)).alias("total_events"),
+            F.col("status_summary"), F.lit("EPSG:4326 (WGS84)").alias("coordinate_reference_system"),
+        )
+    text = F.to_json(F.struct(*[c.alias(n) for n, c in head.items()]))
+    place = [F.lit(None).cast("long").alias("event_seq")]
+    first = status_map(events).select(F.lit(0).alias("part"), *place, F.concat(F.regexp_replace(text, r"\}$", ""), F.lit(',"features":[')).alias("line"))
+    least = F.broadcast(events.agg(F.min("event_seq").alias("__least")))  # one row
+    body = features(events, with_circle).crossJoin(least).select(F.lit(1).alias("part"), "event_seq", F.concat(F.when(F.col("event_seq") == F.col("__least"), "").otherwise(","), F.col("feature")).alias("line"))
+    return first.unionByName(body).unionByName(first.select(F.lit(2).alias("part"), *place, F.lit("]}").alias("line")))
+
+
+def write_collection(events: DataFrame, path: str, name: str = "events", with_circle: bool = False, **report: str) -> None:
+    """The document in sorted part files; read one after the other, by name, they are valid GeoJSON."""
+    collection(events, name, with_circle, **report).orderBy("part", "event_seq").select("line").write.mode("overwrite").text(path)
+
+
+def list_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Saved reports, newest first: date, day of the window, number of events and time of generation, off the heads alone."""
+    lines = spark.read.text(f"{path.rstrip('/')}/report_date=*/features").where(F.col("value").startswith('{"type":"FeatureCollection"'))
+    meta = F.from_json(F.concat("value", F.lit("]}")), "metadata struct<report_date: string, competition_day: int, total_events: long, generation_time_utc: string>")["metadata"]
+    return lines.select(meta.alias("m")).select("m.*").orderBy(F.desc("report_date"))
 
 
 def status_counts(events: DataFrame) -> DataFrame:
@@ -48,6 +83,6 @@ def save_report(events: DataFrame, path: str, report_date: str) -> None:
     The date labels the report; it does not select events.
     """
     base = f"{path.rstrip('/')}/report_date={report_date}"
-    write_collection(events, f"{base}/features", with_circle=True)
+    write_collection(events, f"{base}/features", "daily_report", with_circle=True, report_date=report_date)
     markdown_rows(events).orderBy("event_seq").select("line").write.mode("overwrite").text(f"{base}/table")
     status_counts(events).coalesce(1).write.mode("overwrite").json(f"{base}/status")

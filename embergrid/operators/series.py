@@ -8,14 +8,25 @@ from pyspark.sql import functions as F
 
 def training_sample(px: DataFrame, rate: float = 0.01, floor: float = 0.01, seed: int = 42) -> DataFrame:
     """All rows whose probability exceeds ``floor`` and, per frame, a seeded uniform share (one row at least) of the clear
-    rows with a finite z. The draw is by hash: the same on every run and cluster."""
+    rows with a finite z. The draw is by hash: the same on every run and cluster.
+
+    No frame is sorted: rows are counted by the hash's first three digits, a running sum over those 4,096 buckets finds the
+    one that the cut goes through, lower buckets pass whole and only that one is ranked.
+    """
     p = F.coalesce(F.nanvl("probability", F.lit(None)), F.lit(0.0))
     hot = px.where(p > floor).withColumn("pixel_type", F.lit("fire_candidate"))
     pool = px.where((p <= floor) & F.col("clear") & F.col("z").isNotNull() & ~F.isnan("z"))
-    w = Window.partitionBy("frame_id").orderBy(F.xxhash64("pixel_id", F.lit(seed)), "pixel_id")
-    size = Window.partitionBy("frame_id")
-    drawn = pool.withColumn("__rn", F.row_number().over(w)).withColumn("__n", F.count("*").over(size))
-    drawn = drawn.where(F.col("__rn") <= F.greatest(F.lit(1), F.floor(F.col("__n") * rate))).drop("__rn", "__n")
+    pool = pool.withColumn("__h", F.md5(F.concat_ws(":", F.col("pixel_id").cast("string"), F.lit(str(seed))))).withColumn("__b", F.substring("__h", 1, 3))
+    counts = pool.groupBy("frame_id", "__b").agg(F.count("*").alias("__c"))
+    whole, so_far = Window.partitionBy("frame_id"), Window.partitionBy("frame_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("__sum", F.sum("__c").over(so_far)).withColumn("__want", F.greatest(F.lit(1), F.floor(F.sum("__c").over(whole) * rate)))
+    cut = counts.where((F.col("__sum") >= F.col("__want")) & (F.col("__sum") - F.col("__c") < F.col("__want")))
+    cut = cut.select("frame_id", F.col("__b").alias("__at"), (F.col("__want") - F.col("__sum") + F.col("__c")).alias("__left"))
+    near = pool.join(cut, "frame_id").where(F.col("__b") <= F.col("__at"))
+    names = [*px.columns, "__left"]
+    below = near.where(F.col("__b") < F.col("__at")).select(*px.columns)
+    edge = near.where(F.col("__b") == F.col("__at")).select(*names, F.row_number().over(Window.partitionBy("frame_id").orderBy("__h", "pixel_id")).alias("__rn"))
+    drawn = below.unionByName(edge.where(F.col("__rn") <= F.col("__left")).select(*px.columns))
     return hot.unionByName(drawn.withColumn("pixel_type", F.lit("background_sample")))
 
 

@@ -60,6 +60,13 @@ def sigma_exceedance(series: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5)) -> D
     return joined.groupBy("label", "k").agg(F.min(F.when(F.col("btd") > F.col("mu") + F.col("k") * F.col("sd"), F.col("ts"))).alias("first_ts"))
 
 
+def lead_hours(first: DataFrame, truth: DataFrame) -> DataFrame:
+    """Hours from the first exceedance (label, k, first_ts) to the feed's first report (label, first_dt): positive where the
+    exceedance came before it, null where there was none."""
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    return first.join(truth.select("label", "first_dt"), "label").withColumn("hours_before", (seconds("first_dt") - seconds("first_ts")) / 3600)
+
+
 def clear_sky_stats(series: DataFrame) -> DataFrame:
     """Mean, sample deviation and range of clear btd overall, by day and by night, and the cloud share, per label."""
     aggs = []

@@ -409,14 +409,22 @@ def running_centroid(spark, d):
     return events.running_centroid(_members(spark, d)).select("seq", F.round("run_lat", 6).alias("run_lat"), F.round("run_lon", 6).alias("run_lon"))
 
 
-@query()
+_AWAY = "2 * 6371.0 * atan2(sqrt({h}), sqrt(1 - {h}))".format(h="least(1.0, pow(sin(radians(e.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(e.lat)) * pow(sin(radians(e.lon - s.lon) / 2), 2))")
+
+
+@query(f"""WITH RECURSIVE {v.SITES}, o AS (SELECT seq, lat_u / 1e6 AS lat, lon_u / 1e6 AS lon, minute, row_number() OVER (ORDER BY seq) AS i FROM sites),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS event_seq, CAST([] AS STRUCT(id BIGINT, lat DOUBLE, lon DOUBLE, n BIGINT, latest BIGINT)[]) AS ev
+ UNION ALL SELECT i, seq, coalesce(best.id, seq), CASE WHEN best IS NULL THEN list_append(ev, {{'id': seq, 'lat': lat, 'lon': lon, 'n': CAST(1 AS BIGINT), 'latest': minute}})
+  ELSE list_transform(ev, lambda e: CASE WHEN e.id = best.id THEN {{'id': e.id, 'lat': (e.lat * e.n + lat) / (e.n + 1), 'lon': (e.lon * e.n + lon) / (e.n + 1), 'n': e.n + 1, 'latest': greatest(e.latest, minute)}} ELSE e END) END
+ FROM (SELECT s.*, w.ev, list_min(list_transform(list_filter(w.ev, lambda e: {_AWAY} < 2.0), lambda e: {{'far': {_AWAY}, 'late': -e.latest, 'id': e.id}})) AS best FROM walk w JOIN o s ON s.i = w.i + 1))
+SELECT seq, event_seq FROM walk WHERE i > 0""")
 def event_association(spark, d):
     return events.associate(_place(v.sites(spark, d))).select("seq", "event_seq")
 
 
-@query(f"WITH {PASSES} SELECT event_seq, detection_count, status FROM ev WHERE status NOT IN ('RETRACTED', 'CLOSED', 'PROVISIONAL')")
+@query(f"WITH {PASSES} SELECT event_seq, detection_count, status FROM ev WHERE status NOT IN ('RETRACTED', 'CLOSED')")
 def active_events(spark, d):
-    return events.active(_events(spark, d)).where("status != 'PROVISIONAL'").select("event_seq", "detection_count", "status")
+    return events.active(_events(spark, d)).select("event_seq", "detection_count", "status")
 
 
 @query(f"WITH {PASSES} SELECT s.seq, e.event_seq, e.status, s.minute FROM sites s JOIN ev e USING (site)")
@@ -471,9 +479,36 @@ def competition_day(spark, d):
     return table(spark, d, "orders").select("o_orderkey", records.competition_day(F.date_add(F.lit("2026-04-01").cast("date"), (F.col("o_orderkey") % 30).cast("int"))).alias("day_no"))
 
 
-@query()
+@query(f"""WITH {PASSES} SELECT event_seq, 'GeometryCollection' AS geometry_type, centroid_lon AS lon, centroid_lat AS lat, CAST(33 AS BIGINT) AS n_vertices, true AS closed, round(centroid_lon + location_uncertainty_m / (111320.0 * cos(radians(centroid_lat))), 4) AS east,
+status, detection_count, max_frp, location_uncertainty_m, source_set FROM ev""")
 def geojson_features(spark, d):
-    return report.features(_events(spark, d), with_circle=True)
+    """Features written as text and read back, so that malformed JSON shows."""
+    shape = "geometry struct<type: string, geometries: array<struct<type: string, coordinates: string>>>, properties struct<status: string, detection_count: long, max_frp: long, location_uncertainty_m: double, source_set: string>"
+    f = report.features(_events(spark, d), with_circle=True).select("event_seq", F.from_json("feature", shape, {"mode": "FAILFAST"}).alias("f"))
+    parts = f.select("event_seq", "f", F.from_json(F.col("f.geometry.geometries")[0]["coordinates"], "array<double>").alias("point"), F.from_json(F.col("f.geometry.geometries")[1]["coordinates"], "array<array<array<double>>>")[0].alias("ring"))
+    return parts.select(
+        "event_seq", F.col("f.geometry.type").alias("geometry_type"), F.round(F.col("point")[0], 6).alias("lon"), F.round(F.col("point")[1], 6).alias("lat"), F.size("ring").cast("long").alias("n_vertices"), (F.col("ring")[0] == F.element_at("ring", -1)).alias("closed"), F.round(F.col("ring")[0][0], 4).alias("east"),
+        F.col("f.properties.status").alias("status"), F.col("f.properties.detection_count").alias("detection_count"), F.col("f.properties.max_frp").alias("max_frp"), F.col("f.properties.location_uncertainty_m").alias("location_uncertainty_m"), F.col("f.properties.source_set").alias("source_set"),
+    )
+
+
+@query(f"""WITH {PASSES}, n AS (SELECT count(*) AS total, count(*) FILTER (status = 'LIKELY') AS likely, count(*) FILTER (status = 'CONFIRMED') AS confirmed FROM ev)
+SELECT 0 AS part, CAST(NULL AS BIGINT) AS event_seq, 'FeatureCollection' AS type, total AS total_events, nullif(likely, 0) AS likely, nullif(confirmed, 0) AS confirmed, 2 AS competition_day FROM n
+UNION ALL SELECT 1, event_seq, 'Feature', NULL, NULL, NULL, NULL FROM ev UNION ALL SELECT 2, NULL, 'end', NULL, NULL, NULL, NULL""")
+def report_document(spark, d):
+    """The lines of a daily report's document, each read back on its own."""
+    doc = report.collection(_events(spark, d), "daily_report", True, "2026-04-10", "2026-04-10 20:00:00")
+    line = F.when(F.col("part") == 0, F.concat("line", F.lit("]}"))).otherwise(F.regexp_replace("line", "^,", ""))
+    at = lambda p: F.get_json_object(line, f"$.{p}")
+    return doc.select(
+        "part", "event_seq", F.when(F.col("line") == "]}", "end").otherwise(at("type")).alias("type"), at("metadata.total_events").cast("long").alias("total_events"),
+        at("metadata.status_summary.LIKELY").cast("long").alias("likely"), at("metadata.status_summary.CONFIRMED").cast("long").alias("confirmed"), at("metadata.competition_day").cast("int").alias("competition_day"),
+    )
+
+
+@query(f"WITH {PASSES} SELECT (SELECT count(*) FROM sites) AS total_detections, count(*) AS total_events, count(*) FILTER (status NOT IN ('RETRACTED', 'CLOSED')) AS active_events FROM ev")
+def system_status(spark, d):
+    return events.system_status(v.sites(spark, d), _events(spark, d))
 
 
 @query(f"""WITH {PASSES}, c AS (SELECT event_seq, centroid_lat, centroid_lon, location_uncertainty_m AS m, unnest(range(33)) AS i FROM ev)
@@ -488,7 +523,9 @@ def daily_report_counts(spark, d):
     return _events(spark, d).groupBy("source_set").agg(F.count("*").alias("n_events"), F.sum("detection_count").alias("n_detections"), F.max("max_frp").alias("max_frp"))
 
 
-@query()
+@query(f"""WITH {v.PIX}, px AS (SELECT frame_id, pixel_id, (bt7 - 29000) / CAST(40000 AS DOUBLE) AS probability, NOT cloud AS clear, bt14 / CAST(100 AS DOUBLE) AS z FROM pix),
+pool AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY md5(pixel_id || ':42'), pixel_id) AS rn, count(*) OVER (PARTITION BY frame_id) AS n FROM px WHERE probability <= 0.01 AND clear)
+SELECT *, 'fire_candidate' AS pixel_type FROM px WHERE probability > 0.01 UNION ALL SELECT * EXCLUDE (rn, n), 'background_sample' FROM pool WHERE rn <= greatest(1, floor(n * CAST(0.1 AS DOUBLE)))""")
 def training_sample(spark, d):
     px = v.pix(spark, d).select("frame_id", "pixel_id", ((F.col("bt7") - 29000) / 40000.0).alias("probability"), (~F.col("cloud")).alias("clear"), (F.col("bt14") / 100.0).alias("z"))
     return ops.training_sample(px, rate=0.1)
@@ -515,6 +552,15 @@ def sigma_exceedance_first(spark, d):
     return validate.sigma_exceedance(px)
 
 
+@query(f"""WITH {LABELLED}, s AS (SELECT label, avg(btd) AS mu, stddev_samp(btd) AS sd FROM lab WHERE NOT cloud AND is_day GROUP BY 1),
+x AS (SELECT label, CAST(k AS INTEGER) AS k, min(CASE WHEN btd > mu + k * sd THEN frame_id END) AS ts FROM lab JOIN s USING (label), (SELECT unnest([2, 3, 4, 5]) AS k) WHERE NOT (NOT cloud AND is_day) GROUP BY 1, 2)
+SELECT label, k, (CAST(epoch(TIMESTAMP '2024-01-20') AS BIGINT) + label * 3600 - ts * 86400) / CAST(3600 AS DOUBLE) AS hours_before FROM x""")
+def lead_hours(spark, d):
+    first = sigma_exceedance_first(spark, d).withColumn("first_ts", F.timestamp_seconds(F.col("first_ts") * 86400))
+    truth = first.select("label").distinct().withColumn("first_dt", F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-20").cast("timestamp")) + F.col("label") * 3600))
+    return validate.lead_hours(first, truth).select("label", "k", "hours_before")
+
+
 @query(f"""WITH {LABELLED} SELECT label, count(*) FILTER (NOT cloud) AS n_all, round(avg(btd) FILTER (NOT cloud), 4) AS mean_all, round(stddev_samp(btd) FILTER (NOT cloud), 4) AS std_all, min(btd) FILTER (NOT cloud) AS min_all, max(btd) FILTER (NOT cloud) AS max_all,
 count(*) FILTER (NOT cloud AND is_day) AS n_day, round(avg(btd) FILTER (NOT cloud AND NOT is_day), 4) AS mean_night, round(avg(CAST(cloud AS INT)), 6) AS cloud_fraction FROM lab GROUP BY 1""")
 def clear_sky_stats(spark, d):
@@ -566,10 +612,21 @@ def nearest_pixel(spark, d):
     return out.select(F.col("label").alias("truth_id"), F.col("row").alias("det_id"), F.round("pixel_dist_deg", 9).alias("far"))
 
 
-@query(f"WITH {v.DET}, {v.TRUTH} SELECT truth_id FROM truth WHERE first_day BETWEEN (SELECT min(day) - 1 FROM det WHERE frame_no = 3) AND (SELECT max(day) + 1 FROM det WHERE frame_no = 3)")
+@query(f"""WITH {v.DET}, {v.TRUTH}, d AS (SELECT t.truth_id, d.det_id, sqrt(pow(t.lat_u / 1e6 - d.lat_u / 1e6, 2) + pow(t.lon_u / 1e6 - d.lon_u / 1e6, 2)) AS far FROM truth t, det d)
+SELECT truth_id, m.det_id AS det_id, round(m.far, 9) AS far FROM (SELECT truth_id, min({{'far': far, 'det_id': det_id}}) AS m FROM d GROUP BY 1)""")
+def nearest_pixel_anywhere(spark, d):
+    """The first look goes not far, so that some targets look several times."""
+    grid = _right(v.det(spark, d), F.col("det_id").alias("row"), F.lit(0).alias("col"))
+    out = calibration.nearest_pixel_anywhere(_place(v.truth(spark, d)).select(F.col("truth_id").alias("label"), "lat", "lon"), grid, 0.0005)
+    return out.select(F.col("label").alias("truth_id"), F.col("row").alias("det_id"), F.round("pixel_dist_deg", 9).alias("far"))
+
+
+@query("""WITH t AS (SELECT s_suppkey AS truth_id, CAST(DATE '2023-12-20' + CAST(s_suppkey * 37 % 60 AS INTEGER) AS TIMESTAMP) AS first_dt FROM supplier)
+SELECT truth_id FROM t WHERE first_dt BETWEEN (SELECT min(ts) - INTERVAL 24 HOUR FROM events) AND (SELECT max(ts) + INTERVAL 24 HOUR FROM events)""")
 def eligible_truth(spark, d):
-    t = v.truth(spark, d).withColumn("first_dt", F.col("first_day"))
-    return calibration.eligible_truth(t, v.det(spark, d).where("frame_no = 3").select(F.col("day").alias("obs_time"))).select("truth_id")
+    first = F.date_add(F.lit("2023-12-20").cast("date"), (F.col("s_suppkey") * 37 % 60).cast("int"))
+    t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("truth_id"), first.alias("first_dt"))
+    return calibration.eligible_truth(t, table(spark, d, "events").select(F.col("ts").alias("obs_time"))).select("truth_id")
 
 
 @query(f"WITH {v.SITES} SELECT seq, row_number() OVER (PARTITION BY site, minute // 1000 ORDER BY CASE confidence WHEN 'high' THEN 2 WHEN 'nominal' THEN 1 ELSE 0 END DESC, seq) > 1 AS derived FROM sites")
