@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embergrid.llm import decontaminate, language_id, license_scan, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, token_count
+from embergrid.llm import byte_bpe, decontaminate, language_id, license_scan, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, token_count
 from embergrid.llm.common import crc_of_id, table
 from embergrid.llm.sql import ORACLE
 
@@ -58,8 +58,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = byte_bpe.bpe_encode(table(spark, sf_dir, "documents"), path)
+    back = byte_bpe.bpe_decode(coded, path, carry=("doc_id", "n_tokens", "ids"))
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_quality_classifier, op3_language_id, op4_license_scan, op5_token_counts, op6_sentencepiece, op7_secret_scan, op8_decontaminate, op9_near_dedup, op10_sharding)
+    for f in (op1_quality_rules, op2_quality_classifier, op3_language_id, op4_license_scan, op5_token_counts, op6_sentencepiece, op7_secret_scan, op8_decontaminate, op9_near_dedup, op10_sharding, op12_byte_bpe)
 }
 
