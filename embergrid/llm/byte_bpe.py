@@ -20,7 +20,7 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 from embergrid.llm.common import map_texts
 from embergrid.llm.token_count import BOUNDS, LEADS, Classes, compiled
 
-#: Characters of a word that a worker remembers, how many such words it holds, and bytes of the words that are replayed together.
-SHORT, HELD, TOGETHER = 64, 600_000, 1 << 22
+#: Characters of a word that a worker remembers, how many such words it holds, bytes of the words that are replayed together,
+#: and bytes of the texts of a block.
+SHORT, HELD, TOGETHER, SLICE = 64, 300_000, 1 << 20, 4 << 20
 _NONE = 1 << 62  # no rank
 
 
@@ -162,13 +163,21 @@ class Merges:
         return out
 
 
+class Numbers(dict):
+    """Words by number, in the order in which they are met."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Worker:
     """The vocabulary of one worker, its pattern, and the ids of words that it has met."""
 
     def __init__(self, path: str):
         self.merges = Merges.read(path)
         self.split = [compiled(classes(), b).findall for b in BOUNDS]
-        self.known: dict[str, bytes] = {}
+        self.numbers, self.ids_of = Numbers(), []
 
     def words(self, text: str) -> list[str]:
         """The pre-tokens, by the narrowest pattern that holds all the text's characters."""
@@ -191,15 +200,20 @@ class Worker:
         return [np.array(o, "<u4").tobytes() for o in out]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.words(t) if t else [] for t in texts]
-        if len(self.known) > HELD:
-            self.known = {}
-        new = sorted(set(chain.from_iterable(cut)) - self.known.keys())
-        self.known.update(zip(new, self.ids(new), strict=True))
-        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        for w in new:
-            if len(w) > SHORT:
-                del self.known[w]
+        if len(self.numbers) > HELD:
+            self.numbers, self.ids_of = Numbers(), []
+        number, known = self.numbers.__getitem__, len(self.numbers)
+        cut = [np.fromiter(map(number, self.words(t)), np.int32) if t else [] for t in texts]
+        new = list(islice(self.numbers, known, None))
+        self.ids_of += self.ids(new)
+        out = [b"".join(map(self.ids_of.__getitem__, c)) for c in cut]
+        if any(len(w) > SHORT for w in new):
+            kept = [w for w in new if len(w) <= SHORT]
+            ids = [self.ids_of[self.numbers[w]] for w in kept]
+            for w in new:
+                del self.numbers[w]
+            self.numbers.update(zip(kept, range(known, known + len(kept)), strict=True))
+            self.ids_of[known:] = ids
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -226,7 +240,7 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", carry: tuple[st
         ids = worker(path).encode(texts)
         return {"n_tokens": pa.array([len(b) // 4 for b in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
 
-    return map_texts(df, run, T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]), text_col, carry)
+    return map_texts(df, run, T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]), text_col, carry, slice_bytes=SLICE)
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -235,4 +249,4 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", carry: tuple[str,
     def run(rows):
         return {"decoded": pa.array([worker(path).decode(b) if b is not None else None for b in rows], pa.binary())}
 
-    return map_texts(df, run, T.StructType([T.StructField("decoded", T.BinaryType())]), ids_col, carry)
+    return map_texts(df, run, T.StructType([T.StructField("decoded", T.BinaryType())]), ids_col, carry, slice_bytes=SLICE)

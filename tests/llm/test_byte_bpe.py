@@ -38,7 +38,7 @@ def test_ids_equal_the_library(library):
         got = w.encode(some)
         assert got == [le(library.encode_ordinary(t or "")) for t in some]
     assert [w.decode(b).decode() for b in got] == [t or "" for t in some]
-    assert max(map(len, w.known)) <= bb.SHORT
+    assert max(map(len, w.numbers)) <= bb.SHORT and len(w.numbers) == len(w.ids_of) == len(set(w.numbers.values()))
 
 
 def plain(tokens, word):
