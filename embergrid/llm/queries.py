@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embergrid.llm import byte_bpe, decontaminate, language_id, license_scan, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, token_count
+from embergrid.llm import byte_bpe, decontaminate, filter_audit, language_id, license_scan, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, token_count
 from embergrid.llm.common import crc_of_id, table
 from embergrid.llm.sql import ORACLE
 
@@ -65,8 +65,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_quality_classifier, op3_language_id, op4_license_scan, op5_token_counts, op6_sentencepiece, op7_secret_scan, op8_decontaminate, op9_near_dedup, op10_sharding, op12_byte_bpe)
+    for f in (op1_quality_rules, op2_quality_classifier, op3_language_id, op4_license_scan, op5_token_counts, op6_sentencepiece, op7_secret_scan, op8_decontaminate, op9_near_dedup, op10_sharding, op12_byte_bpe, op13_filter_audit)
 }
 

@@ -49,4 +49,20 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGI
 FROM d LEFT JOIN n USING (r) LEFT JOIN g USING (r)
 """
 
-ORACLE: dict[str, str] = {"op1_quality_rules": _OP1, "op8_decontaminate": _OP8}
+_OP13 = r"""
+WITH lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT d.*, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws), 'C': 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t),
+  'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > least, false)} AS x FROM w LEFT JOIN lab USING (doc_id)),
+m AS (SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda c: CASE c WHEN 'A' THEN x.A WHEN 'B' THEN x.B WHEN 'C' THEN x.C WHEN 'D' THEN x.D ELSE x.E END) AS fails FROM f),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS c, string_split(filter_order[:step - 1], '') AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, c, fails, good, toxic, list_contains(fails, c) AS bad, step > 1 AND list_has_any(fails, earlier) AS gone, n FROM (SELECT part, fails, good, toxic, count(*) AS n FROM m GROUP BY ALL), s),
+g AS (SELECT part, filter_order, step, c, CAST(coalesce(sum(n) FILTER (NOT bad AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (bad AND NOT gone), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (bad AND gone), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (bad AND len(fails) = 1), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(n) FILTER (bad AND NOT gone AND good), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (bad AND NOT gone AND toxic), 0) AS BIGINT) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM g
+"""
+
+ORACLE: dict[str, str] = {"op1_quality_rules": _OP1, "op8_decontaminate": _OP8, "op13_filter_audit": _OP13}
