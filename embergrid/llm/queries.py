@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embergrid.llm import byte_bpe, decontaminate, filter_audit, language_id, license_scan, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, token_count
+from embergrid.llm import byte_bpe, decontaminate, filter_audit, language_id, license_scan, near_dedup, prefix_trie, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, token_count
 from embergrid.llm.common import crc_of_id, table
 from embergrid.llm.sql import ORACLE
 
@@ -58,6 +58,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = byte_bpe.bpe_encode(table(spark, sf_dir, "documents"), path)
@@ -71,6 +75,6 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_quality_classifier, op3_language_id, op4_license_scan, op5_token_counts, op6_sentencepiece, op7_secret_scan, op8_decontaminate, op9_near_dedup, op10_sharding, op12_byte_bpe, op13_filter_audit)
+    for f in (op1_quality_rules, op2_quality_classifier, op3_language_id, op4_license_scan, op5_token_counts, op6_sentencepiece, op7_secret_scan, op8_decontaminate, op9_near_dedup, op10_sharding, op11_prefix_trie, op12_byte_bpe, op13_filter_audit)
 }
 

@@ -49,6 +49,25 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGI
 FROM d LEFT JOIN n USING (r) LEFT JOIN g USING (r)
 """
 
+#: CRC-32 of a number's decimal text, bit by bit.
+_CRC = """xor(list_reduce(list_transform(string_split(CAST({c} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS UBIGINT)), lambda crc, ch:
+ list_reduce(range(8), lambda r, i: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END), xor(crc, ch)), 4294967295::UBIGINT), 4294967295::UBIGINT)"""
+
+_OP11 = f"""
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS c, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, m, bytes, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, m) - 1 AS pos FROM t),
+c AS (SELECT c, c - c % 5 AS base, {_CRC.format(c="c")} % 9 AS h FROM (SELECT DISTINCT c FROM o)),
+r AS (SELECT c.c, 1 AS src, pos, m, bytes FROM c JOIN o USING (c) WHERE pos >= h UNION ALL SELECT c.c, 0, pos, m, bytes FROM c JOIN o ON o.c = c.base WHERE pos < h),
+s AS (SELECT c.c, coalesce(list(m ORDER BY src, pos) FILTER (m IS NOT NULL), []) AS ms, list(bytes ORDER BY src, pos) FILTER (m IS NOT NULL) AS bs FROM c LEFT JOIN r USING (c) GROUP BY 1),
+p AS (SELECT c, d, len(ms) = d AS ends, array_to_string(ms[1:d], '') AS k, CASE WHEN d > 0 THEN array_to_string(ms[1:d - 1], '') END AS up, CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS bytes FROM (SELECT *, unnest(range(len(ms) + 1)) AS d FROM s)),
+n AS (SELECT k, d, any_value(up) AS up, any_value(bytes) AS bytes, count(*) AS n, min(c) AS c, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends) AS e FROM p GROUP BY 1, 2),
+kids AS (SELECT up AS k, count(*) AS n FROM n WHERE up IS NOT NULL GROUP BY 1),
+v AS (SELECT n.*, coalesce(kids.n, 0) AS kids FROM n LEFT JOIN kids USING (k)),
+sub AS (SELECT a.k, count(*) FILTER (b.kids = 0) AS leaves, sum((b.n - 1) * b.bytes) AS saved FROM v a JOIN v b ON starts_with(b.k, a.k) GROUP BY 1)
+SELECT v.c AS conv_id, v.d AS depth, w.c AS parent_conv_id, v.n AS n_convs, v.kids AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.e, '')) AS ends_sha256
+FROM v JOIN sub USING (k) LEFT JOIN v w ON w.k = v.up
+"""
+
 _OP13 = r"""
 WITH lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
 d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
@@ -65,4 +84,4 @@ g AS (SELECT part, filter_order, step, c, CAST(coalesce(sum(n) FILTER (NOT bad A
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM g
 """
 
-ORACLE: dict[str, str] = {"op1_quality_rules": _OP1, "op8_decontaminate": _OP8, "op13_filter_audit": _OP13}
+ORACLE: dict[str, str] = {"op1_quality_rules": _OP1, "op8_decontaminate": _OP8, "op11_prefix_trie": _OP11, "op13_filter_audit": _OP13}
