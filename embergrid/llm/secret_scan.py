@@ -7,7 +7,7 @@ reversed automaton of that rule walks back to the leftmost start. Every rule mus
 
 Defined cases: a null text is an empty one; a text is scanned whole, however long; repeated rows give repeated results; an
 empty table has no rows; a carried column gives way to an output of the same name; matches of one rule never overlap, those of different rules may; offsets are
-code points with the end exclusive; a private key reaches from its header through its END line (the text's end without
+code points with the end exclusive; spans come by start, then in the rules' order, then by end and kind; a private key reaches from its header through its END line (the text's end without
 one), and headers of certificates and public keys are no matches; matches too short for their rule are dropped after they took their characters.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 from re import _constants as C
 from re import _parser as parser
 
@@ -33,7 +34,7 @@ class Rule:
     pattern: str
     min_chars: int = 0  # of the match behind its head
     head: str = ""  # the match's unambiguous beginning that min_chars leaves out
-    kinds: tuple[tuple[str, str, int], ...] = ()  # what a match may be: kind, pattern and least length; none: no match
+    kinds: tuple[tuple[str, str, int], ...] = ()  # what a match may hold: kind, pattern and least length, each kind found by itself
     until: str = ""  # a match goes on, over line ends, through the next of these, or to the text's end if there is none
 
 
@@ -41,14 +42,16 @@ _KEYS = "(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c i
 _ASSIGN = _KEYS + r"""["']?\x20*[:=]\x20*["']?"""
 BASE = ("assign", "access", "hex")
 #: Kinds of credentials in public formats, each with its own pattern and its least length. Those of one rule have characters
-#: in common, so that one automaton state stands for all their tails; the kind is told by the beginning.
+#: in common, so that one automaton state stands for all their tails: a match of the rule runs from the first head of any kind to the
+#: run's end, and holds all that the kinds' own patterns find there.
 PREFIXED = (
     ("github", r"gh[opsur]_[A-Za-z0-9]+", 40), ("github_fine", r"github_pat_[A-Za-z0-9_]+", 40), ("gitlab", r"glpat-[A-Za-z0-9_-]+", 26),
     ("slack", r"xox[abeoprs]-[A-Za-z0-9-]+", 20), ("google_api", r"AIza[A-Za-z0-9_-]+", 39), ("google_oauth", r"GOCSPX-[A-Za-z0-9_-]+", 30),
     ("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]+", 24), ("npm", r"npm_[A-Za-z0-9]+", 40), ("pypi", r"pypi-[A-Za-z0-9_-]+", 50),
     ("huggingface", r"hf_[A-Za-z0-9]+", 34), ("digitalocean", r"do[opr]_v1_[0-9a-f]+", 71), ("shopify", r"shp(?:at|ca|pa|ss)_[0-9a-fA-F]+", 38),
 )
-DOTTED = (("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40), ("sendgrid", r"SG\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 50))
+#: The tail of a jwt is optional and asked for afterwards, as its other heads in the same part would lack it, too.
+DOTTED = (("jwt", r"eyJ[A-Za-z0-9_-]+(\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)?", 40), ("sendgrid", r"SG\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 50))
 #: Base rules in the order of the contract, then the further ones.
 RULES = (
     Rule("assign", _ASSIGN + "[A-Za-z0-9+/_.=-]+", 6, _ASSIGN),
@@ -214,6 +217,7 @@ class Scanner:
         return Ready(self)
 
 
+@lru_cache(maxsize=8)
 def build(rules: tuple[Rule, ...] = RULES) -> Scanner:
     patterns = [r.pattern for r in rules]
     return Scanner(rules, compile_dfa(patterns, search=True), tuple(compile_dfa([p], search=False, reverse=True) for p in patterns))
@@ -335,8 +339,8 @@ class Ready:
                     end = close.end() if close else len(data)
                 low = end
                 if self.kinds[k]:
-                    of = ((kind, m.end()) for kind, p, n in self.kinds[k] if (m := p.match(data, start, end)) and m.end() - start >= n)
-                    found += [(start, k, to, kind) for kind, to in of]
+                    of = ((kind, m, n) for kind, p, n in self.kinds[k] for m in p.finditer(data, start, end))
+                    found += [(m.start(), k, m.end(), kind) for kind, m, n in of if m.end() - m.start() >= n and None not in m.groups()]
                 elif end - self.heads[k].match(data, start, end).end() >= self.rules[k].min_chars:
                     found.append((start, k, end, self.rules[k].kind))
         found.sort()

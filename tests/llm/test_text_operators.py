@@ -396,27 +396,52 @@ def test_op7_equals_regular_expressions(texts):
         assert [s for s in got if s[0] in sec.BASE] == plain_spans(t or "")
 
 
-def test_op7_added_rules_equal_regular_expressions():
-    """Every rule beside the base against re, on strings made of the rules' own parts, in one line and in many."""
+#: Kinds beside the base, each by itself.
+KINDS = [
+    ("github", r"gh[opsur]_[A-Za-z0-9]+", 40), ("github_fine", r"github_pat_[A-Za-z0-9_]+", 40), ("gitlab", r"glpat-[A-Za-z0-9_-]+", 26), ("slack", r"xox[abeoprs]-[A-Za-z0-9-]+", 20),
+    ("google_api", r"AIza[A-Za-z0-9_-]+", 39), ("google_oauth", r"GOCSPX-[A-Za-z0-9_-]+", 30), ("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]+", 24), ("npm", r"npm_[A-Za-z0-9]+", 40),
+    ("pypi", r"pypi-[A-Za-z0-9_-]+", 50), ("huggingface", r"hf_[A-Za-z0-9]+", 34), ("digitalocean", r"do[opr]_v1_[0-9a-f]+", 71), ("shopify", r"shp(?:at|ca|pa|ss)_[0-9a-fA-F]+", 38),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40), ("sendgrid", r"SG\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 50),
+]
+
+
+def plain_kinds(t):
+    return Counter((kind, m.start(), m.end()) for kind, p, n in KINDS for m in re.finditer(p, t) if len(m[0]) >= n)
+
+
+def test_op7_added_kinds_equal_their_own_patterns():
+    """Every kind beside the base against re over the whole text, on heads and tails glued together in any order."""
     ready = sec.build().ready()
-    rules = [r for r in sec.RULES if r.kinds]
-    kinds = [k for r in rules for k, _, _ in r.kinds]
-    assert len(kinds) >= 10
+    assert {k for k, _, _ in KINDS} == {k for r in sec.RULES for k, _, _ in r.kinds}
     rnd = random.Random(16)
     word = lambda: "".join(rnd.choice("abcdefABCDEF0123456789_-") for _ in range(rnd.randrange(50)))
     heads = "ghp_ ghr_ github_pat_ glpat- xoxb- AIza GOCSPX- sk_live_ rk_test_ SG. npm_ pypi- hf_ dop_v1_ shpat_ eyJ .eyJ . - _".split()
-    made = ["".join(rnd.choice([rnd.choice(heads), word(), rnd.choice(heads) + "0a" * 36, "eyJ" + "0a" * 9 + ".eyJ0a_" + "-9" * 9 + ".x", " ", ",", "é", "\n"]) for _ in range(rnd.randrange(30))) for _ in range(1500)]
-    seen = Counter()
+    piece = lambda: rnd.choice([rnd.choice(heads), word(), rnd.choice(heads) + "0a" * 36, "eyJ" + "0a" * 9 + ".eyJ0a_" + "-9" * 9 + ".x"])
+    made = ["".join(rnd.choice([piece(), piece(), piece(), " ", ",", "é", "\n"]) for _ in range(rnd.randrange(30))) for _ in range(1500)]
+    made += ["".join(piece() for _ in range(rnd.randrange(12))) for _ in range(1500)]
+    names, seen = {k for k, _, _ in KINDS}, Counter()
     for t, got in zip(made, ready.batch(made), strict=True):
-        for r in rules:
-            want = []
-            for run in re.finditer(r.pattern, t):
-                for kind, pattern, least in r.kinds:
-                    if (m := re.match(pattern, run[0])) and len(m[0]) >= least:
-                        want.append((kind, run.start(), run.start() + len(m[0])))
-            assert [s for s in got if s[0] in {k for k, _, _ in r.kinds}] == want
-            seen.update(k for k, _, _ in want)
-    assert set(seen) == set(kinds)
+        want = plain_kinds(t)
+        assert Counter(s for s in got if s[0] in names) == want
+        seen.update(k for k, _, _ in want)
+    assert set(seen) == names
+
+
+def test_op7_finds_and_masks_kinds_inside_other_kinds(spark):
+    tail = "a1B2" * 9
+    some = [f"npm_config_ghp_{tail}", f"hf_token_ghp_{tail}", f"eyJabc.xyz.SG.{tail}.{tail}", f"hf_{tail[:34]}-ghp_{tail}", f"sk_live_{tail[:24]}_xoxb-{tail}"]
+    kinds = [["github"], ["github"], ["sendgrid"], ["huggingface", "github"], ["stripe", "slack"]]
+    got = sec.secret_scan(frame(spark, some), with_text=True).orderBy("doc_id").collect()
+    for t, k, r in zip(some, kinds, got, strict=True):
+        spans = [s.split(":") for s in r.spans.split(",")]
+        assert [s[0] for s in spans] == k
+        assert all(t[int(a) : int(b)] not in r.redacted_text for _, a, b in spans) and "a1B2a1B2" not in r.redacted_text
+
+
+def test_op7_many_heads_in_a_long_run_take_no_square_time():
+    ready = sec.build().ready()
+    assert ready.spans("eyJ" * 200_000) == []
+    assert len(ready.spans("eyJ" * 200_000 + ".eyJa.b")) == 1
 
 
 def test_op7_lanes_do_not_change_the_ends():
