@@ -97,7 +97,7 @@ class LeastHolder(StatefulProcessor):
         pass
 
 
-def filter_counters(spark: SparkSession, documents: str, labels: DataFrame, batches: int = 8, folder: str | None = None) -> DataFrame:
+def filter_counters(spark: SparkSession, documents: str, labels: DataFrame, batches: int = 4, folder: str | None = None) -> DataFrame:
     """(part, mask, good, toxic, n) over all documents: rows by the set of filters that they fail.
 
     The files under the path ``documents`` are dealt over about ``batches`` micro-batches; state, progress and counters are in
@@ -119,14 +119,23 @@ def filter_counters(spark: SparkSession, documents: str, labels: DataFrame, batc
         sums = batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).where("n != 0")
         sums.coalesce(1).write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # one state partition a core (a stored run keeps its own number); only the changes of its state are written with each
+    # batch, and no space is reserved beforehand for each partition's logs
+    needed = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
+    }
+    before = {k: spark.conf.get(k, None) for k in needed}
+    for k, v in needed.items():
+        spark.conf.set(k, v)
     try:
         run = changes.writeStream.foreachBatch(store).outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
-        spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     stored = spark.read.schema(_DELTA).parquet(f"{folder}/changes")
     return stored.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).where("n != 0")
 
@@ -147,6 +156,6 @@ def interactions(counters: DataFrame, filters: str = FILTERS) -> DataFrame:
     )
 
 
-def filter_audit(spark: SparkSession, documents: str, labels: DataFrame, batches: int = 8) -> DataFrame:
+def filter_audit(spark: SparkSession, documents: str, labels: DataFrame, batches: int = 4) -> DataFrame:
     """The audit of the table under the path ``documents`` with the labels of its documents."""
     return interactions(filter_counters(spark, documents, labels, batches))
