@@ -89,6 +89,20 @@ class EventConfig:
     match_hours: int = 24
 
 
+@dataclass(frozen=True)
+class FusionConfig:
+    """Several sensors: radii and uncertainties (km) of the coarse one and the fine ones, time windows, buffer of a match."""
+
+    coarse_source: str = "HIMAWARI"
+    coarse_km: float = 5.0
+    fine_km: float = 2.0
+    coarse_uncertainty_km: float = 4.0
+    fine_uncertainty_km: float = 2.0
+    window_days: int = 5
+    buffer_km: float = 2.0
+    match_hours: tuple[tuple[str, int], ...] = (("DEA", 3), ("FIRMS", 6))
+
+
 #: Status ranks (monotone ladder) and confidence ranks.
 STATUS_RANK = {"RETRACTED": -1, "CLOSED": 0, "PROVISIONAL": 1, "LIKELY": 2, "CONFIRMED": 3, "MONITORING": 4}
 CONFIDENCE_RANK = {"low": 0, "nominal": 1, "high": 2}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from embergrid.config import INACTIVE, EventConfig
 from embergrid.functions.records import confidence_rank
-from embergrid.operators.spatial import cells_near, home_cell
+from embergrid.operators.spatial import cells_near, home_cell, spread
 
 
 def count_passes(times: Column, gap_minutes: int = 30) -> Column:
@@ -68,16 +68,20 @@ def fold_component(pdf: pd.DataFrame, radius_km: float) -> pd.DataFrame:
     return pd.DataFrame({"seq": pdf.seq.to_numpy(), "event_seq": names})
 
 
-def cell_components(places: DataFrame, km: float, most: int = 200) -> DataFrame:
+def cell_components(places: DataFrame, km: float, step: str | None = None, most: int = 200) -> DataFrame:
     """(id, label) of the cells that hold places (lat, lon), joined where places of them may be ``km`` apart.
 
-    Labels run along whole components with pointer jumping over cell numbers; rounds are written to the shared folder.
+    With a column ``step`` of whole numbers, cells are those of one step of time and reach into the steps beside it, so that
+    components end where a step stays empty. Labels run along whole components with pointer jumping over cell numbers;
+    rounds are written to the shared folder.
     """
     from embergrid.sources.tables import cut
 
-    own = home_cell(places.select("lat", "lon").distinct(), km).withColumn("id", F.xxhash64("cy", "cx")).drop("cy", "cx")
+    at = ["cy", "cx", *([step] if step else [])]
+    own = home_cell(places.select("lat", "lon", *at[2:]).distinct(), km).withColumn("id", F.xxhash64(*at)).drop("cy", "cx")
     ids = cut(own.select("id").distinct())
-    near = cells_near(own, km).select("id", F.xxhash64("cy", "cx").alias("other")).where("id != other").distinct()
+    around = spread(cells_near(own, km), 1, step) if step else cells_near(own, km)
+    near = around.select("id", F.xxhash64(*at).alias("other")).where("id != other").distinct()
     near = near.join(ids.withColumnRenamed("id", "other"), "other", "left_semi")
     near = cut(near.union(near.select(F.col("id").alias("other"), F.col("other").alias("id")).select("other", "id")).distinct())
     labels = cut(ids.select("id", F.col("id").alias("label")))
@@ -143,6 +147,13 @@ def running_centroid(members: DataFrame) -> DataFrame:
     return members.withColumn("run_lat", F.avg("lat").over(w)).withColumn("run_lon", F.avg("lon").over(w))
 
 
+def recent(dets: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+    """Detections seen in the last ``hours`` (1 to 168) before a moment, or later."""
+    if not 1 <= hours <= 168:
+        raise ValueError(f"hours {hours} is not between 1 and 168")
+    return dets.where(F.col("acq") >= as_of.cast("timestamp") - F.make_interval(hours=F.lit(hours)))
+
+
 def insert_ignore(stored: DataFrame, new: DataFrame, key: str = "source_id", order: str = "seq") -> DataFrame:
     """Rows of ``new`` whose key is not stored, the first of each key."""
     w = Window.partitionBy(key).orderBy(order)

@@ -15,18 +15,24 @@ def spread(df: DataFrame, reach: int, *names: str) -> DataFrame:
     return df
 
 
+def _known(cell_of: Column, sentinel: int) -> Column:
+    """A cell that is never null, so that no join infers a filter that would work the whole expression out once more, in a
+    method too large to be compiled. The sentinel stands for places without coordinates, which no distance admits."""
+    return F.coalesce(cell_of, F.lit(sentinel).cast("long"))
+
+
 def home_cell(df: DataFrame, km: float, lat: str = "lat", lon: str = "lon", y: str = "cy", x: str = "cx") -> DataFrame:
     """Append the cell of each row's place. Rows of cells are as wide as their latitude asks for."""
     high = row_degrees(km)
-    return df.withColumn(y, cell(F.col(lat), high)).withColumn(x, cell_in_row(F.col(lon), cells_around(F.col(y), high)))
+    return df.withColumn(y, _known(cell(F.col(lat), high), -(1 << 40))).withColumn(x, _known(cell_in_row(F.col(lon), cells_around(F.col(y), high)), -1))
 
 
 def cells_near(df: DataFrame, km: float, lat: str = "lat", lon: str = "lon", y: str = "cy", x: str = "cx") -> DataFrame:
     """Each row once for every cell that may hold a place at most ``km`` away, across the antimeridian, too."""
     high = row_degrees(km)
-    df = spread(df.withColumn(y, cell(F.col(lat), high)), 1, y).withColumn("__n", cells_around(F.col(y), high))
+    df = spread(df.withColumn(y, _known(cell(F.col(lat), high), 1 << 40)), 1, y).withColumn("__n", cells_around(F.col(y), high))
     own = cell_in_row(F.col(lon), F.col("__n"))
-    return df.withColumn(x, F.explode(F.array_distinct(F.array(*[F.pmod(own + o, F.col("__n")) for o in (-1, 0, 1)])))).drop("__n")
+    return df.withColumn(x, F.explode(F.array_distinct(F.array(*[_known(F.pmod(own + o, F.col("__n")), -2) for o in (-1, 0, 1)])))).drop("__n")
 
 
 def spatial_join(

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embergrid.config import PersistenceConfig
+from embergrid.config import FusionConfig, PersistenceConfig
 from embergrid.functions import geo, records, solar
-from embergrid.operators import calibration, contextual, cusum, events, lifecycle, masks, merge, report, validate
+from embergrid.operators import calibration, contextual, cusum, events, fusion, lifecycle, masks, merge, report, validate
 from embergrid.operators import persistence as persist
 from embergrid.operators import series as ops
 from embergrid.operators.spatial import spatial_join
@@ -27,6 +27,8 @@ ORACLE: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"a query is named {f.__name__} already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE[f.__name__] = sql
@@ -422,6 +424,63 @@ def event_association(spark, d):
     return events.associate(_place(v.sites(spark, d))).select("seq", "event_seq")
 
 
+def _fuse_sql() -> str:
+    """One step at a time: expire, join or open, then merge with all circles that the joined event's half covers."""
+    cfg = FusionConfig()
+    big, small = cfg.coarse_uncertainty_km, cfg.fine_uncertainty_km
+    cover = f"CASE e.unc + c.unc WHEN {2 * big} THEN {fusion.half_covered_km(big, big)!r} WHEN {2 * small} THEN {fusion.half_covered_km(small, small)!r} ELSE {fusion.half_covered_km(big, small)!r} END"
+    apart = _AWAY.replace("s.lat", "c.lat").replace("s.lon", "c.lon")
+    event = "STRUCT(id BIGINT, lat DOUBLE, lon DOUBLE, n BIGINT, latest BIGINT, unc DOUBLE, members BIGINT[])"
+    return f"""WITH RECURSIVE {v.SITES}, o AS (SELECT seq, lat_u / 1e6 AS lat, lon_u / 1e6 AS lon, minute * 10 AS t, source = 'HIMAWARI' AS coarse, row_number() OVER (ORDER BY minute, seq) AS i FROM sites),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS {event}[]) AS ev, CAST([] AS {event}[]) AS old
+ UNION ALL SELECT i, list_append(list_filter(now, lambda e: NOT list_contains(with_it, e.id) AND e.id <> c.id), CASE WHEN len(with_it) = 0 THEN c ELSE {{'id': least(c.id, list_min(with_it)),
+   'lat': list_reduce(list_transform(parts, lambda e: {{'v': e.lat, 'n': e.n}}), lambda x, y: {{'v': (x.v * x.n + y.v * y.n) / (x.n + y.n), 'n': x.n + y.n}}).v, 'lon': list_reduce(list_transform(parts, lambda e: {{'v': e.lon, 'n': e.n}}), lambda x, y: {{'v': (x.v * x.n + y.v * y.n) / (x.n + y.n), 'n': x.n + y.n}}).v,
+   'n': CAST(list_sum(list_transform(parts, lambda e: e.n)) AS BIGINT), 'latest': c.latest, 'unc': list_min(list_transform(parts, lambda e: e.unc)), 'members': flatten(list_transform(parts, lambda e: e.members))}} END), old
+ FROM (SELECT *, list_prepend(c, list_transform(near, lambda x: list_filter(now, lambda e: e.id = x.id)[1])) AS parts, list_transform(near, lambda x: x.id) AS with_it FROM (
+  SELECT *, list_sort(list_transform(list_filter(now, lambda e: e.id <> c.id AND {apart} < {cover}), lambda e: {{'far': {apart}, 'late': -e.latest, 'id': e.id}})) AS near FROM (
+  SELECT i, old, now, list_filter(now, lambda e: e.id = coalesce(best.id, seq))[1] AS c FROM (
+  SELECT s.*, old, best, CASE WHEN best IS NULL THEN list_append(live, {{'id': s.seq, 'lat': s.lat, 'lon': s.lon, 'n': CAST(1 AS BIGINT), 'latest': s.t, 'unc': CASE WHEN s.coarse THEN {big} ELSE {small} END, 'members': [s.seq]}})
+   ELSE list_transform(live, lambda e: CASE WHEN e.id = best.id THEN {{'id': e.id, 'lat': (e.lat * e.n + s.lat) / (e.n + 1), 'lon': (e.lon * e.n + s.lon) / (e.n + 1), 'n': e.n + 1, 'latest': s.t, 'unc': least(e.unc, CASE WHEN s.coarse THEN {big} ELSE {small} END), 'members': list_append(e.members, s.seq)}} ELSE e END) END AS now
+  FROM (SELECT s.*, live, old, list_min(list_transform(list_filter(live, lambda e: {_AWAY} < CASE WHEN s.coarse THEN {cfg.coarse_km} ELSE {cfg.fine_km} END), lambda e: {{'far': {_AWAY}, 'late': -e.latest, 'id': e.id}})) AS best
+   FROM (SELECT s.*, list_filter(w.ev, lambda e: e.latest >= s.t - {cfg.window_days * 1440}) AS live, list_concat(w.old, list_filter(w.ev, lambda e: e.latest < s.t - {cfg.window_days * 1440})) AS old FROM walk w JOIN o s ON s.i = w.i + 1) s) s) s) s) s) s)
+SELECT unnest(e.members) AS seq, e.id AS event_seq FROM (SELECT unnest(list_concat(ev, old)) AS e FROM walk ORDER BY i DESC LIMIT (SELECT len(ev) + len(old) FROM walk ORDER BY i DESC LIMIT 1))"""
+
+
+def _spread_sites(spark, d):
+    """The sites' detections with ten times as much time between them, so that events fall silent."""
+    start = F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))
+    return _place(v.sites(spark, d)).withColumn("acq", F.timestamp_seconds(start + F.col("minute") * 600))
+
+
+@query(_fuse_sql())
+def event_fusion(spark, d):
+    """Radii by sensor, a window of five days, and events whose circles overlap made one."""
+    return fusion.fuse(_spread_sites(spark, d)).select("seq", "event_seq")
+
+
+_CROSS = f"""{v.SITES}, s AS (SELECT *, lat_u / 1e6 AS lat, lon_u / 1e6 AS lon, minute AS t FROM sites),
+met AS (SELECT s.seq, e.seq AS r_seq, e.source AS r_source, {_AWAY} AS km, e.t - s.t AS minutes, e.lat, e.lon FROM s JOIN s e ON s.source = 'HIMAWARI' AND abs(e.t - s.t) <= CASE e.source WHEN 'DEA' THEN 180 WHEN 'FIRMS' THEN 360 END AND {_AWAY} < 2.0)"""
+
+
+def _cross(spark, d):
+    s = _place(v.sites(spark, d))
+    fine = s.select(F.col("seq").alias("r_seq"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col("acq").alias("r_acq"), F.col("source").alias("r_source"))
+    return s.where("source = 'HIMAWARI'").select("seq", "lat", "lon", "acq"), fine
+
+
+@query(f"WITH {_CROSS} SELECT seq, r_seq, r_source, round(km, 6) AS km, CAST(minutes AS DOUBLE) AS minutes FROM met")
+def cross_resolution_match(spark, d):
+    return fusion.cross_resolution(*_cross(spark, d)).select("seq", "r_seq", "r_source", F.round("km", 6).alias("km"), "minutes")
+
+
+@query(f"""WITH {_CROSS}, best AS (SELECT seq, min({{'km': km, 'minutes': minutes, 'r_seq': r_seq, 'lat': lat, 'lon': lon}}) AS m, count(DISTINCT r_source) AS n FROM met GROUP BY 1)
+SELECT seq, m.r_seq AS match_seq, round(coalesce(m.lat, s.lat), 6) AS refined_lat, round(coalesce(m.lon, s.lon), 6) AS refined_lon, CASE WHEN m IS NULL THEN 4.0 ELSE 2.0 END AS uncertainty_km, coalesce(n, 0) AS n_sources FROM s LEFT JOIN best USING (seq) WHERE source = 'HIMAWARI'""")
+def cross_resolution_refine(spark, d):
+    coarse, fine = _cross(spark, d)
+    out = fusion.refine(coarse, fusion.cross_resolution(coarse, fine))
+    return out.select("seq", "match_seq", F.round("refined_lat", 6).alias("refined_lat"), F.round("refined_lon", 6).alias("refined_lon"), "uncertainty_km", "n_sources")
+
+
 @query(f"WITH {PASSES} SELECT event_seq, detection_count, status FROM ev WHERE status NOT IN ('RETRACTED', 'CLOSED')")
 def active_events(spark, d):
     return events.active(_events(spark, d)).select("event_seq", "detection_count", "status")
@@ -435,7 +494,7 @@ def event_detail(spark, d):
 @query(f"WITH {v.SITES} SELECT seq, minute FROM sites WHERE minute >= 5002 - 24 * 60")
 def recent_detections(spark, d):
     as_of = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + 5002 * 60)
-    return v.sites(spark, d).where(F.col("acq") >= as_of - F.expr("INTERVAL 24 HOURS")).select("seq", "minute")
+    return events.recent(v.sites(spark, d), as_of, 24).select("seq", "minute")
 
 
 @query("""SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1""")
@@ -707,7 +766,7 @@ def valid_pixels(spark, d):
 
 
 @query(f"WITH {v.DET} SELECT det_id, frame_no, CAST(day AS VARCHAR) AS day, confidence, frp FROM det WHERE day <= DATE '1996-06-30' ORDER BY det.day DESC, det_id, frp, frame_no LIMIT 100")
-def recent_detections(spark, d):
+def latest_detections(spark, d):
     """The hundred latest detections up to a day, newest first: the limit is the feature."""
     seen = v.det(spark, d).where(F.col("day") <= F.lit("1996-06-30").cast("date"))
     return seen.orderBy(F.desc("day"), "det_id", "frp", "frame_no").limit(100).select("det_id", "frame_no", F.col("day").cast("string").alias("day"), "confidence", "frp")
