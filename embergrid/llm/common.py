@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,13 +74,34 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise once as Parquet in the shared folder; readers prune columns and survive lost executors."""
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Materialise once as Parquet in the shared folder; readers prune columns and survive lost executors. Within
+    ``scratch()`` the folder goes at its end, unless it is to be kept."""
     path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    held = _SCRATCH.get()
+    if held is not None and not keep:
+        held.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch():
+    """Delete what ``cut`` writes inside, as soon as the result is written (with ``keep``)."""
+    token = _SCRATCH.set(paths := [])
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        spark = SparkSession.getActiveSession()
+        for path in paths if spark else ():
+            to = spark._jvm.org.apache.hadoop.fs.Path(path)
+            to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
 #: A key with more than a HOT-th of all rows (LEAST_HOT at least) is dealt over several tasks.
 HOT, LEAST_HOT = 1024, 64
 

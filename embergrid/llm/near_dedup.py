@@ -21,6 +21,9 @@ one id are one row after ``drop_near_duplicates``.
 from __future__ import annotations
 
 import hashlib
+import math
+from dataclasses import dataclass
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -30,15 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from embergrid.llm.common import cut, hot_keys, map_texts, salted_join
+from embergrid.llm.common import cut, hot_keys, map_texts, salted_join, scratch
 from embergrid.llm.decontaminate import words_of
 
 SHINGLE = 5
 SIZE = 256
-ROWS = 6
-BANDS = 42
-#: Sketch bits that may differ: at a similarity of 0.8 the mean is 25.6 and the deviation 4.8; six deviations are let pass.
-SKETCH_MOST = 54
+#: Chance to miss a pair that is just as similar as asked for.
+MISS = 3e-6
 SKETCH = ("s0", "s1", "s2", "s3")
 TOGETHER = 1 << 15  # words of the texts that are signed in one go
 PAIRED = 4096  # texts of a band that one task compares with all of the band
@@ -46,6 +47,25 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+@dataclass(frozen=True)
+class Shape:
+    """How signatures are cut for a similarity: bands of as many rows as leave the chance MISS to share none, and the sketch
+    bits that may differ, six deviations above the mean. At 0.8: 42 bands of 6, and 54 of 256 bits."""
+
+    rows: int
+    bands: int
+    bits: int
+
+    @classmethod
+    def of(cls, similarity: float) -> "Shape":
+        needed = lambda r: math.ceil(math.log(MISS) / math.log1p(-(similarity**r)))
+        if not 0 < similarity < 1 or needed(1) > SIZE:
+            raise ValueError(f"signatures of {SIZE} numbers find no pairs of similarity {similarity}")
+        rows = max(r for r in range(1, 65) if r * needed(r) <= SIZE)
+        p = (1 - similarity) / 2
+        return cls(rows, needed(rows), math.floor(SIZE * p + 6 * math.sqrt(SIZE * p * (1 - p))))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = x + _MIX[0]
@@ -139,25 +159,25 @@ def name_of(text: str | None, words: list[bytes]) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _marks(many: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _marks(shape: Shape, many: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bands, sketch and bag size of each word list; lists without a word have no use for theirs."""
     shingles, counts, sizes = bags_of(many)
     bits = mix(signatures(shingles, counts, sizes).view(np.uint64))
-    key = np.zeros((len(many), BANDS), np.uint64)
-    for part in bits[:, : BANDS * ROWS].reshape(len(many), BANDS, ROWS).transpose(2, 0, 1):
+    key = np.zeros((len(many), shape.bands), np.uint64)
+    for part in bits[:, : shape.bands * shape.rows].reshape(len(many), shape.bands, shape.rows).transpose(2, 0, 1):
         key = mix(key ^ part)
     sketch = np.packbits((bits & np.uint64(1)).astype(bool), axis=1).view("<i8")
     owner = np.repeat(np.arange(len(many)), sizes)
-    return mix(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64), sketch, np.bincount(owner, counts, len(many)).astype(np.int64)
+    return mix(key + np.arange(shape.bands, dtype=np.uint64)).view(np.int64), sketch, np.bincount(owner, counts, len(many)).astype(np.int64)
 
 
-def _signed(texts: list[str | None]) -> dict[str, pa.Array]:
+def _signed(shape: Shape, texts: list[str | None]) -> dict[str, pa.Array]:
     """Name, bands, sketch and bag size of each text; texts without a word have no bands."""
     words = [words_of(t) for t in texts]
     names = [name_of(t, w) for t, w in zip(texts, words, strict=True)]
     first = {name: i for i, name in reversed(list(enumerate(names)))}  # equal texts of the batch are signed once
     todo = sorted(first.values())
-    bands, sketch, size = np.zeros((len(texts), BANDS), np.int64), np.zeros((len(texts), 4), np.int64), np.zeros(len(texts), np.int64)
+    bands, sketch, size = np.zeros((len(texts), shape.bands), np.int64), np.zeros((len(texts), 4), np.int64), np.zeros(len(texts), np.int64)
     at = 0
     while at < len(todo):
         end, n = at, 0
@@ -165,10 +185,10 @@ def _signed(texts: list[str | None]) -> dict[str, pa.Array]:
             n += len(words[todo[end]])
             end += 1
         part = todo[at:end]
-        bands[part], sketch[part], size[part] = _marks([words[i] for i in part])
+        bands[part], sketch[part], size[part] = _marks(shape, [words[i] for i in part])
         at = end
     of = np.fromiter((first[name] for name in names), np.int64, len(names))
-    ends = np.cumsum([0, *(BANDS if w else 0 for w in words)]).astype(np.int32)
+    ends = np.cumsum([0, *(shape.bands if w else 0 for w in words)]).astype(np.int32)
     flat = bands[of][np.fromiter(map(bool, words), bool, len(words))].ravel()
     out = {"id": pa.array([a for a, _ in names], pa.int64()), "check": pa.array([b for _, b in names], pa.int64()), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "n": pa.array(size[of])}
     return out | {s: pa.array(sketch[of, i]) for i, s in enumerate(SKETCH)}
@@ -227,8 +247,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _near(a: str, b: str):
-    return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH), F.lit(0)) <= SKETCH_MOST
+def _near(a: str, b: str, bits: int):
+    return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH), F.lit(0)) <= bits
 
 
 def near_dedup(df: DataFrame, similarity: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -251,8 +271,14 @@ def _verdicts(df: DataFrame, similarity: float, text_col: str = "text", id_col:
 
     Texts are read twice and cross the network once, for the texts that share a band; all else moves ids, bands or bags.
     """
+    with scratch():
+        return _judged(df, similarity, Shape.of(similarity), text_col, id_col)
+
+
+def _judged(df: DataFrame, similarity: float, shape: Shape, text_col: str, id_col: str) -> tuple[DataFrame, bool]:
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("__key", F.xxhash64("text"))
-    signed = cut(map_texts(docs, _signed, _SIGNED, carry=("doc_id", "__key")))
+    signed = map_texts(docs, partial(_signed, shape), _SIGNED, carry=("doc_id", "__key"))
+    signed = cut(signed.withColumn("__row", F.monotonically_increasing_id()))
     n_rows, n_ids = signed.agg(F.count("*"), F.count_distinct("doc_id")).first()
     repeats = n_rows != n_ids
     clash = cut(signed.groupBy("id").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo != hi").select("id"))
@@ -275,7 +301,7 @@ def _verdicts(df: DataFrame, similarity: float, text_col: str = "text", id_col:
     hubs = cut(hot_keys(star, "a", star.count()))
     names_of = lambda s: sketches.select(F.col("id").alias(s), F.struct("n", *SKETCH).alias(f"of_{s}"))
     star = salted_join(star.join(names_of("b"), "b"), names_of("a"), "a", hubs, ["b"])
-    star = cut(star.where(_sizes("of_a", "of_b", similarity) & _near("of_a", "of_b")).select("a", "b"))
+    star = cut(star.where(_sizes("of_a", "of_b", similarity) & _near("of_a", "of_b", shape.bits)).select("a", "b"))
     # one row of each text, by its id and the text's hash; the bag goes under the name of the very text that it is made of
     wanted = shared.select("id").distinct().join(texts.select("id", "doc_id", "__key"), "id").select("doc_id", "__key")
     bags = _renamed(map_texts(_semi(docs, wanted, repeats), _bags, _BAGS, carry=()), clash)
@@ -289,7 +315,7 @@ def _verdicts(df: DataFrame, similarity: float, text_col: str = "text", id_col:
     few, many, parts = open_.where(F.col("m") <= PAIRED).withColumn("part", F.lit(0)), open_.where(F.col("m") > PAIRED), F.ceil(F.col("m") / PAIRED).cast("int")
     # a crowded band's pairs are judged in several tasks: one side is dealt, the other goes to each
     dealt, repeated = many.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")), many.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    more = cut(_cross(few, few, similarity).union(_cross(dealt, repeated, similarity)))
+    more = cut(_cross(few, few, similarity, shape.bits).union(_cross(dealt, repeated, similarity, shape.bits)))
     if more.limit(1).count():
         labels = components(edges.union(more))
     # classes from one row a text; every row then learns its text's class
@@ -297,13 +323,13 @@ def _verdicts(df: DataFrame, similarity: float, text_col: str = "text", id_col:
     home = cut(texts.select("id", "doc_id", "__key", "n_rows").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
     names = home.groupBy("label").agg(least, F.sum("n_rows").alias("n_class")).select("label", F.col("x.doc_id").alias("class_id"), F.col("x.__key").alias("__class_key"), "n_class")
     of_text = salted_join(home.select("id", "label"), names, "label", hot_keys(home, "label", n_rows), ["id"]).drop("label")
-    out = salted_join(signed.select("doc_id", "__key", "id"), of_text, "id", hot_keys(texts, "id", n_rows, F.col("n_rows")), ["doc_id"])
+    out = salted_join(signed.select("doc_id", "__key", "id", "__row"), of_text, "id", hot_keys(texts, "id", n_rows, F.col("n_rows")), ["__row"])
     kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
     kept = kept & (F.col("__key") == F.col("__class_key")) if repeats else kept
-    return out.select("doc_id", "__key", "class_id", "n_class", kept.alias("kept")), repeats
+    return cut(out.select("doc_id", "__key", "class_id", "n_class", kept.alias("kept")), keep=True), repeats
 
 
-def _cross(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
+def _cross(left: DataFrame, right: DataFrame, similarity: float, bits: int) -> DataFrame:
     """Pairs (a, b) of one band's part, of different components, whose bags overlap enough.
 
     Pairs that fail are turned down inside the join: no row is made for them, and each pair is judged in one band.
@@ -311,7 +337,7 @@ def _cross(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
     p, q = left.alias("p"), right.alias("q")
     apart = (F.col("p.band") == F.col("q.band")) & (F.col("p.part") == F.col("q.part")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.label") != F.col("q.label"))
     once = F.array_min(F.array_intersect("p.bands", "q.bands")) == F.col("p.band")
-    met = p.join(q, apart & _sizes("p", "q", similarity) & _near("p", "q") & once & _alike(F.col("p.bag"), F.col("q.bag"), similarity))
+    met = p.join(q, apart & _sizes("p", "q", similarity) & _near("p", "q", bits) & once & _alike(F.col("p.bag"), F.col("q.bag"), similarity))
     return met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from embergrid.llm.common import HOT, LEAST_HOT, cut, salted_join
+from embergrid.llm.common import HOT, LEAST_HOT, cut, salted_join, scratch
 from embergrid.llm.near_dedup import mix
 
 #: Rows of a shard, depths of a block, and ids of a pack.
@@ -292,6 +292,11 @@ def _hashed(batches):
 
 def prefix_trie(conversations: DataFrame, size: int = SHARD, block: int = BLOCK) -> DataFrame:
     """One row per node of the trie of the rebuilt conversations; shards of about ``size`` rows, blocks of ``block`` depths."""
+    with scratch():
+        return cut(_nodes(conversations, size, block), keep=True)
+
+
+def _nodes(conversations: DataFrame, size: int, block: int) -> DataFrame:
     turns, convs = rebuilt(conversations)
     path = along(turns, [F.col("src"), F.col("pos")], ("conv_id", "bytes")).select("conv_id", (F.col("place") + 1).alias("depth"), "a", "b", "pa", "pb", "bytes")
     root = [F.lit(_long(x)).cast("long") for x in ROOT]

@@ -512,9 +512,9 @@ def test_op9_signs_a_text_alike_in_any_company():
     rnd = random.Random(12)
     texts = [" ".join(rnd.choice("abcdef") for _ in range(rnd.randrange(1, 300))) for _ in range(80)] + ["one", "a b c d", "a b c d e"]
     words = [dec.words_of(t) for t in texts]
-    bands, sketch, size = nd._marks(words)
+    bands, sketch, size = nd._marks(nd.Shape.of(0.8), words)
     for i, w in enumerate(words):
-        alone = nd._marks([w])
+        alone = nd._marks(nd.Shape.of(0.8), [w])
         assert (alone[0][0] == bands[i]).all() and (alone[1][0] == sketch[i]).all() and alone[2][0] == size[i] == max(1, len(w) - 4)
     shingles, counts, sizes = nd.bags_of(words)
     for w, h, n in zip(words, np.split(shingles, np.cumsum(sizes)[:-1]), np.split(counts, np.cumsum(sizes)[:-1]), strict=True):
@@ -576,7 +576,36 @@ def test_op9_hot_groups_give_the_same_classes(spark, monkeypatch):
     assert {tuple(r) for r in nd.near_dedup(frame(spark, some)).collect()} == want and len({r[1] for r in want}) == 21
 
 
-def test_op9_classes_equal_components_of_true_links(spark):
+def test_op9_bands_and_sketch_follow_the_similarity():
+    assert nd.Shape.of(0.8) == nd.Shape(rows=6, bands=42, bits=54)
+    for s in (0.1, 0.3, 0.5, 0.65, 0.9, 0.99):
+        shape = nd.Shape.of(s)
+        assert shape.rows * shape.bands <= nd.SIZE and (1 - s**shape.rows) ** shape.bands <= nd.MISS
+    for s in (0.0, 0.04, 1.0):
+        with pytest.raises(ValueError):
+            nd.Shape.of(s)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.65, 0.8])
+def test_op9_pairs_as_similar_as_asked_for_share_a_band_and_pass_the_sketch(similarity):
+    """Recall over pairs of texts just at and above the similarity, by the module's own marks."""
+    rnd, shape, many, n = random.Random(int(100 * similarity)), nd.Shape.of(similarity), [], 400
+    while len(many) < 2 * n:
+        base = [f"w{rnd.randrange(2000)}" for _ in range(rnd.randrange(30, 160))]
+        copy = list(base)
+        for _ in range(rnd.randrange(1, 24)):
+            copy[rnd.randrange(len(copy))] = f"x{rnd.randrange(2000)}"
+        a, b = (Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (base, copy))
+        if similarity <= sum((a & b).values()) / sum((a | b).values()) <= similarity + 0.1:
+            many += [[w.encode() for w in base], [w.encode() for w in copy]]
+    bands, sketch, _ = nd._marks(shape, many)
+    shared = (bands[::2] == bands[1::2]).any(axis=1)
+    apart = np.unpackbits((sketch[::2] ^ sketch[1::2]).view(np.uint8), axis=1).sum(axis=1)
+    assert (shared & (apart <= shape.bits)).all()
+
+
+@pytest.mark.parametrize("similarity,changes", [(0.5, 13), (0.65, 9), (0.8, 5)])
+def test_op9_classes_equal_components_of_true_links(spark, similarity, changes):
     rnd = random.Random(8)
     vocabulary = [f"w{i}" for i in range(500)]
     some = []
@@ -585,7 +614,7 @@ def test_op9_classes_equal_components_of_true_links(spark):
         some.append(" ".join(base))
         for _ in range(rnd.randrange(6)):
             copy = list(base)
-            for _ in range(rnd.randrange(5)):
+            for _ in range(rnd.randrange(changes)):
                 copy[rnd.randrange(120)] = rnd.choice(vocabulary)
             some.append(" ".join(copy))
     some += [some[0], "", "", "!", None, None, "one", "One."]
@@ -600,17 +629,23 @@ def test_op9_classes_equal_components_of_true_links(spark):
     for i, a in enumerate(bags):
         for j in range(i):
             b = bags[j]
-            alike = some[i] == some[j] if a is None or b is None else sum((a & b).values()) >= 0.8 * (sum((a | b).values()))
+            alike = some[i] == some[j] if a is None or b is None else sum((a & b).values()) >= similarity * (sum((a | b).values()))
             if alike and root(i) != root(j):
                 parent[max(root(i), root(j))] = min(root(i), root(j))
-    got = {r.doc_id: r for r in nd.near_dedup(frame(spark, some)).collect()}
+    got = {r.doc_id: r for r in nd.near_dedup(frame(spark, some), similarity).collect()}
     assert {i: got[i].class_id for i in got} == {i: root(i) for i in range(len(some))}
     size = Counter(map(root, range(len(some))))
     assert all(got[i].n_class == size[root(i)] and got[i].kept == (root(i) == i) for i in got)
-    left = sorted(r.doc_id for r in nd.drop_near_duplicates(frame(spark, some)).collect())
+    left = sorted(r.doc_id for r in nd.drop_near_duplicates(frame(spark, some), similarity).collect())
     assert left == sorted({root(i) for i in range(len(some))})
 
 
+def test_op9_leaves_only_its_result_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "checkpoint_root", lambda _: f"file://{tmp_path}")
+    got = nd.near_dedup(frame(spark, ["a b c d e f", "a b c d e f", None]))
+    assert len(list(tmp_path.glob("cut-*"))) == 1 and got.count() == 3
+
+
 def test_op9_needs_no_key(spark):
     rnd = random.Random(9)
     prose = lambda: [f"w{rnd.randrange(500)}" for _ in range(120)]
