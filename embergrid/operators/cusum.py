@@ -1,12 +1,14 @@
 """The temporal detector: a diurnal Kalman model per pixel with two one-sided CUSUMs.
 
-Three forms: the plain CUSUM as window functions; keyed folds of whole series; and the full model frame by frame, in
-which neighbours decide about resets.
+Four forms: the plain CUSUM as window functions; keyed folds as scans of sorted ranges; the full model frame by frame
+(``run_frames``, for live frames); and the full model by tiles (``run_tiles``, for whole series), in which a tile runs all its frames by
+itself and only what tiles tell their neighbours is exchanged.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 
 from embergrid.config import CusumConfig
 from embergrid.operators.masks import has_neighbour
+from embergrid.operators.scans import fold_runs, range_steps
+from embergrid.operators.spatial import spread
+from embergrid.sources.tables import cut
 
 STATE = (
     "pixel_id long, x array<double>, p array<double>, s_slow double, s_fast double, n_obs int, last_clear double, last_update double, "
@@ -40,24 +45,29 @@ def consecutive_anomalies(df: DataFrame, key: str, order: list[str], flag: Colum
 
 
 def decay_fold(df: DataFrame, key: str, k: float, tau: float = 10_800.0) -> DataFrame:
-    """Final CUSUM per key with clouds: clear rows add z - k, cloudy ones decay by the time passed (t, z, clear).
+    """Final CUSUM per key with clouds: clear rows add z - k, cloudy ones decay by the time passed (t, ord, z, clear)."""
 
-    One array per key: series are as long as their key's history; group by key and month to bound them.
-    """
-    rows = F.array_sort(F.collect_list(F.struct("t", "ord", "z", "clear")))
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(float("inf")).alias("last"))  # no time has passed before the first row
+    def steps(pdf: pd.DataFrame, before: np.ndarray):
+        clear, gone = pdf["clear"].to_numpy(bool), np.maximum(pdf["t"].to_numpy(float) - before, 0)
+        return np.where(clear, 1.0, np.exp(-gone / tau)), np.where(clear, pdf["z"].to_numpy(float) - k, 0.0), np.zeros(len(pdf))
 
-    def step(acc, r):
-        dt = F.greatest(r["t"] - acc["last"], F.lit(0.0))
-        s = F.when(r["clear"], F.greatest(F.lit(0.0), acc["s"] + r["z"] - k)).otherwise(acc["s"] * F.exp(-dt / tau))
-        return F.struct(s.alias("s"), r["t"].cast("double").alias("last"))
+    def head(acc: Column, r: Column) -> Column:
+        gone = F.greatest(F.coalesce(r["t"] - acc["last"], F.lit(0.0)), F.lit(0.0))  # no time has passed before the first row
+        return F.when(r["clear"], F.greatest(F.lit(0.0), acc["x"] + r["z"] - k)).otherwise(acc["x"] * F.exp(-gone / tau))
 
-    return df.groupBy(key).agg(F.aggregate(rows, start, step, lambda a: a["s"]).alias("s"), F.count("*").alias("n"))
+    runs = range_steps(df.select(key, "t", "ord", "z", "clear"), key, ["t", "ord"], steps)
+    return fold_runs(runs, key, F.lit(0.0), head).withColumnRenamed("x", "s")
 
 
 def ema_fold(df: DataFrame, key: str, value: str, alpha: float) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("t", "ord", F.col(value).cast("double").alias("v"))))
-    return df.groupBy(key).agg(F.aggregate(rows, F.lit(None).cast("double"), lambda a, r: F.coalesce(a + alpha * (r["v"] - a), r["v"])).alias("ema"))
+    """Final exponential mean per key, from the first value on (t, ord)."""
+
+    def steps(pdf: pd.DataFrame, before: np.ndarray):
+        n = len(pdf)
+        return np.full(n, 1 - alpha), alpha * pdf["v"].to_numpy(float), np.full(n, -np.inf)
+
+    runs = range_steps(df.select(key, "t", "ord", F.col(value).cast("double").alias("v")), key, ["t", "ord"], steps)
+    return fold_runs(runs, key, F.lit(None), lambda acc, r: F.coalesce(acc["x"] + alpha * (r["v"] - acc["x"]), r["v"])).select(key, F.col("x").alias("ema"))
 
 
 def first_state(grid: DataFrame, cfg: CusumConfig = CusumConfig()) -> DataFrame:
@@ -70,37 +80,39 @@ def first_state(grid: DataFrame, cfg: CusumConfig = CusumConfig()) -> DataFrame:
     )
 
 
-def advance(s: pd.DataFrame, cfg: CusumConfig) -> pd.DataFrame:
-    """One frame for a batch of pixels: state columns with btd, bt14, clear, is_day, lon and t (UNIX seconds).
+_SCALARS = ("s_slow", "s_fast", "n_obs", "last_clear", "last_update", "consecutive", "ema", "var_count", "var_mean", "var_m2")
+
+
+def fresh_arrays(n: int, cfg: CusumConfig) -> dict[str, np.ndarray]:
+    """State arrays of pixels that were never seen."""
+    out = {c: np.full(n, np.nan) if c in ("last_clear", "last_update", "ema") else np.zeros(n, int if c in ("n_obs", "consecutive", "var_count") else float) for c in _SCALARS}
+    return out | {"x": np.zeros((n, 6)), "p": np.tile(np.diag(cfg.start_variance), (n, 1, 1)).astype(float)}
+
+
+def advance_arrays(s: dict[str, np.ndarray], f: dict[str, np.ndarray], cfg: CusumConfig) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """One frame for a batch of pixels: new state and outputs from state arrays and the frame's btd, bt14, clear, is_day,
+    lon and t (UNIX seconds).
 
     Batched 6 x 6 algebra; cloudy pixels only predict and decay.
     """
-    n = len(s)
-    num = lambda c: s[c].to_numpy(float)
-    clear = s["clear"].to_numpy(bool) & ~np.isnan(num("btd")) & ~np.isnan(num("bt14"))
-    t, day = num("t"), s["is_day"].to_numpy(bool)
-    x = np.array(s["x"].tolist(), float).reshape(n, 6)
-    p = np.zeros((n, 6, 6))
-    p[:, UPPER[0], UPPER[1]] = np.array(s["p"].tolist(), float).reshape(n, 21)
-    p = p + np.triu(p, 1).transpose(0, 2, 1)
-    ema = num("ema")
-    ema = np.where(clear & np.isnan(ema), num("bt14"), ema)
-    anomaly = np.where(clear, np.nan_to_num(num("bt14") - ema), 0.0)
-    p = p + np.diag(np.square(cfg.process_std))
-    hour = np.mod(np.mod(t, 86_400) / 3600 + num("lon") / 15, 24) * 2 * math.pi / 24
+    clear = f["clear"] & ~np.isnan(f["btd"]) & ~np.isnan(f["bt14"])
+    t, day, bt14, n = f["t"], f["is_day"], f["bt14"], len(f["t"])
+    ema = np.where(clear & np.isnan(s["ema"]), bt14, s["ema"])
+    anomaly = np.where(clear, np.nan_to_num(bt14 - ema), 0.0)
+    p = s["p"] + np.diag(np.square(cfg.process_std))
+    hour = np.mod(np.mod(t, 86_400) / 3600 + f["lon"] / 15, 24) * 2 * math.pi / 24
     h = np.stack([np.ones(n), np.cos(hour), np.sin(hour), np.cos(2 * hour), np.sin(2 * hour), anomaly], axis=1)
     noise = np.where(day, cfg.noise.day, cfg.noise.night)
     ph = np.einsum("nij,nj->ni", p, h)
     spread = np.maximum(np.einsum("ni,ni->n", h, ph) + noise, 1e-6)
-    v = np.where(clear, num("btd") - np.einsum("ni,ni->n", h, x), 0.0)
+    v = np.where(clear, f["btd"] - np.einsum("ni,ni->n", h, s["x"]), 0.0)
     z = v / np.sqrt(spread)
-    n_obs = s["n_obs"].to_numpy(int)
+    n_obs = s["n_obs"]
     ready = clear & (n_obs >= cfg.min_clear)
-    slow, fast, run = num("s_slow"), num("s_fast"), s["consecutive"].to_numpy(int)
-    keep = np.exp(-np.maximum(np.nan_to_num(t - num("last_update")), 0) / cfg.decay_seconds)
-    slow = np.where(ready, np.maximum(0, slow + z - cfg.k_slow), np.where(clear, slow, slow * keep))
-    fast = np.where(ready, np.maximum(0, fast + z - cfg.k_fast), np.where(clear, fast, fast * keep))
-    run = np.where(ready, np.where(z > cfg.anomaly_z, run + 1, 0), np.where(clear, run, 0))
+    keep = np.exp(-np.maximum(np.nan_to_num(t - s["last_update"]), 0) / cfg.decay_seconds)
+    slow = np.where(ready, np.maximum(0, s["s_slow"] + z - cfg.k_slow), np.where(clear, s["s_slow"], s["s_slow"] * keep))
+    fast = np.where(ready, np.maximum(0, s["s_fast"] + z - cfg.k_fast), np.where(clear, s["s_fast"], s["s_fast"] * keep))
+    run = np.where(ready, np.where(z > cfg.anomaly_z, s["consecutive"] + 1, 0), np.where(clear, s["consecutive"], 0))
     odds = np.clip(math.log(cfg.prior / (1 - cfg.prior)) + cfg.log_odds_scale * np.maximum(slow, fast), -50, 50)
     conf = np.where(n_obs >= cfg.min_clear, 1 / (1 + np.exp(-odds)), np.nan)
     weight = np.where(np.isnan(conf), 1.0, np.maximum(1 - conf, cfg.min_weight))
@@ -108,25 +120,44 @@ def advance(s: pd.DataFrame, cfg: CusumConfig) -> pd.DataFrame:
     a = np.eye(6) - np.einsum("ni,nj->nij", gain, h)
     post = np.einsum("nij,njk,nlk->nil", a, p, a) + noise[:, None, None] * np.einsum("ni,nj->nij", gain, gain)
     post = (post + post.transpose(0, 2, 1)) / 2
-    x = np.where(clear[:, None], x + gain * v[:, None], x)
-    p = np.where(clear[:, None, None], post, p)
-    count, mean, m2 = s["var_count"].to_numpy(int), num("var_mean"), num("var_m2")
+    count, mean, m2 = s["var_count"], s["var_mean"], s["var_m2"]
     var = np.where(count >= 2, np.maximum(m2 / np.maximum(count, 1), 1.0), 1.0)
     z14 = anomaly / np.sqrt(var)
     learn = clear & ~(conf >= cfg.ema_max_confidence)
-    since = np.maximum(np.nan_to_num(t - num("last_clear"), nan=1.0), 1.0) if cfg.ema_dt_fix else np.ones(n)
-    ema = np.where(learn, ema + (1 - np.exp(-since / cfg.ema_seconds)) * (num("bt14") - ema), ema)
+    since = np.maximum(np.nan_to_num(t - s["last_clear"], nan=1.0), 1.0) if cfg.ema_dt_fix else np.ones(n)
     count = count + learn
-    delta = num("bt14") - mean
-    mean = np.where(learn, mean + delta / np.maximum(count, 1), mean)
-    m2 = np.where(learn, m2 + delta * (num("bt14") - mean), m2)
+    delta = bt14 - mean
+    new_mean = np.where(learn, mean + delta / np.maximum(count, 1), mean)
+    new = {
+        "x": np.where(clear[:, None], s["x"] + gain * v[:, None], s["x"]), "p": np.where(clear[:, None, None], post, p), "s_slow": slow, "s_fast": fast, "n_obs": n_obs + clear,
+        "last_clear": np.where(clear, t, s["last_clear"]), "last_update": t, "consecutive": run, "ema": np.where(learn, ema + (1 - np.exp(-since / cfg.ema_seconds)) * (bt14 - ema), ema),
+        "var_count": count, "var_mean": new_mean, "var_m2": np.where(learn, m2 + delta * (bt14 - new_mean), m2),
+    }
     hot = ready & (conf >= cfg.confidence) & ~((z14 > cfg.z14_low) & (z14 < cfg.z14_high))
-    out = s[["pixel_id", "frame_id", "row", "col"]].copy()
-    flat = p[:, UPPER[0], UPPER[1]]
-    return out.assign(
-        x=list(x), p=list(flat), s_slow=slow, s_fast=fast, n_obs=n_obs + clear, last_clear=np.where(clear, t, num("last_clear")), last_update=t, consecutive=run, ema=ema,
-        var_count=count, var_mean=mean, var_m2=m2, clear=clear, z=np.where(ready, z, np.nan), confidence=conf, anomaly=anomaly, z14=z14, candidate=hot,
-    )[[c.split()[0] for c in OUT.split(", ")]]
+    return new, {"clear": clear, "z": np.where(ready, z, np.nan), "confidence": conf, "anomaly": anomaly, "z14": z14, "candidate": hot}
+
+
+_FRAME = ("t", "btd", "bt14", "clear", "is_day", "lon")
+
+
+def _frame_arrays(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    return {c: pdf[c].to_numpy(bool if c in ("clear", "is_day") else float) for c in _FRAME}
+
+
+def _rows(ids: pd.DataFrame, state: dict[str, np.ndarray], out: dict[str, np.ndarray]) -> pd.DataFrame:
+    """Output rows: pixel_id, frame_id, row and col with state and outputs."""
+    p = state["p"][:, UPPER[0], UPPER[1]]
+    return ids.assign(**(state | {"x": list(state["x"]), "p": list(p)} | out))[[c.split()[0] for c in OUT.split(", ")]]
+
+
+def advance(s: pd.DataFrame, cfg: CusumConfig) -> pd.DataFrame:
+    """One frame for a batch of pixels: state columns with the columns of ``advance_arrays``."""
+    n = len(s)
+    p = np.zeros((n, 6, 6))
+    p[:, UPPER[0], UPPER[1]] = np.array(s["p"].tolist(), float).reshape(n, 21)
+    state = {c: s[c].to_numpy(int if c in ("n_obs", "consecutive", "var_count") else float) for c in _SCALARS}
+    state |= {"x": np.array(s["x"].tolist(), float).reshape(n, 6), "p": p + np.triu(p, 1).transpose(0, 2, 1)}
+    return _rows(s[["pixel_id", "frame_id", "row", "col"]], *advance_arrays(state, _frame_arrays(s), cfg))
 
 
 def step(state: DataFrame, frame: DataFrame, cfg: CusumConfig = CusumConfig()) -> DataFrame:
@@ -148,8 +179,6 @@ def step(state: DataFrame, frame: DataFrame, cfg: CusumConfig = CusumConfig()) -
 
 def run_frames(state: DataFrame, frames: list[DataFrame], cfg: CusumConfig = CusumConfig()):
     """All frames in order; yields each one's outputs, written once in the shared folder (resume from any of them)."""
-    from embergrid.sources.tables import cut
-
     names = [c.split()[0] for c in STATE.split(", ")]
     for frame in frames:
         out = cut(step(state, frame, cfg))
@@ -158,30 +187,101 @@ def run_frames(state: DataFrame, frames: list[DataFrame], cfg: CusumConfig = Cus
         yield out
 
 
-def run_series(pixels: DataFrame, cfg: CusumConfig = CusumConfig(), block: int = 1024) -> DataFrame:
-    """Whole series per pixel, where neighbours have no say (require_adjacent False).
-
-    Pixels go in blocks of ids, so that a task holds ``block`` pixels' series and advances them together frame by frame.
+def _run_tile(px: pd.DataFrame, beside: pd.DataFrame, cfg: CusumConfig):
+    """All frames of a tile in order, with the hot pixels ``beside`` it (frame_id, row, col) given; yields (rows, state,
+    outputs, alert) a frame, where alert marks the hot pixels that are not suppressed."""
+    px = px.sort_values(["t", "frame_id", "row", "col"], kind="stable")
+    ids, index = np.unique(px["pixel_id"].to_numpy(), return_inverse=True)
+    state = fresh_arrays(len(ids), cfg)
+    top, left = int(px["row"].min()) - 1, int(px["col"].min()) - 1
+    high, wide = int(px["row"].max()) - top + 2, int(px["col"].max()) - left + 2
+    near_by = {f: g for f, g in beside.groupby("frame_id")} if len(beside) else {}
+    arrays, suppressed = _frame_arrays(px), px["suppressed"].to_numpy(bool)
+    frame, row, col = px["frame_id"].to_numpy(), px["row"].to_numpy() - top, px["col"].to_numpy() - left
+    cuts = np.flatnonzero((np.diff(frame) != 0) | (np.diff(arrays["t"]) != 0)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(px)], strict=True):
+        on = index[a:b]
+        new, out = advance_arrays({k: v[on] for k, v in state.items()}, {k: v[a:b] for k, v in arrays.items()}, cfg)
+        alert = out["candidate"] & ~suppressed[a:b]
+        reset = alert
+        if cfg.require_adjacent and alert.any():
+            grid = np.zeros((high, wide), np.int32)
+            np.add.at(grid, (row[a:b][alert], col[a:b][alert]), 1)
+            if (g := near_by.get(frame[a])) is not None:
+                r, c = g["row"].to_numpy() - top, g["col"].to_numpy() - left
+                inside = (r >= 0) & (r < high) & (c >= 0) & (c < wide)
+                np.add.at(grid, (r[inside], c[inside]), 1)
+            # pixels of one place do not make each other neighbours
+            grid = np.minimum(grid, 1)
+            sums = np.pad(grid, 1)
+            sums = sum(sums[i : i + high, j : j + wide] for i in range(3) for j in range(3)) - grid
+            reset = alert & (sums[row[a:b], col[a:b]] > 0)
+        for c in ("s_slow", "s_fast", "consecutive"):
+            new[c] = np.where(reset, 0, new[c])
+        for k, v in new.items():
+            state[k][on] = v
+        yield px.iloc[a:b][["pixel_id", "frame_id", "row", "col"]], new, out | {"candidate": reset}, alert
+
+
+def tile_side(pixels: DataFrame, rows: int = 1 << 20) -> int:
+    """Side of square tiles whose whole series have about ``rows`` rows at most, between 4 and 64 pixels."""
+    frames = pixels.groupBy("pixel_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    return max(4, min(64, math.isqrt(max(1, rows // frames))))
+
+
+def run_tiles(pixels: DataFrame, cfg: CusumConfig = CusumConfig(), side: int | None = None) -> DataFrame:
+    """The whole model over whole series, equal to running all frames in order.
+
+    Tiles of ``side`` pixels run all their frames at once, with neighbours inside the tile decided as they go. What depends
+    on pixels of other tiles starts from the guess that none of them is hot; then the tiles beside changed border pixels run again
+    with the news, until nothing changes. A decision depends on earlier frames and on neighbours' heat of the same frame,
+    which itself depends on earlier frames alone: each round settles at least one frame more, so the rounds end, and what they
+    end with is the only solution. Rounds follow fires that cross tiles, not frames. A task holds one tile.
+
+    pixels: pixel_id, frame_id, row, col, lon, t, btd, bt14, clear, is_day, suppressed; one row per pixel and frame.
     """
-    p0 = np.diag(cfg.start_variance)[UPPER].tolist()
-    names = [c.split()[0] for c in STATE.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(pdf["pixel_id"].unique())
-        n = len(ids)
-        state = pd.DataFrame({"pixel_id": ids, "x": [[0.0] * 6] * n, "p": [p0] * n, "s_slow": 0.0, "s_fast": 0.0, "n_obs": 0, "last_clear": np.nan, "last_update": np.nan, "consecutive": 0, "ema": np.nan, "var_count": 0, "var_mean": 0.0, "var_m2": 0.0}).set_index("pixel_id", drop=False)
-        outs = []
-        for _, frame in pdf.sort_values(["t", "frame_id"]).groupby(["t", "frame_id"], sort=True):
-            frame = frame.set_index("pixel_id")
-            now = advance(state.loc[frame.index].join(frame), cfg)
-            now["candidate"] &= ~frame["suppressed"].to_numpy(bool)
-            hot = now["candidate"].to_numpy(bool)
-            now = now.assign(s_slow=np.where(hot, 0.0, now["s_slow"]), s_fast=np.where(hot, 0.0, now["s_fast"]), consecutive=np.where(hot, 0, now["consecutive"]))
-            outs.append(now)
-            state = pd.concat([state.drop(index=frame.index), now[names].set_index("pixel_id", drop=False)])
-        return pd.concat(outs)
-
-    return pixels.groupBy(F.floor(F.col("pixel_id") / block).alias("__block")).applyInPandas(run, OUT)
+    side = side or tile_side(pixels)
+    tile, edge = ("ty", "tx"), "ty long, tx long, frame_id long, row long, col long"
+    at = lambda c: F.floor(F.col(c) / side).cast("long")
+    px = pixels.withColumn("ty", at("row")).withColumn("tx", at("col"))
+    nothing = px.sparkSession.createDataFrame([], edge)
+
+    def border(key, mine: pd.DataFrame, beside: pd.DataFrame) -> pd.DataFrame:
+        found = [rows[alert][["frame_id", "row", "col"]] for rows, _, _, alert in _run_tile(mine, beside, cfg) if alert.any()] if len(mine) else []
+        hot = pd.concat(found) if found else pd.DataFrame({"frame_id": [], "row": [], "col": []}, dtype="int64")
+        hot = hot[hot["row"].mod(side).isin((0, side - 1)) | hot["col"].mod(side).isin((0, side - 1))]
+        return hot.assign(ty=key[0], tx=key[1])[["ty", "tx", "frame_id", "row", "col"]]
+
+    def whole(key, mine: pd.DataFrame, beside: pd.DataFrame) -> pd.DataFrame:
+        found = [_rows(rows, new, out) for rows, new, out, _ in _run_tile(mine, beside, cfg)] if len(mine) else []
+        return pd.concat(found) if found else pd.DataFrame(columns=[c.split()[0] for c in OUT.split(", ")])
+
+    def told(hot: DataFrame) -> DataFrame:
+        """Border pixels, for each tile that they touch from outside."""
+        near = spread(hot.withColumn("y", F.col("row")).withColumn("x", F.col("col")), 1, "y", "x").where((at("y") != F.col("ty")) | (at("x") != F.col("tx")))
+        return near.select(at("y").alias("ty"), at("x").alias("tx"), "frame_id", "row", "col").distinct()
+
+    def run(mine: DataFrame, beside: DataFrame, f, schema: str) -> DataFrame:
+        return mine.groupBy(*tile).cogroup(beside.groupBy(*tile)).applyInPandas(f, schema)
+
+    if not cfg.require_adjacent:
+        return run(px, nothing, whole, OUT)
+    px = cut(px)
+    hot = cut(run(px, nothing, border, edge))
+    beside = cut(told(hot))
+    changed = cut(beside.select(*tile).distinct())
+    while changed.limit(1).count():
+        again = run(px.join(changed, list(tile), "left_semi"), beside.join(changed, list(tile), "left_semi"), border, edge)
+        hot = cut(hot.join(changed, list(tile), "left_anti").unionByName(again))
+        new = cut(told(hot))
+        apart = beside.exceptAll(new).unionByName(new.exceptAll(beside))
+        changed, beside = cut(apart.select(*tile).distinct()), new
+    return run(px, beside, whole, OUT)
+
+
+def run_series(pixels: DataFrame, cfg: CusumConfig = CusumConfig()) -> DataFrame:
+    """Whole series per pixel, where neighbours have no say (require_adjacent False)."""
+    return run_tiles(pixels, replace(cfg, require_adjacent=False))
 
 
 def heatmap(out: DataFrame, floor: float = 0.05) -> DataFrame:

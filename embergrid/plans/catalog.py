@@ -5,13 +5,12 @@ Each pair stands together: the query builds on the operators, the SQL states the
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embergrid.config import FusionConfig, PersistenceConfig
+from embergrid.config import CusumConfig, FusionConfig, PersistenceConfig
 from embergrid.functions import geo, records, solar
 from embergrid.operators import calibration, contextual, cusum, events, fusion, lifecycle, masks, merge, report, validate
 from embergrid.operators import persistence as persist
@@ -343,13 +342,8 @@ def _kalman_input(spark, d):
 
 
 def _kalman_frames(spark, d):
-    """The whole model, all frames in order: neighbours decide which candidates count and are reset."""
-    from embergrid.config import CusumConfig
-
-    cfg, px = CusumConfig(min_clear=5), cut(_kalman_input(spark, d))
-    order = [r[0] for r in px.select("frame_id", "t").distinct().orderBy("t", "frame_id").collect()]
-    frames = [px.where(F.col("frame_id") == f) for f in order]
-    return functools.reduce(DataFrame.unionByName, cusum.run_frames(cusum.first_state(px.select("pixel_id").distinct(), cfg), frames, cfg))
+    """The whole model over all frames: neighbours decide which candidates count and are reset."""
+    return cusum.run_tiles(_kalman_input(spark, d), CusumConfig(min_clear=5))
 
 
 KALMAN_OUT = ("pixel_id", "frame_id", "z", "confidence", "s_slow", "s_fast", "n_obs", "candidate")
@@ -362,8 +356,6 @@ def kalman_cusum_full(spark, d):
 
 @query()
 def kalman_cusum_without_neighbours(spark, d):
-    from embergrid.config import CusumConfig
-
     return cusum.run_series(_kalman_input(spark, d), CusumConfig(require_adjacent=False, min_clear=5)).select(*KALMAN_OUT)
 
 

@@ -195,12 +195,13 @@ def test_full_query_equals_a_sequential_pass_with_neighbours(spark):
         now.loc[list(kept), ["s_slow", "s_fast", "consecutive"]] = 0
         state = pd.concat([state.drop(index=f.index), now[names]])
         want |= {(r.pixel_id, r.frame_id): r for r in now.itertuples()}
-    got = catalog.QUERIES["kalman_cusum_full"](spark, d).collect()
-    assert lone > 0 and len(got) == len(want)
-    for r in got:
-        w = want[(r.pixel_id, r.frame_id)]
-        assert (r.n_obs, r.candidate) == (w.n_obs, w.candidate)
-        assert r.s_slow == pytest.approx(w.s_slow) and r.s_fast == pytest.approx(w.s_fast)
+    # in one tile, and in tiles of two pixels, whose borders lie everywhere
+    for got in (catalog.QUERIES["kalman_cusum_full"](spark, d).collect(), cusum.run_tiles(catalog._kalman_input(spark, d), cfg, side=2).collect()):
+        assert lone > 0 and len(got) == len(want)
+        for r in got:
+            w = want[(r.pixel_id, r.frame_id)]
+            assert (r.n_obs, r.candidate) == (w.n_obs, w.candidate)
+            assert r.s_slow == pytest.approx(w.s_slow) and r.s_fast == pytest.approx(w.s_fast)
 
 
 def test_solar_noon_and_midnight(spark):
