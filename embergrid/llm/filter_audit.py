@@ -120,11 +120,14 @@ def filter_counters(spark: SparkSession, documents: str, labels: DataFrame, batc
         sums.coalesce(1).write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
     # one state partition a core (a stored run keeps its own number); only the changes of its state are written with each
-    # batch, and no space is reserved beforehand for each partition's logs
+    # batch, no space is reserved beforehand for each partition's logs, and an executor's partitions share their memory
     needed = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
         "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
     }
     before = {k: spark.conf.get(k, None) for k in needed}
