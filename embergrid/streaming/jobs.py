@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from embergrid.config import Config, PersistenceConfig
+from embergrid.config import Config, CusumConfig, PersistenceConfig
+from embergrid.operators.cusum import OUT, STATE, first_state, step
 from embergrid.operators.persistence import persistence
+from embergrid.sources.store import VersionedTable
 
 DETECTIONS = "det_id long, frame_no long, lat double, lon double, confidence string"
 
@@ -32,8 +34,9 @@ def persist_stream(dets: DataFrame, buffer_path: str, out_path: str, checkpoint:
         now = batch.select(F.col("frame_no").alias("emit_frame")).distinct()
         judged.join(now, "emit_frame", "left_semi").write.mode("overwrite").parquet(f"{out_path}/batch={number}")
         last = both.agg(F.max("frame_no")).first()[0]
-        if last is not None:
-            both.where(F.col("frame_no") > last - cfg.window - 1).write.mode("overwrite").parquet(f"{buffer_path}/batch={number}")
+        # a batch that leaves nothing to keep writes an empty buffer, which the next one reads
+        kept = both.where(F.col("frame_no") > last - cfg.window - 1) if last is not None else both
+        kept.write.mode("overwrite").parquet(f"{buffer_path}/batch={number}")
 
     return dets.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -44,6 +47,28 @@ def _buffer(spark: SparkSession, path: str, number: int, like: DataFrame) -> Dat
     return spark.read.schema(like.schema).parquet(f"{path}/batch={number - 1}")
 
 
+def replay(pixels: DataFrame, folder: str, cfg: CusumConfig = CusumConfig(), most: int | None = None) -> int:
+    """Run the temporal model over the frames that no earlier run has published, in order; how many were run.
+
+    State is a versioned table, published frame by frame under the frame's number, after the frame's outputs are written to
+    ``out/frame=N``; a frame that was cut short is run again from the state before it and writes over its outputs. Pixels
+    that were not seen before start anew. At most ``most`` frames are run; frames before the last published one are not
+    taken up any more, as their place in the order has passed. For live frames; whole archives go through ``run_tiles``.
+    """
+    state = VersionedTable(pixels.sparkSession, f"{folder}/state", STATE, "pixel_id")
+    done = state.last_batch("replay")
+    todo = pixels if done is None else pixels.where(F.col("frame_id") > done)
+    frames = [r[0] for r in todo.select("frame_id").distinct().orderBy("frame_id").limit(most or 1 << 30).collect()]
+    for number in frames:
+        frame = pixels.where(F.col("frame_id") == number)
+        known = state.read()
+        fresh = first_state(frame.select("pixel_id").join(known.select("pixel_id"), "pixel_id", "left_anti"), cfg)
+        out = f"{folder}/out/frame={number}"
+        step(known.join(frame.select("pixel_id"), "pixel_id", "left_semi").unionByName(fresh), frame, cfg).write.mode("overwrite").parquet(out)
+        state.upsert(pixels.sparkSession.read.schema(OUT).parquet(out), int(number), "replay")
+    return len(frames)
+
+
 def frame_counts(px: DataFrame, late: str = "30 minutes", width: str = "10 minutes") -> DataFrame:
     """Hot pixels per tumbling frame of event time, with late rows admitted for a while."""
     hot = px.withWatermark("obs_time", late)
