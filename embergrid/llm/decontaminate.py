@@ -7,7 +7,7 @@ the others.
 
 A benchmark of more than ``max_windows`` words is searched for in several passes, each with a share of the items.
 
-Defined cases: null and empty texts have no words; items without words or with a null id have no windows; repeated items
+Defined cases: null and empty texts have no words; items without words have no windows; the windows of items with a null id count as hits, and such items are not listed; repeated items
 count once by id; a window that several items share counts for each; texts are searched whole, however long; repeated
 rows give repeated results; a carried column gives way to an output of the same name, and to nothing else; an empty table
 has no rows, and an empty benchmark no hits.
@@ -15,6 +15,7 @@ has no rows, and an empty benchmark no hits.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from embergrid.llm.common import cut, map_texts
+from embergrid.llm.common import cut, hot_keys, map_texts, salted_join
 
 WINDOW = 10
 MAX_WINDOWS = 500_000
@@ -91,9 +92,10 @@ class Matcher:
     def build(cls, rows: Iterable[tuple[object, str | None]]) -> "Matcher":
         items: dict[bytes, set[str]] = {}
         for item, text in rows:
-            if item is not None:
-                for w in windows_of(words_of(text)):
-                    items.setdefault(b" " + w + b" ", set()).add(str(item))
+            for w in windows_of(words_of(text)):
+                named = items.setdefault(b" " + w + b" ", set())
+                if item is not None:  # an item without an id has windows, but no name to be listed by
+                    named.add(str(item))
         full = [p for p in items if p.count(b" ") == WINDOW + 1]
         short = [p for p in items if p.count(b" ") <= WINDOW]
         return cls(tuple(Search.build(x) for x in (full, short) if x), {p: tuple(sorted(i)) for p, i in items.items()})
@@ -129,13 +131,18 @@ _ITEMS = T.ArrayType(T.StringType())
 OUTPUTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def _searched(texts: list[str | None], matcher: Matcher, found: str, items: str) -> dict[str, pa.Array]:
+#: What lies between words.
+_APART = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
+
+
+def _searched(texts: list[str | None], matcher: Matcher) -> dict[str, pa.Array]:
     got = [matcher.hits(t) for t in texts]
     pairs = pa.struct([("a", pa.int64()), ("b", pa.int64())])
     return {
         "n_words": pa.array([g[0] for g in got], pa.int64()),
-        found: pa.array([[{"a": a, "b": b} for a, b in g[1]] for g in got], pa.list_(pairs)),
-        items: pa.array([sorted(g[2]) for g in got], pa.list_(pa.string())),
+        "__found": pa.array([[{"a": a, "b": b} for a, b in g[1]] for g in got], pa.list_(pairs)),
+        "__items": pa.array([sorted(g[2]) for g in got], pa.list_(pa.string())),
+        "__any": pa.array([bool(g[1]) for g in got], pa.bool_()),
     }
 
 
@@ -150,32 +157,37 @@ def decontaminate(
     """Append n_words, n_hit, n_items, items_sha256 and contaminated to every row.
 
     The benchmark's words are counted first. Up to ``max_windows`` of them (some 100 MB at most in a worker) go to every task
-    and the search is one narrow map. More are dealt to passes by a hash of the item, each a narrow map whose hits are
-    written with the rows before the next one, so that only one pass's tables are in memory.
+    and the search is one narrow map. More are dealt to passes by a hash of the item. Each pass reads the texts and writes
+    the hits of those that have any, under the text's SHA-256, so that only one pass's tables are in memory and no text is
+    written; the hits meet the rows at the end.
     """
-    tests = benchmark.select(F.col("item_id"), F.col("text")).where(F.col("item_id").isNotNull())
-    n = F.size(F.split(F.coalesce("text", F.lit("")), r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"))
+    tests = benchmark.select(F.col("item_id"), F.col("text"))
+    n = F.size(F.split(F.coalesce("text", F.lit("")), _APART))
     passes = max(1, -(-(tests.agg(F.sum(n)).first()[0] or 0) // max(1, max_windows)))
     names = [c for c in dict.fromkeys(carry) if c not in OUTPUTS]
     own = [f"__kept{i}" for i in range(len(names))]  # no carried name can meet one of the search's
     rows = df.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)], F.col(f"`{text_col}`").alias("__doc"))
-    spark, columns = df.sparkSession, []
-    for k in range(passes):
-        some = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else tests
+    spark = df.sparkSession
+
+    def search(docs: DataFrame, some: DataFrame, carried: tuple[str, ...], only_hits: bool) -> DataFrame:
         got = some.toArrow()
         held = spark.sparkContext.broadcast(Matcher.build(zip(got["item_id"].to_pylist(), got["text"].to_pylist(), strict=True)))
-        found, items = f"__found{k}", f"__items{k}"
-        out = T.StructType([T.StructField("n_words", T.LongType()), T.StructField(found, _RANGES), T.StructField(items, _ITEMS)])
-        rows = map_texts(rows, lambda texts, held=held, f=found, i=items: _searched(texts, held.value, f, i), out, "__doc", (*own, *([] if k == passes - 1 else ["__doc"]), *columns))
-        rows = rows if k == passes - 1 else cut(rows)
-        columns += [found, items]
-    covered = F.array_distinct(F.flatten(F.transform(F.flatten(F.array(*columns[::2])), lambda r: F.sequence(r["a"], r["b"] - 1))))
-    seen = F.array_sort(F.array_distinct(F.flatten(F.array(*columns[1::2]))))
-    if passes == 1:  # the ranges of one search do not overlap
-        covered_n = F.aggregate(columns[0], F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
+        out = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("__found", _RANGES), T.StructField("__items", _ITEMS), T.StructField("__any", T.BooleanType())])
+        return map_texts(docs, lambda texts: _searched(texts, held.value), out, "__doc", carried, "__any" if only_hits else None)
+
+    if passes == 1:
+        rows = search(rows, tests, tuple(own), False)
     else:
-        covered_n = F.size(covered).cast("long")
-    rows = rows.select(*own, "n_words", covered_n.alias("n_hit"), seen.alias("__seen"))
+        rows = rows.withColumn("__name", F.sha2(F.coalesce("__doc", F.lit("")), 256))
+        parts = [search(rows, tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k), ("__name",), True).groupBy("__name").agg(F.first("__found").alias("f"), F.first("__items").alias("i")) for k in range(passes)]
+        hits = cut(functools.reduce(DataFrame.unionByName, map(cut, parts)).groupBy("__name").agg(F.flatten(F.collect_list("f")).alias("__found"), F.array_distinct(F.flatten(F.collect_list("i"))).alias("__items")))
+        words = F.size(F.filter(F.split(F.coalesce("__doc", F.lit("")), _APART), lambda w: w != "")).cast("long")
+        rows = rows.select(*own, "__name", words.alias("n_words"))
+        counted = rows.join(hits.select("__name"), "__name", "left_semi")
+        rows = salted_join(rows, hits, "__name", hot_keys(counted, "__name", counted.count()), own or ["n_words"], "left")
+    # ranges of several passes may overlap
+    covered = F.aggregate(F.array_sort("__found"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda x, r: F.struct((x["n"] + F.greatest(r["b"] - F.greatest(r["a"], x["to"]), F.lit(0))).alias("n"), F.greatest(r["b"], x["to"]).alias("to")), lambda x: x["n"])
+    rows = rows.select(*own, "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.array_sort(F.coalesce("__items", F.array().cast("array<string>"))).alias("__seen"))
     result = rows.select(
         *[F.col(o).alias(c) for c, o in zip(names, own, strict=True)],
         "n_words", "n_hit", F.size("__seen").cast("long").alias("n_items"), F.sha2(F.array_join("__seen", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),

@@ -37,13 +37,13 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _OP8 = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_WORD}') AS ws FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_WORD}') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_WORD}') AS ws FROM benchmark),
 bw AS (SELECT DISTINCT item, array_to_string(ws[i:i+9], ' ') AS win, len(ws[i:i+9]) AS k FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
 ks AS (SELECT DISTINCT k FROM bw),
 dw AS (SELECT r, i, k, array_to_string(ws[i:i+k-1], ' ') AS win FROM (SELECT r, ws, k, unnest(range(1, greatest(len(ws) - k + 1, 0) + 1)) AS i FROM d, ks)),
 h AS (SELECT r, i, dw.k AS k, item FROM dw JOIN bw USING (win) WHERE dw.k = bw.k),
 n AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM h) GROUP BY r),
-g AS (SELECT r, count(*) AS c, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+g AS (SELECT r, count(item) AS c, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(c, 0) AS BIGINT) AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (r) LEFT JOIN g USING (r)
