@@ -96,6 +96,18 @@ def detect(px: DataFrame, cfg: ContextualConfig = ContextualConfig(), scale: flo
     return px.withColumn("__mask", mask).withColumn("fire_mask", F.when((F.col("__mask") >= 2) & down, 1).otherwise(F.col("__mask"))).drop("__mask", "__n")
 
 
+def background_near(px: DataFrame, reach: int, value: str, tile: int = 32) -> DataFrame:
+    """Each candidate (frame_id, row, col) with the value v of every background pixel at most ``reach`` rows and columns away.
+
+    Both meet on tiles of the frame, so that no frame is one task's; a candidate goes to the tiles that its square touches.
+    """
+    t = lambda x, o: F.floor((F.col(x) + o) / tile)
+    cand = px.where("candidate").select("frame_id", "row", "col")
+    cand = cand.withColumn("tr", F.explode(F.sequence(t("row", -reach), t("row", reach)))).withColumn("tc", F.explode(F.sequence(t("col", -reach), t("col", reach))))
+    back = px.where("background").select("frame_id", F.col("row").alias("b_row"), F.col("col").alias("b_col"), F.col(value).cast("double").alias("v"), t("row", 0).alias("tr"), t("col", 0).alias("tc"))
+    return cand.join(back, ["frame_id", "tr", "tc"]).where((F.abs(F.col("row") - F.col("b_row")) <= reach) & (F.abs(F.col("col") - F.col("b_col")) <= reach))
+
+
 def frame_counters(detected: DataFrame) -> DataFrame:
     """One row per frame: pixels, valid, water rejected, candidates, absolute, contextual, without background, fires."""
     n = lambda c: F.count_if(c).alias

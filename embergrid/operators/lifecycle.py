@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embergrid.functions.records import confidence_rank
+from embergrid.operators.contextual import background_near
 from embergrid.operators.spatial import spatial_join
 
 
@@ -41,12 +42,7 @@ def min_frames_by_danger(index: Column) -> Column:
 
 def mad_background(px: DataFrame, value: str = "btd", window: int = 11, least: int = 10, tile: int = 32) -> DataFrame:
     """Median and median absolute deviation of the background around each candidate, where enough of it is there."""
-    h = window // 2
-    t = lambda x, o: F.floor((F.col(x) + o) / tile)
-    cand = px.where("candidate").select("frame_id", "row", "col")
-    cand = cand.withColumn("tr", F.explode(F.sequence(t("row", -h), t("row", h)))).withColumn("tc", F.explode(F.sequence(t("col", -h), t("col", h))))
-    back = px.where("background").select("frame_id", F.col("row").alias("b_row"), F.col("col").alias("b_col"), F.col(value).cast("double").alias("v"), t("row", 0).alias("tr"), t("col", 0).alias("tc"))
-    met = cand.join(back, ["frame_id", "tr", "tc"]).where((F.abs(F.col("row") - F.col("b_row")) <= h) & (F.abs(F.col("col") - F.col("b_col")) <= h))
+    met = background_near(px, window // 2, value, tile)
     keys = ["frame_id", "row", "col"]
     middle = met.groupBy(*keys).agg(F.median("v").alias("median"), F.count("*").alias("n")).where(F.col("n") >= least)
     return met.join(middle, keys).groupBy(*keys, "n", "median").agg(F.median(F.abs(F.col("v") - F.col("median"))).alias("mad"))

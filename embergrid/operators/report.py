@@ -60,6 +60,26 @@ def list_reports(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(meta.alias("m")).select("m.*").orderBy(F.desc("report_date"))
 
 
+def report_window(t: Column, zone: str = "Australia/Sydney", at: tuple[int, int] = (19, 50)) -> Column:
+    """The daily report that a moment belongs to: its date, and from when to when it runs (in UTC, without zone).
+
+    A report ends at a time of day on the zone's clock, so that one runs for 23 or 25 hours where summer time begins or
+    ends. A moment at the end belongs to the next report; a null moment to none. ``t`` is a timestamp; the session's zone must
+    not repeat hours (UTC does not).
+    """
+    day, rest = F.make_dt_interval(hours=F.lit(at[0]), mins=F.lit(at[1])), F.make_dt_interval(hours=F.lit(24 - at[0] - (at[1] > 0)), mins=F.lit(-at[1] % 60))
+    local = F.convert_timezone(F.current_timezone(), F.lit(zone), t.cast("timestamp_ntz"))
+    date = F.to_date(local + rest)
+    utc = lambda d: F.convert_timezone(F.lit(zone), F.lit("UTC"), d.cast("timestamp_ntz") + day)
+    return F.when(t.isNotNull(), F.struct(date.alias("report_date"), utc(F.date_sub(date, 1)).alias("from_utc"), utc(date).alias("to_utc")))
+
+
+def daily_windows(rows: DataFrame, t: str, value: str, zone: str = "Australia/Sydney") -> DataFrame:
+    """Per daily report with rows: its window, the number of rows and the greatest value."""
+    w = rows.where(F.col(t).isNotNull()).select(report_window(F.col(t), zone).alias("w"), value)
+    return w.groupBy("w.report_date", "w.from_utc", "w.to_utc").agg(F.count("*").alias("n"), F.max(value).alias("greatest"))
+
+
 def status_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("status").agg(F.count("*").alias("n"))
 

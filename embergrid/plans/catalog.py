@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from embergrid.config import CusumConfig, FusionConfig, PersistenceConfig
 from embergrid.functions import geo, records, solar
-from embergrid.operators import calibration, contextual, cusum, events, fusion, lifecycle, masks, merge, report, validate
+from embergrid.operators import calibration, contextual, cusum, events, fusion, interaction, lifecycle, masks, merge, report, validate
 from embergrid.operators import persistence as persist
 from embergrid.operators import series as ops
 from embergrid.operators.spatial import spatial_join
@@ -132,11 +132,8 @@ def adjacent_candidates_3x3(spark, d):
 AND abs(a."row" - b."row") <= 5 AND abs(a.col - b.col) <= 5 WHERE a.candidate GROUP BY ALL""")
 def box_background_stats(spark, d):
     px = contextual.classify(_valid(spark, d), scale=100.0)
-    h, back = 5, px.where("background").select("frame_id", F.col("row").alias("b_row"), F.col("col").alias("b_col"), F.col("bt7").alias("b_bt7"))
-    near = (F.abs(F.col("row") - F.col("b_row")) <= h) & (F.abs(F.col("col") - F.col("b_col")) <= h)
-    cand = px.where("candidate").select("frame_id", "row", "col").alias("c")
-    joined = cand.join(back.alias("b"), (F.col("c.frame_id") == F.col("b.frame_id")) & near, "left")
-    return joined.groupBy(F.col("c.frame_id").alias("frame_id"), "row", "col").agg(F.count("b_bt7").alias("n_box"), F.coalesce(F.sum("b_bt7"), F.lit(0)).cast("long").alias("s_box"))
+    sums = contextual.background_near(px, 5, "bt7").groupBy("frame_id", "row", "col").agg(F.count("*").alias("n_box"), F.sum("v").cast("long").alias("s_box"))
+    return px.where("candidate").select("frame_id", "row", "col").join(sums, ["frame_id", "row", "col"], "left").na.fill(0, ["n_box", "s_box"])
 
 
 @query(f'WITH {STATS} SELECT frame_id, "row", col, CAST(win AS INTEGER) AS win, CAST(n_background AS BIGINT) AS n_background, round(mu_bt7, 4) AS mu_bt7, round(mu_btd, 4) AS mu_btd, round(CASE WHEN win IS NOT NULL THEN sd_bt7 END, 4) AS sd_bt7 FROM stats')
@@ -574,6 +571,30 @@ def daily_report_counts(spark, d):
     return _events(spark, d).groupBy("source_set").agg(F.count("*").alias("n_events"), F.sum("detection_count").alias("n_detections"), F.max("max_frp").alias("max_frp"))
 
 
+@query("""WITH e AS (SELECT value, ts + to_days(CAST(event_id % 450 AS INTEGER)) AS t FROM events),
+l AS (SELECT value, t + to_hours(CASE WHEN t < TIMESTAMP '2024-04-06 16:00:00' OR t >= TIMESTAMP '2024-10-05 16:00:00' AND t < TIMESTAMP '2025-04-05 16:00:00' OR t >= TIMESTAMP '2025-10-04 16:00:00' THEN 11 ELSE 10 END) AS local FROM e),
+d AS (SELECT CAST(local + INTERVAL '4 hours 10 minutes' AS DATE) AS day, value FROM l),
+w AS (SELECT day, CASE WHEN x >= TIMESTAMP '2024-04-07 03:00:00' AND x < TIMESTAMP '2024-10-06 03:00:00' OR x >= TIMESTAMP '2025-04-06 03:00:00' AND x < TIMESTAMP '2025-10-05 03:00:00' THEN x - INTERVAL '10 hours' ELSE x - INTERVAL '11 hours' END AS to_utc, value FROM (SELECT day, CAST(day AS TIMESTAMP) + INTERVAL '19 hours 50 minutes' AS x, value FROM d)),
+f AS (SELECT DISTINCT day, to_utc, CASE WHEN x >= TIMESTAMP '2024-04-07 03:00:00' AND x < TIMESTAMP '2024-10-06 03:00:00' OR x >= TIMESTAMP '2025-04-06 03:00:00' AND x < TIMESTAMP '2025-10-05 03:00:00' THEN x - INTERVAL '10 hours' ELSE x - INTERVAL '11 hours' END AS from_utc FROM (SELECT DISTINCT day, to_utc, CAST(day AS TIMESTAMP) - INTERVAL '4 hours 10 minutes' AS x FROM w))
+SELECT CAST(day AS VARCHAR) AS report_date, from_utc, to_utc, count(*) AS n, max(value) AS greatest FROM w JOIN f USING (day, to_utc) GROUP BY ALL""")
+def daily_report_windows(spark, d):
+    """Events shifted over fifteen months, by the daily report that ends at 19:50 in Sydney; two reports each run 23 and 25 hours."""
+    e = table(spark, d, "events")
+    t = (F.col("ts") + F.make_dt_interval(days=(F.col("event_id") % 450).cast("int"))).cast("timestamp")
+    return report.daily_windows(e.select(t.alias("t"), "value"), "t", "value").withColumn("report_date", F.col("report_date").cast("string"))
+
+
+@query(f"""WITH {v.PIX}, p AS (SELECT frame_id, "row", col, CASE WHEN pixel_id % 13 <> 0 THEN CAST(bt7 - bt14 AS DOUBLE) END AS v FROM pix),
+m AS (SELECT a.frame_id, a."row", a.col, a.v, CASE WHEN a.v IS NOT NULL THEN count(b.v) END AS n_near, avg(b.v) AS near, a.v - avg(b.v) AS anomaly, greatest(abs(a.v - min(b.v)), abs(max(b.v) - a.v)) AS gradient
+ FROM p a LEFT JOIN p b ON a.frame_id = b.frame_id AND abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1 AND (a."row" <> b."row" OR a.col <> b.col) AND b.v IS NOT NULL GROUP BY a.frame_id, a."row", a.col, a.v)
+SELECT frame_id, "row", col, n_near, round(anomaly, 4) AS anomaly, CASE WHEN v IS NOT NULL THEN gradient END AS gradient, round(anomaly - avg(anomaly) OVER w, 4) AS anomaly_trend, CASE WHEN v IS NOT NULL THEN round(gradient - avg(gradient) OVER w, 4) END AS gradient_change,
+ v > avg(v) OVER w AND near <= avg(near) OVER w AS diverging FROM (SELECT * REPLACE (CASE WHEN v IS NOT NULL THEN gradient END AS gradient) FROM m) WINDOW w AS (PARTITION BY "row", col ORDER BY frame_id RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)""")
+def interaction_features(spark, d):
+    px = v.pix(spark, d).select("frame_id", "row", "col", F.when(F.col("pixel_id") % 13 != 0, F.col("bt7") - F.col("bt14")).alias("btd"))
+    out = interaction.interaction_features(px)
+    return out.select("frame_id", "row", "col", "n_near", F.round("anomaly", 4).alias("anomaly"), "gradient", F.round("anomaly_trend", 4).alias("anomaly_trend"), F.round("gradient_change", 4).alias("gradient_change"), "diverging")
+
+
 @query(f"""WITH {v.PIX}, px AS (SELECT frame_id, pixel_id, (bt7 - 29000) / CAST(40000 AS DOUBLE) AS probability, NOT cloud AS clear, bt14 / CAST(100 AS DOUBLE) AS z FROM pix),
 pool AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY md5(pixel_id || ':42'), pixel_id) AS rn, count(*) OVER (PARTITION BY frame_id) AS n FROM px WHERE probability <= 0.01 AND clear)
 SELECT *, 'fire_candidate' AS pixel_type FROM px WHERE probability > 0.01 UNION ALL SELECT * EXCLUDE (rn, n), 'background_sample' FROM pool WHERE rn <= greatest(1, floor(n * CAST(0.1 AS DOUBLE)))""")
