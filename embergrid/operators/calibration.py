@@ -15,37 +15,47 @@ from embergrid.functions.geo import degrees_apart
 SERIES = "label string, obs_time timestamp, btd double, btd_predicted double, residual double, z_score double, cusum_s double"
 
 
-def _diurnal(hour: float) -> np.ndarray:
-    w = 2 * math.pi / 24 * hour
-    return np.array([1.0, math.cos(w), math.sin(w), math.cos(2 * w), math.sin(2 * w)])
-
-
 def follow(pdf: pd.DataFrame, cfg: CusumConfig = CusumConfig(), gate: float = 2.0) -> pd.DataFrame:
-    """One target's series in time: five harmonic terms, learning only from scores inside the gate; rows without a clear
-    value carry the CUSUM on."""
-    x, p = np.zeros(5), np.diag(cfg.start_variance[:5])
-    q = np.diag(np.square(cfg.process_std[:5]))
-    total, learned, out = 0.0, 0, []
-    for r in pdf.sort_values("obs_time").itertuples():
-        if r.cloud_flag != 0 or r.btd is None or math.isnan(r.btd):
-            out.append((r.label, r.obs_time, r.btd, None, None, None, total))
-            continue
-        h = _diurnal((r.obs_time.hour + r.obs_time.minute / 60 + r.lon / 15) % 24)
-        p = p + q
-        spread = max(h @ p @ h + (cfg.noise.day if r.is_day else cfg.noise.night), 1e-6)
-        left = r.btd - h @ x
-        z = left / math.sqrt(spread)
-        total = max(0.0, total + z - cfg.k_slow) if learned >= cfg.min_clear else 0.0
-        out.append((r.label, r.obs_time, r.btd, round(float(h @ x), 3), round(left, 3), round(z, 3), round(total, 3)))
-        if abs(z) < gate:
-            gain = p @ h / spread
-            x, p, learned = x + gain * left, p - np.outer(gain, h) @ p, learned + 1
-    return pd.DataFrame(out, columns=[c.split()[0] for c in SERIES.split(", ")])
-
-
-def follow_targets(series: DataFrame, cfg: CusumConfig = CusumConfig()) -> DataFrame:
-    """Every target's series on its own (label, obs_time, btd, cloud_flag, is_day, lon)."""
-    return series.groupBy("label").applyInPandas(lambda pdf: follow(pdf, cfg), SERIES)
+    """Series of any number of targets in time, all targets' next rows together: five harmonic terms, learning only from
+    scores inside the gate; rows without a clear value carry the CUSUM on."""
+    pdf = pdf.sort_values(["label", "obs_time"], kind="stable", ignore_index=True)
+    target = pdf.groupby("label", sort=False, dropna=False).ngroup().to_numpy()
+    nth = pdf.groupby("label", sort=False, dropna=False).cumcount().to_numpy()
+    n, m = len(pdf), int(target.max()) + 1 if len(pdf) else 0
+    x, p = np.zeros((m, 5)), np.tile(np.diag(cfg.start_variance[:5]), (m, 1, 1)).astype(float)
+    q, total, learned = np.diag(np.square(cfg.process_std[:5])), np.zeros(m), np.zeros(m, int)
+    btd, t = pdf["btd"].to_numpy(float), pdf["obs_time"].dt
+    clear = (pdf["cloud_flag"].to_numpy() == 0) & ~np.isnan(btd)
+    w = 2 * math.pi / 24 * np.mod(t.hour.to_numpy() + t.minute.to_numpy() / 60 + pdf["lon"].to_numpy(float) / 15, 24)
+    terms = np.stack([np.ones(n), np.cos(w), np.sin(w), np.cos(2 * w), np.sin(2 * w)], axis=1)
+    noise = np.where(pdf["is_day"].to_numpy(bool), cfg.noise.day, cfg.noise.night)
+    out = {c: np.full(n, np.nan) for c in ("btd_predicted", "residual", "z_score")} | {"cusum_s": np.zeros(n)}
+    order = np.argsort(nth, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(nth[order])) + 1):
+        rows_clear = rows[clear[rows]]
+        k, h = target[rows_clear], terms[rows_clear]
+        p[k] += q
+        ph = np.einsum("nij,nj->ni", p[k], h)
+        spread = np.maximum(np.einsum("ni,ni->n", h, ph) + noise[rows_clear], 1e-6)
+        expected = np.einsum("ni,ni->n", h, x[k])
+        left = btd[rows_clear] - expected
+        z = left / np.sqrt(spread)
+        total[k] = np.where(learned[k] >= cfg.min_clear, np.maximum(0.0, total[k] + z - cfg.k_slow), 0.0)
+        out["btd_predicted"][rows_clear], out["residual"][rows_clear], out["z_score"][rows_clear] = expected.round(3), left.round(3), z.round(3)
+        out["cusum_s"][rows_clear] = total[k].round(3)
+        hidden = rows[~clear[rows]]
+        out["cusum_s"][hidden] = total[target[hidden]]
+        inside = np.abs(z) < gate
+        k, h, gain = k[inside], h[inside], (ph / spread[:, None])[inside]
+        x[k] += gain * left[inside, None]
+        p[k] -= np.einsum("ni,nj,njk->nik", gain, h, p[k])
+        learned[k] += 1
+    return pdf[["label", "obs_time", "btd"]].assign(**out)[[c.split()[0] for c in SERIES.split(", ")]]
+
+
+def follow_targets(series: DataFrame, cfg: CusumConfig = CusumConfig(), together: int = 64) -> DataFrame:
+    """Every target's series on its own (label, obs_time, btd, cloud_flag, is_day, lon); a task takes some of ``together`` groups of targets."""
+    return series.groupBy(F.pmod(F.xxhash64("label"), F.lit(together)).alias("__group")).applyInPandas(lambda pdf: follow(pdf, cfg), SERIES)
 
 
 def nearest_pixel(targets: DataFrame, grid: DataFrame, degrees: float = 0.1) -> DataFrame:

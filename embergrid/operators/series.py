@@ -57,6 +57,18 @@ def weather_summary(long: DataFrame) -> DataFrame:
     return long.groupBy("code").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"), F.count_if(v.isNull()).alias("n_missing"))
 
 
+def weather_sources(long: DataFrame) -> DataFrame:
+    """How many values of each variable come from each kind of source, and of how many places."""
+    return long.groupBy("code", "source").agg(F.count("*").alias("n"), F.count_distinct("lat", "lon").alias("n_places"))
+
+
+def places_to_fetch(wanted: DataFrame, stored: DataFrame, step: float = 0.05) -> DataFrame:
+    """Wanted places (lat, lon) that the stored rows lack, both snapped to a grid and compared by whole steps."""
+    at = [F.rint(F.col(c) / step).cast("long").alias(k) for c, k in (("lat", "__y"), ("lon", "__x"))]
+    left = wanted.select("*", *at).join(stored.select(*at).distinct(), ["__y", "__x"], "left_anti")
+    return left.withColumn("lat", F.col("__y") * step).withColumn("lon", F.col("__x") * step).drop("__y", "__x")
+
+
 def effective_humidity(daily: DataFrame, r: float = 0.7, days: int = 7) -> DataFrame:
     """Weighted mean of a station's last days of humidity, each day's weight r of the following one's."""
     w = Window.partitionBy("station").orderBy("date")

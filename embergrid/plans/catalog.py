@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from embergrid.config import CusumConfig, FusionConfig, PersistenceConfig
 from embergrid.functions import geo, records, solar
-from embergrid.operators import calibration, contextual, cusum, events, fusion, interaction, lifecycle, masks, merge, report, validate
+from embergrid.operators import calibration, classify, contextual, cusum, events, fusion, interaction, lifecycle, masks, merge, report, validate
 from embergrid.operators import persistence as persist
 from embergrid.operators import series as ops
 from embergrid.operators.spatial import spatial_join
@@ -142,6 +142,22 @@ def expanding_window_pick(spark, d):
     return out.select("frame_id", "row", "col", F.col("window").alias("win"), "n_background", *[F.round(c, 4).alias(c) for c in ("mu_bt7", "mu_btd", "sd_bt7")])
 
 
+@query(f"""WITH {STATS} SELECT frame_id, "row", col, round(b.btd - (mu_btd + 3.5 * sd_btd), 4) AS x1, round(b.btd - (mu_btd + 550), 4) AS x2, round(b.bt7 - (mu_bt7 + 3 * sd_bt7), 4) AS x3, round(b.bt14 - (mu_bt14 + sd_bt14 - 400), 4) AS x4
+FROM bg b LEFT JOIN stats USING (frame_id, "row", col) WHERE candidate""")
+def context_parameters(spark, d):
+    out = classify.context_parameters(_detected(spark, d).where("candidate"), scale=100.0)
+    return out.select("frame_id", "row", "col", *[F.round(x, 4).alias(x) for x in classify.CONTEXT])
+
+
+@query()
+def forest_verdicts(spark, d):
+    """A forest learns the contextual verdict on candidates of most pixels and scores all of them; one pixel in four is held out."""
+    px = classify.context_parameters(_detected(spark, d).where("candidate"), scale=100.0).withColumn("day", F.col("is_day").cast("int")).withColumn("label", F.col("contextual").cast("int"))
+    px = cut(px.select("frame_id", "row", "col", "label", *classify.FEATURES, (F.pmod(F.xxhash64("row", "col"), F.lit(4)) == 0).alias("held_out")))
+    scored = classify.forest_scores(px, classify.fit_forest(px.where("not held_out")))
+    return scored.select("frame_id", "row", "col", "held_out", "label", "score", "predicted")
+
+
 @query(f'WITH {DETECT} SELECT frame_id, "row", col, bt7, btd, contextual, absolute, CAST(fire_mask AS INTEGER) AS fire_mask FROM mask WHERE fire_mask > 0')
 def contextual_fires(spark, d):
     return _detected(spark, d).where("fire_mask > 0").select("frame_id", "row", "col", "bt7", "btd", "contextual", "absolute", "fire_mask")
@@ -654,6 +670,21 @@ def weather_pivot(spark, d):
     return ops.weather_pivot(_weather(spark, d), ["click", "error"]).withColumn("date", F.col("date").cast("string"))
 
 
+@query(f"WITH {WEATHER} SELECT code, source, count(*) AS n, count(DISTINCT (lat, lon)) AS n_places FROM w GROUP BY 1, 2")
+def weather_sources(spark, d):
+    return ops.weather_sources(_weather(spark, d))
+
+
+@query("""WITH g AS (SELECT DISTINCT user_id % 97 AS i FROM events), h AS (SELECT DISTINCT round_even((-30 - (user_id % 53) * 0.05) * 20, 0) / 20 AS lat, 150.0 AS lon FROM events),
+w AS (SELECT i, round_even((-30 - i * 0.0487) * 20, 0) / 20 AS lat, round_even(150.01 * 20, 0) / 20 AS lon FROM g) SELECT i, round(lat, 2) AS lat, round(lon, 2) AS lon FROM w WHERE NOT EXISTS (SELECT 1 FROM h WHERE abs(h.lat - w.lat) < 0.001 AND abs(h.lon - w.lon) < 0.001)""")
+def places_to_fetch(spark, d):
+    """Wanted places less those that are stored, both snapped to the same grid."""
+    u = table(spark, d, "events").select("user_id")
+    wanted = u.select((F.col("user_id") % 97).alias("i")).distinct().select("i", (-30 - F.col("i") * 0.0487).alias("lat"), F.lit(150.01).alias("lon"))
+    stored = u.select((-30 - (F.col("user_id") % 53) * 0.05).alias("lat"), F.lit(150.0).alias("lon"))
+    return ops.places_to_fetch(wanted, stored).select("i", F.round("lat", 2).alias("lat"), F.round("lon", 2).alias("lon"))
+
+
 @query(f"WITH {WEATHER} SELECT code, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, min(value) AS least, max(value) AS most FROM w GROUP BY 1")
 def weather_summary(spark, d):
     s = ops.weather_summary(_weather(spark, d))

@@ -59,6 +59,23 @@ def complete_frames(segs: DataFrame, need: int = 4) -> DataFrame:
     return segs.groupBy("frame").agg(F.count_distinct("band", "segment").alias("n")).withColumn("status", F.when(F.col("n") >= need, "ok").otherwise("incomplete"))
 
 
+def recent_frames(frames: DataFrame, done: DataFrame, as_of: str, minutes: int = 30) -> DataFrame:
+    """Frames (frame as yyyyMMdd_HHmm) of the last ``minutes`` before a moment that are not done yet, the oldest first."""
+    t = F.to_timestamp("frame", "yyyyMMdd_HHmm")
+    now = F.lit(as_of).cast("timestamp")
+    return frames.where((t >= now - F.make_interval(mins=F.lit(minutes))) & (t <= now)).join(done.select("frame"), "frame", "left_anti").orderBy("frame")
+
+
+def read_point_csv(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
+    """Stored daily weather as CSV (date, lat, lon, elevation_m, target_label and, per variable, a value and a source), as long rows; cells
+    that are empty or no numbers are null."""
+    raw = spark.read.option("header", True).csv(path)
+    number = lambda c: F.expr(f"try_cast(`{c}` AS double)")
+    each = [F.struct(F.lit(c).alias("code"), (number(c) if c in raw.columns else F.lit(None).cast("double")).alias("value"), (number(f"{c}_source").cast("int") if f"{c}_source" in raw.columns else F.lit(None).cast("int")).alias("source")) for c in names]
+    rows = raw.select(F.expr("try_cast(date AS date)").alias("date"), number("lat").alias("lat"), number("lon").alias("lon"), F.explode(F.array(*each)).alias("v"))
+    return rows.select("date", "lat", "lon", "v.code", "v.value", "v.source")
+
+
 def archive(files: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
     """Frames of an archive (path): a folder per frame wins over loose files; bounds are text, both included."""
     folder, loose = F.regexp_extract("path", r"/(\d{8}_\d{4})/", 1), F.concat_ws("_", F.regexp_extract("path", SEGMENT, 1), F.regexp_extract("path", SEGMENT, 2))
