@@ -1,13 +1,16 @@
 """Operator 2: quality by nearest-neighbour voting over latent-semantic vectors.
 
-Texts become counts of pairs of adjacent character shapes, with one term for the share of their word triples that came
-before; log counts times inverse document frequency are projected on the leading singular vectors of labelled texts. The
-labelled vectors are broadcast (a bounded number of them), every document's cosine with all of them is computed exactly
+Texts become counts of pairs of adjacent character shapes and of hashed words, with one term for the share of their word
+triples that came before. Log counts are weighted by how far a term sets good and bad labelled texts apart, and projected
+on the leading singular vectors of the labelled texts. The labelled vectors are broadcast (a bounded number of them), every document's cosine with all of them is computed exactly
 in blocks, and the nearest neighbours vote with their similarity as weight.
 
-Defined cases: a null text is an empty one; a text without a shape pair has the zero vector, whose neighbours all tie at
-similarity 0, so that its score is the mean label; labels without a quality or a document are ignored; of several label
-rows for a document each is a neighbour of its own; without any labelled document every score is 0.5.
+Defined cases: a null text is an empty one; a text without any term has the zero vector, whose neighbours all tie at
+similarity 0, so that its score is the mean label; neighbours that tie with the last one all vote; labels without a quality or
+a document are ignored; of several label rows for a document, or several rows of a document, each is a neighbour of its own; with
+labels of one kind all terms weigh alike; without any labelled document every score is 0.5; repeated rows have equal
+scores; texts count whole, however long; a carried column gives way to an output of the same name; an empty table has no
+rows.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,10 +31,12 @@ from embergrid.llm.common import crc_of_id, map_texts
 _MARKS = b".,!?;:-'\"()/|#*$%&<>=+@"
 SHAPES = 32
 PAIRS = SHAPES * SHAPES
-#: Upper bounds of the shares of repeated word triples; each range is a term, weighing as much as some ten shape pairs.
+#: Upper bounds of the shares of repeated word triples; each range is a term.
 SHARES = np.array([0.02, 0.05, 0.1, 0.2, 0.35, 0.6])
-SHARE_WEIGHT = 40.0
-TERMS = PAIRS + len(SHARES) + 1
+#: Hashed words, and what they weigh beside the other terms.
+WORDS, WORD_PART = 1024, 0.4
+FIRST_WORD = PAIRS + len(SHARES) + 1
+TERMS = FIRST_WORD + WORDS
 
 
 def _shape_table() -> bytes:
@@ -61,8 +67,21 @@ def _shape_table() -> bytes:
 _SHAPE = _shape_table()
 
 
-def shape_counts(texts: list[str | None]) -> np.ndarray:
-    """Counts of shape pairs and the mark of the share of repeated word triples, one row of TERMS per text."""
+class _Buckets(dict):
+    """The term of each word, remembered for a bounded number of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        k = self[word] = FIRST_WORD + xxhash.xxh3_64_intdigest(word) % WORDS
+        return k
+
+
+_BUCKETS = _Buckets()
+
+
+def term_counts(texts: list[str | None]) -> np.ndarray:
+    """Counts of shape pairs and of words, and the mark of the share of repeated word triples, one row of TERMS per text."""
     out = np.zeros((len(texts), TERMS), np.float32)
     for i, text in enumerate(texts):
         data = (text or "").encode("utf-8", "surrogatepass")
@@ -74,9 +93,22 @@ def shape_counts(texts: list[str | None]) -> np.ndarray:
         if n > 0:
             share = 1 - len(set(zip(words, words[1:], words[2:]))) / n
             out[i, PAIRS + int(np.searchsorted(SHARES, share))] = 1
+        if words:
+            out[i] += np.bincount(np.fromiter(map(_BUCKETS.__getitem__, data.lower().split()), np.int64, len(words)), minlength=TERMS)
     return out
 
 
+def term_weights(counts: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """How far each term's log count sets the two kinds of labelled texts apart, in their deviations, over its own size."""
+    logs, good = np.log1p(counts), labels >= 0.5
+    size = np.maximum(np.sqrt(np.square(logs).mean(axis=0)), 0.05)
+    apart = np.ones(TERMS)
+    if good.any() and not good.all():
+        a, b = logs[good], logs[~good]
+        apart = np.abs(a.mean(axis=0) - b.mean(axis=0)) / np.sqrt(a.var(axis=0) + b.var(axis=0) + 1e-3)
+    return (apart / size * np.where(np.arange(TERMS) < FIRST_WORD, 1, WORD_PART)).astype(np.float32)
+
+
 def scaled(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Log counts times weights, as unit rows (zero rows stay)."""
     x = np.log1p(counts) * weight
@@ -120,8 +152,7 @@ def build_model(counts: np.ndarray, labels: np.ndarray, dims: int = 32, neighbou
     if n == 0:
         empty = np.zeros((0, dims), np.float32)
         return LatentModel(np.ones(TERMS, np.float32), np.zeros((TERMS, dims), np.float32), empty, labels, neighbours)
-    weight = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    weight[PAIRS:] = SHARE_WEIGHT
+    weight = term_weights(counts, labels)
     x = scaled(counts, weight)
     _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
     model = LatentModel(weight, vectors[:, ::-1][:, :dims].astype(np.float32), np.zeros((0, dims), np.float32), labels, neighbours)
@@ -141,7 +172,7 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = 4096, dims: int = 32, ne
     )
     rows = df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     out = T.StructType([T.StructField("counts", T.BinaryType())])
-    made = map_texts(rows, lambda texts: {"counts": pa.array([r.astype("<f4").tobytes() for r in shape_counts(texts)], pa.binary())}, out, carry=("doc_id", "__label"))
+    made = map_texts(rows, lambda texts: {"counts": pa.array([r.astype("<f4").tobytes() for r in term_counts(texts)], pa.binary())}, out, carry=("doc_id", "__label"))
     got = made.orderBy(F.xxhash64("doc_id"), "doc_id", "__label").limit(sample).toArrow()
     counts = np.frombuffer(b"".join(got["counts"].to_pylist()), "<f4").reshape(-1, TERMS)
     return build_model(counts, np.array(got["__label"].to_pylist(), np.float64), dims, neighbours)
@@ -152,7 +183,7 @@ def quality_scores(df: DataFrame, model: LatentModel, text_col: str = "text", ca
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(texts):
-        score = held.value.score(shape_counts(texts))
+        score = held.value.score(term_counts(texts))
         return {"score": pa.array(score, pa.float64()), "predicted": pa.array((score >= threshold).astype(np.int32), pa.int32())}
 
     out = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

@@ -128,6 +128,61 @@ def test_op2_scores_equal_plain_vote_and_held_out_labels(spark):
         assert s == pytest.approx(sum(sims[i] * y[i] for i in near) / sum(sims[i] for i in near), abs=1e-4)
 
 
+def plain_terms(text):
+    """Shape pairs, words by bucket and the range of repeated triples, character by character."""
+    import xxhash
+
+    marks = ".,!?;:-'\"()/|#*$%&<>=+@"
+    kind = lambda b: 7 if b >= 128 else 1 if chr(b) in " \t" else 2 if chr(b) in "\n\r" else 3 if chr(b) in "aeiou" else 4 if chr(b).islower() else 5 if chr(b).isupper() else 6 if chr(b).isdigit() else 8 + marks.index(chr(b)) if chr(b) in marks else 31 if b >= 32 else 0
+    data = (text or "").encode()
+    out = Counter(kind(a) * 32 + kind(b) for a, b in zip(data, data[1:], strict=False))
+    words = data.split()
+    triples = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    if triples:
+        share = 1 - len(set(triples)) / len(triples)
+        out[1024 + sum(share > s for s in (0.02, 0.05, 0.1, 0.2, 0.35, 0.6))] = 1
+    out.update(1031 + xxhash.xxh3_64_intdigest(w.lower()) % 1024 for w in words)
+    return [out.get(k, 0) for k in range(2055)]
+
+
+def test_op2_scores_of_whole_documents_from_scratch(spark, texts, sf):
+    """Terms, weights, singular vectors and votes restated, on every labelled and some other documents of the table."""
+    labels = pd.read_parquet(f"{sf}/labels.parquet").dropna()
+    fold = labels[[zlib.crc32(str(i).encode()) % 5 != 0 for i in labels.doc_id]].merge(texts[["doc_id", "text"]], on="doc_id")
+    x, y = np.log1p(np.array([plain_terms(t) for t in fold.text], float)), fold.quality.to_numpy(float)
+    good, bad = x[y == 1], x[y == 0]
+    weight = np.abs(good.mean(0) - bad.mean(0)) / np.sqrt(good.var(0) + bad.var(0) + 1e-3) / np.maximum(np.sqrt((x * x).mean(0)), 0.05)
+    weight[1031:] *= 0.4
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    x = unit(x * weight)
+    _, size, basis = np.linalg.svd(x, full_matrices=False)
+    assert size[31] > size[32]
+    known = unit(x @ basis[:32].T)
+    got = QUERIES["op2_quality_classifier"](spark, sf).toPandas().set_index("doc_id").score
+    for i, t in zip(texts.doc_id[:60], texts.text[:60], strict=True):
+        cos = known @ unit((unit(np.log1p(np.array([plain_terms(t)], float)) * weight) @ basis[:32].T))[0]
+        last = np.sort(cos)[-25]
+        w = np.where(cos >= last, np.maximum(cos, 1e-6), 0)
+        assert got[i] == pytest.approx((w @ y) / w.sum(), abs=0.05)
+
+
+def test_op2_odd_rows_have_defined_scores(spark):
+    rows = [(1, "good prose, one sentence. " * 9, "en", "s", 1), (2, "BAD $$$ BAD " * 30, "en", "s", 1), (3, None, None, None, None), (4, "", None, None, None), (4, "", None, None, None), (5, LONG, None, None, None), (None, "good prose, one sentence. " * 9, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    model = qc.fit(df, labels.where("doc_id = 1 or doc_id = 2 or doc_id is null or quality is null"), sample=10)
+    n = len(model.labels)
+    got = qc.quality_scores(df.withColumn("score", F.lit("x")), model, carry=("doc_id", "score")).collect()
+    assert all(r.score == pytest.approx(model.labels.mean() if n else 0.5) for r in got if r.doc_id in (3, 4)) and len(got) == 7
+    assert got[0].score == got[6].score and all(0 <= r.score <= 1 for r in got)
+    both = qc.build_model(qc.term_counts([r[1] for r in rows[:2]]), np.array([1.0, 0.0]), neighbours=1)
+    assert both.score(qc.term_counts([rows[0][1], rows[1][1]])).tolist() == [1.0, 0.0]
+    assert both.score(qc.term_counts([None])).tolist() == [0.5]  # all tie
+    one = qc.build_model(qc.term_counts(["a b c", "d e f"]), np.array([1.0, 1.0]))
+    assert one.score(qc.term_counts(["x y"])).tolist() == [1.0]
+    assert qc.quality_scores(df.limit(0), model).count() == 0
+
+
 def plain_phrases(symbols, train):
     n = at = 0
     while at < len(symbols):
