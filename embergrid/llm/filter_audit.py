@@ -18,6 +18,7 @@ table has no parts and no rows.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections import Counter
 from itertools import permutations
@@ -34,13 +35,15 @@ FILTERS = "ABCDE"
 COPY = 16  # the bit of the last filter
 _SPACE = r"[\x20\x09-\x0D]+"
 _DELTA = "part string, mask int, good boolean, toxic boolean, n long"
-_HELD = "least long, holders array<struct<part: string, good: boolean, toxic: boolean, n: bigint>>"
+_HELD = "least long, holders string"  # holders: JSON of [part, good, toxic, rows]
 
 
-def text_failures(text: Column) -> Column:
-    """Bits of the filters that judge a text by itself: few words, few distinct words, many capitals, symbols."""
-    words = F.filter(F.split(text, _SPACE), lambda w: w != "")
-    n, distinct = F.size(words), F.size(F.array_distinct(words))
+def text_failures(text: Column, cut: Column) -> Column:
+    """Bits of the filters that judge a text by itself: few words, few distinct words, many capitals, symbols. ``cut`` is the
+    text split at runs of white space, with an empty first or last part where it begins or ends with one."""
+    first, last = (F.element_at(cut, i) == "" for i in (1, -1))
+    n = F.size(cut) - F.when(first, 1).otherwise(0) - F.when(last & (F.size(cut) > 1), 1).otherwise(0)
+    distinct = F.size(F.array_distinct(cut)) - F.when(first | last, 1).otherwise(0)
     capitals = F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))
     bits = (n < 200, 100 * distinct < 50 * n, 100 * capitals > 3 * F.length(text), text.rlike("[#$%&*|]"))
     return sum((F.when(b, 1 << i).otherwise(0) for i, b in enumerate(bits)), F.lit(0)).cast("int")
@@ -70,7 +73,7 @@ class LeastHolder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         change: Counter = Counter()
         state, touched = self.held.get(), False
-        least, holders = (state[0], Counter({tuple(h)[:3]: h[3] for h in state[1]})) if state else (None, Counter())
+        least, holders = (state[0], Counter({(part, good, toxic): n for part, good, toxic, n in json.loads(state[1])})) if state else (None, Counter())
         for r in rows:
             who = (r.part, r.good, r.toxic)
             if r.settled:
@@ -88,7 +91,7 @@ class LeastHolder(StatefulProcessor):
             else:
                 change[r.part, r.mask | COPY, r.good, r.toxic] += r.n
         if touched:
-            self.held.update((least, [(*who, n) for who, n in holders.items()]))
+            self.held.update((least, json.dumps([(*who, n) for who, n in holders.items()])))
         for (part, mask, good, toxic), n in change.items():
             if n:
                 yield Row(part=part, mask=mask, good=good, toxic=toxic, n=n)
@@ -109,7 +112,8 @@ def filter_counters(spark: SparkSession, documents: str, labels: DataFrame, batc
     # as a pattern, the path may name a single file, too
     docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(f"{documents[:-1]}[{documents[-1]}]")
     text = F.coalesce("text", F.lit(""))
-    judged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("name"), F.coalesce("lang", F.lit("")).alias("part"), text_failures(text).alias("mask"))
+    parts = docs.select("doc_id", "lang", text.alias("text"), F.split(text, _SPACE).alias("cut"))  # split once
+    judged = parts.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("name"), F.coalesce("lang", F.lit("")).alias("part"), text_failures(F.col("text"), F.col("cut")).alias("mask"))
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.bool_or(F.col("quality") == 1).alias("good"), F.bool_or(F.col("toxic") == 1).alias("toxic"))
     joined = judged.join(known, "doc_id", "left").select("name", "doc_id", "part", "mask", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
     short = joined.mapInArrow(condense, "name string, doc_id long, part string, mask int, good boolean, toxic boolean, settled boolean, n long")
