@@ -26,15 +26,21 @@ def context_parameters(px: DataFrame, scale: float = 1.0) -> DataFrame:
     return px.withColumns(x)
 
 
-def fit_forest(rows: DataFrame, features: tuple[str, ...] = FEATURES, trees: int = 100, depth: int = 20, seed: int = 42) -> PipelineModel:
-    """A forest that tells rows with label 1 from those with label 0; rows without a label or a feature teach nothing."""
+def fit_forest(rows: DataFrame, features: tuple[str, ...] = FEATURES, trees: int = 100, depth: int = 20, seed: int = 42) -> PipelineModel | None:
+    """A forest that tells rows with label 1 from those with label 0; rows without a label or a feature teach nothing. None
+    without rows of both labels."""
+    rows = rows.dropna(subset=["label", *features])
+    if rows.select("label").distinct().limit(2).count() < 2:
+        return None
     vector = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="skip")
     forest = RandomForestClassifier(featuresCol="__x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[vector, forest]).fit(rows.where("label is not null").withColumn("label", F.col("label").cast("double")))
+    return Pipeline(stages=[vector, forest]).fit(rows.withColumn("label", F.col("label").cast("double")))
 
 
-def forest_scores(rows: DataFrame, model: PipelineModel, threshold: float = 0.5) -> DataFrame:
-    """Append score (0 to 1, null where a feature is missing) and predicted."""
+def forest_scores(rows: DataFrame, model: PipelineModel | None, threshold: float = 0.5) -> DataFrame:
+    """Append score (0 to 1, null where a feature is missing or without a model) and predicted."""
+    if model is None:
+        return rows.withColumn("score", F.lit(None).cast("double")).withColumn("predicted", F.lit(None).cast("int"))
     keep = model.stages[0].copy().setHandleInvalid("keep")  # missing features become NaN, so that no row is lost
     out = model.stages[1].transform(keep.transform(rows))
     known = F.lit(True)

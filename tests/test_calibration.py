@@ -97,6 +97,8 @@ def test_forest_tells_held_out_fires(spark):
     assert len(got) == held.count() and sum(r.predicted == r.label for r in got) > 0.97 * len(got)
     odd = spark.createDataFrame([(1, None, 1.0, 1.0, 1.0)], "i long, x1 double, x2 double, x3 double, x4 double")
     assert [(r.score, r.predicted) for r in classify.forest_scores(odd, model).collect()] == [(None, None)]
+    assert classify.fit_forest(df.where("label = 1"), classify.CONTEXT) is None and classify.fit_forest(df.limit(0), classify.CONTEXT) is None
+    assert [(r.score, r.predicted) for r in classify.forest_scores(odd, None).collect()] == [(None, None)]
 
 
 def test_forest_learns_the_contextual_verdict(spark):
