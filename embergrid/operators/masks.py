@@ -9,31 +9,31 @@ from embergrid.config import Region
 from embergrid.functions.geo import in_ellipse
 from embergrid.operators.spatial import spread
 
-#: Industrial heat sources (name, latitude, longitude, kind).
+#: Industrial heat sources (latitude, longitude).
 INDUSTRIAL_SITES = (
-    ("Bayswater Power Station", -32.3958, 150.9492, "coal_power"),
-    ("Eraring Power Station", -33.0617, 151.5198, "coal_power"),
-    ("Vales Point Power Station", -33.16, 151.5446, "coal_power"),
-    ("Mount Piper Power Station", -33.3586, 150.0316, "coal_power"),
-    ("BlueScope Port Kembla Steelworks", -34.4638, 150.8862, "steelworks"),
-    ("Tallawarra Power Station", -34.5226, 150.8071, "gas_power"),
-    ("Tomago Aluminium Smelter", -32.8248, 151.7245, "smelter"),
-    ("Colongra Power Station", -33.21, 151.5448, "gas_power"),
-    ("Uranquinty Power Station", -35.1802, 147.2157, "gas_power"),
-    ("Kurri Kurri Power Station", -32.8174, 151.4830, "gas_power"),
-    ("Smithfield Energy Facility", -33.85, 150.9495, "gas_power"),
-    ("Orica Kooragang Island", -32.868, 151.774, "chemical"),
-    ("InfraBuild Rooty Hill", -33.766, 150.8498, "steelworks"),
-    ("Boral Berrima Cement Works", -34.5099, 150.3365, "cement"),
-    ("Shoalhaven Starches Cogen", -34.8497, 150.6109, "industrial"),
-    ("Mt Arthur Coal Mine", -32.3339, 150.8526, "coal_mine"),
-    ("Hunter Valley Operations Mine", -32.5237, 151.0066, "coal_mine"),
-    ("Mt Thorley-Warkworth Mine", -32.607, 151.090, "coal_mine"),
-    ("Bulga Coal Mine", -32.6835, 151.0827, "coal_mine"),
-    ("Liddell Power Station (closed)", -32.3715, 150.978, "decommissioned"),
-    ("Condong Sugar Mill", -28.3141, 153.4388, "sugar_mill"),
-    ("Broadwater Sugar Mill", -29.017, 153.433, "sugar_mill"),
-    ("Harwood Sugar Mill", -29.4259, 153.2478, "sugar_mill"),
+    (-32.3958, 150.9492),
+    (-33.0617, 151.5198),
+    (-33.16, 151.5446),
+    (-33.3586, 150.0316),
+    (-34.4638, 150.8862),
+    (-34.5226, 150.8071),
+    (-32.8248, 151.7245),
+    (-33.21, 151.5448),
+    (-35.1802, 147.2157),
+    (-32.8174, 151.4830),
+    (-33.85, 150.9495),
+    (-32.868, 151.774),
+    (-33.766, 150.8498),
+    (-34.5099, 150.3365),
+    (-34.8497, 150.6109),
+    (-32.3339, 150.8526),
+    (-32.5237, 151.0066),
+    (-32.607, 151.090),
+    (-32.6835, 151.0827),
+    (-32.3715, 150.978),
+    (-28.3141, 153.4388),
+    (-29.017, 153.433),
+    (-29.4259, 153.2478),
 )
 INDUSTRIAL_KM = 4.0
 
@@ -76,7 +76,7 @@ def valid_pixels(df: DataFrame, cloud_bt14: float = 270.0, reach: int = 2) -> Da
 def industrial(df: DataFrame, km: float = INDUSTRIAL_KM, sites=INDUSTRIAL_SITES) -> DataFrame:
     """Append is_industrial. The sites are a constant of some twenty rows, tested as one expression: no join."""
     hit = F.lit(False)
-    for _, lat, lon, _ in sites:
+    for lat, lon in sites:
         hit = hit | in_ellipse(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon), km)
     return df.withColumn("is_industrial", hit)
 

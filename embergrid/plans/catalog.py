@@ -176,7 +176,7 @@ def frame_counters(spark, d):
     return contextual.frame_counters(_detected(spark, d))
 
 
-_ELLIPSE = " OR ".join(f"(pow((lat_u / 1e6 - ({lat})) / (4.0 / 111.0), 2) + pow((lon_u / 1e6 - {lon}) / (4.0 / (111.0 * cos(radians({lat})))), 2) <= 1)" for _, lat, lon, _ in masks.INDUSTRIAL_SITES)
+_ELLIPSE = " OR ".join(f"(pow((lat_u / 1e6 - ({lat})) / (4.0 / 111.0), 2) + pow((lon_u / 1e6 - {lon}) / (4.0 / (111.0 * cos(radians({lat})))), 2) <= 1)" for lat, lon in masks.INDUSTRIAL_SITES)
 
 
 @query(f"WITH {v.DET} SELECT det_id FROM det WHERE {_ELLIPSE}")
