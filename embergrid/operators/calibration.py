@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embergrid.config import CusumConfig
-from embergrid.functions.geo import degrees_apart
+from embergrid.operators.spatial import nearest_within
 
 SERIES = "label string, obs_time timestamp, btd double, btd_predicted double, residual double, z_score double, cusum_s double"
 
@@ -61,15 +61,10 @@ def follow_targets(series: DataFrame, cfg: CusumConfig = CusumConfig(), together
 def nearest_pixel(targets: DataFrame, grid: DataFrame, degrees: float = 0.1) -> DataFrame:
     """Each target's nearest pixel (by degrees, then row and column) among those within ``degrees``; null beyond.
 
-    targets: label, lat, lon; grid: row, col, r_lat, r_lon. Both meet on cells of that size.
+    targets: label, lat, lon; grid: row, col, r_lat, r_lon.
     """
-    from embergrid.operators.spatial import spread
-
-    cells = lambda df, la, lo: df.withColumn("cy", F.floor(F.col(la) / degrees)).withColumn("cx", F.floor(F.col(lo) / degrees))
-    met = spread(cells(targets, "lat", "lon"), 1, "cy", "cx").join(cells(grid, "r_lat", "r_lon"), ["cy", "cx"])
-    met = met.withColumn("far", degrees_apart(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))).where(F.col("far") <= degrees)
-    best = met.groupBy("label").agg(F.min(F.struct("far", "row", "col")).alias("m"))
-    return targets.join(best, "label", "left").select(*targets.columns, F.col("m.row").alias("row"), F.col("m.col").alias("col"), F.col("m.far").alias("pixel_dist_deg"))
+    best = nearest_within(targets, grid, degrees, "label", ["row", "col"])
+    return targets.join(best, "label", "left").select(*targets.columns, "row", "col", F.col("far").alias("pixel_dist_deg"))
 
 
 def nearest_pixel_anywhere(targets: DataFrame, grid: DataFrame, degrees: float = 0.1) -> DataFrame:
