@@ -175,8 +175,21 @@ def cross_resolution(coarse: DataFrame, fine: DataFrame, cfg: FusionConfig = Fus
 def refine(coarse: DataFrame, pairs: DataFrame, cfg: FusionConfig = FusionConfig()) -> DataFrame:
     """Coarse detections with the place and uncertainty of the nearest fine match (the earliest, then the least r_seq, among
     equals), or their own, and how many sources confirm them."""
+    least = pairs.groupBy("seq", "r_source").agg(F.min("km").alias("km")).groupBy("seq").agg(F.min("km").alias("__km"), F.count("r_source").alias("n_sources"))
+    return _refined(coarse, pairs.join(least.select("seq", "__km"), "seq"), least, cfg)
+
+
+def match_and_refine(coarse: DataFrame, fine: DataFrame, cfg: FusionConfig = FusionConfig()) -> DataFrame:
+    """``refine`` over the pairs of ``cross_resolution``. The pairs are never sorted: a first pass keeps the least distance by
+    sums of fixed size, a second one only the pairs that have it."""
+    pairs = cross_resolution(coarse, fine, cfg)
+    least = cut(pairs.groupBy("seq", "r_source").agg(F.min("km").alias("km")).groupBy("seq").agg(F.min("km").alias("__km"), F.count("r_source").alias("n_sources")))
+    return _refined(coarse, cross_resolution(coarse.join(least.select("seq", "__km"), "seq"), fine, cfg), least, cfg)
+
+
+def _refined(coarse: DataFrame, pairs: DataFrame, least: DataFrame, cfg: FusionConfig) -> DataFrame:
     best = F.min(F.struct("km", F.col("r_acq").alias("t"), "r_seq", F.col("r_lat").alias("lat"), F.col("r_lon").alias("lon"))).alias("m")
-    found = pairs.groupBy("seq").agg(best, F.count_distinct("r_source").alias("n_sources"))
+    found = pairs.where(F.col("km") <= F.col("__km") * (1 + 1e-12)).groupBy("seq").agg(best).join(least, "seq")
     out = coarse.join(found, "seq", "left")
     return out.select(
         *[F.col(c) for c in coarse.columns], F.col("m.r_seq").alias("match_seq"), F.coalesce("m.lat", coarse["lat"]).alias("refined_lat"), F.coalesce("m.lon", coarse["lon"]).alias("refined_lon"),
