@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from embergrid.functions.geo import degrees_apart
-from embergrid.operators.spatial import spread
+from embergrid.operators.spatial import nearest_within
 
 
 def merge_detections(contextual: DataFrame, temporal: DataFrame, degrees: float = 0.02) -> DataFrame:
@@ -15,12 +14,8 @@ def merge_detections(contextual: DataFrame, temporal: DataFrame, degrees: float
     Found, it is dropped and lifts that one from low to nominal; otherwise it is appended. Inputs: frame_id, det_id, lat,
     lon, confidence; among equal distances the least det_id is nearest. Output adds method.
     """
-    cells = lambda df: df.withColumn("cy", F.floor(F.col("lat") / degrees)).withColumn("cx", F.floor(F.col("lon") / degrees))
-    c = cells(contextual.select("frame_id", F.col("det_id").alias("c_id"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), "lat", "lon")).drop("lat", "lon")
-    t = cells(temporal)
-    far = degrees_apart(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
-    met = t.join(spread(c, 1, "cy", "cx"), ["frame_id", "cy", "cx"]).withColumn("far", far).where(F.col("far") <= degrees)
-    nearest = met.groupBy("det_id").agg(F.min(F.struct("far", "c_id")).alias("m")).select("det_id", F.col("m.c_id").alias("c_id"))
+    c = contextual.groupBy("frame_id", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).agg(F.min("det_id").alias("c_id"))  # of one place only the least can be nearest
+    nearest = nearest_within(temporal, c, degrees, "det_id", ["c_id"], on=["frame_id"]).select("det_id", "c_id")
     lifted = nearest.select(F.col("c_id").alias("det_id")).distinct().withColumn("__lift", F.lit(True))
     names = ["frame_id", "det_id", "lat", "lon", "confidence"]
     first = contextual.join(lifted, "det_id", "left").withColumn("confidence", F.when(F.col("__lift") & (F.col("confidence") == "low"), "nominal").otherwise(F.col("confidence")))
