@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from embergrid.config import PersistenceConfig
@@ -26,19 +26,20 @@ def persistence(dets: DataFrame, cfg: PersistenceConfig = PersistenceConfig()) -
     seen = tiled.select("frame_no", "__tile").distinct()
     bits = F.explode(F.array(*[F.struct((F.col("frame_no") + s).alias("f"), F.lit(1 << i).alias("bit")) for i, s in enumerate(steps)])).alias("m")
     seen = seen.select("__tile", bits).groupBy("__tile", F.col("m.f").alias("frame_no")).agg(F.bit_or("m.bit").alias("__bits"))
-    tiled = tiled.select("det_id", "frame_no", "lat", "lon", "__tile").join(seen, ["__tile", "frame_no"], "left").select("det_id", "frame_no", "lat", "lon", F.coalesce("__bits", F.lit(0)).alias("__bits"))
+    tiled = tiled.join(seen, ["__tile", "frame_no"], "left").select(*dets.columns, F.coalesce("__bits", F.lit(0)).alias("__bits"))
     # what is open looks for any detection within the distance, frame by frame
     look = F.explode(F.filter(F.array(*[F.struct((F.col("frame_no") - s).alias("f"), F.lit(1 << i).alias("bit")) for i, s in enumerate(steps)]), lambda m: F.col("__bits").bitwiseAND(m["bit"]) == 0))
     open_ = tiled.where(F.col("__bits") != every).withColumn("__m", look).select("det_id", "frame_no", "lat", "lon", F.col("__m.f").alias("__f"), F.col("__m.bit").alias("__bits"))
     other = real.select(F.col("frame_no").alias("r_frame"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
     near = spatial_join(open_, other, cfg.km, "left_semi", on=[("__f", "r_frame")])
-    met = tiled.select("det_id", "frame_no", "__bits").unionByName(near.select("det_id", "frame_no", "__bits")).groupBy("det_id", "frame_no").agg(F.bit_or("__bits").alias("__bits"))
+    near = near.groupBy("det_id", "frame_no").agg(F.bit_or("__bits").alias("__more"))
+    tiled = tiled.join(near, ["det_id", "frame_no"], "left").select(*dets.columns, F.col("__bits").bitwiseOR(F.coalesce("__more", F.lit(0))).alias("__bits"))
     # rows that share an id are one detection, which met the frames that any of them met
     back = F.array_compact(F.array(*[F.when(F.col("__bits").bitwiseAND(1 << i) != 0, F.col("frame_no") - s) for i, s in enumerate(steps) if s > 0]))
-    met = met.select("det_id", back.alias("__back"), (F.col("__bits").bitwiseAND(1) != 0).alias("__next"))
-    met = met.groupBy("det_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("__back")))).cast("long").alias("n_prior"), F.max("__next").alias("met_next"))
+    own = Window.partitionBy("det_id")
+    out = tiled.withColumn("n_prior", F.size(F.array_distinct(F.flatten(F.collect_list(back).over(own))))).withColumn("met_next", F.max((F.col("__bits").bitwiseAND(1) != 0)).over(own)).drop("__bits")
     last = dets.agg(F.max("frame_no").alias("__last"))
-    out = real.join(met, "det_id", "left").crossJoin(F.broadcast(last))  # one row
+    out = out.crossJoin(F.broadcast(last))  # one row
     n = F.coalesce(F.col("n_prior"), F.lit(0))
     high = (F.col("confidence") == "high") if cfg.bypass_high else F.lit(False)
     outcome = (
@@ -52,12 +53,13 @@ def persistence(dets: DataFrame, cfg: PersistenceConfig = PersistenceConfig()) -
 
 def persistence_stats(judged: DataFrame) -> DataFrame:
     """Per frame: received, bypassed, persistent and held now; promoted and discarded of the frame before; passed."""
-    now = judged.groupBy("frame_no").agg(
-        F.count("*").alias("received"), F.count_if(F.col("outcome") == "bypass").alias("bypassed"), F.count_if(F.col("outcome") == "persistent").alias("persistent"),
-        F.count_if(F.col("outcome").isin("held", "promoted", "discarded")).alias("held"), F.lit(0).cast("long").alias("promoted"), F.lit(0).cast("long").alias("discarded"),
-    )
-    zero = [F.lit(0).cast("long").alias(c) for c in ("received", "bypassed", "persistent", "held")]
-    later = judged.where(F.col("outcome").isin("promoted", "discarded")).groupBy((F.col("frame_no") + 1).alias("frame_no")).agg(F.count_if(F.col("outcome") == "promoted").alias("promoted"), F.count_if(F.col("outcome") == "discarded").alias("discarded"))
-    both = now.unionByName(later.select("frame_no", *zero, "promoted", "discarded"))
+    is_ = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    zero = F.lit(0).cast("long")
+    now = judged.groupBy("frame_no").agg(F.count("*").alias("received"), is_("bypass").alias("bypassed"), is_("persistent").alias("persistent"), is_("held", "promoted", "discarded").alias("held"), is_("promoted").alias("up"), is_("discarded").alias("gone"))
+    # one row a frame for the frame itself and, where something came out later, one for the next
+    names = ("received", "bypassed", "persistent", "held")
+    this = F.struct("frame_no", *names, zero.alias("promoted"), zero.alias("discarded"))
+    after = F.struct((F.col("frame_no") + 1).alias("frame_no"), *[zero.alias(c) for c in names], F.col("up").alias("promoted"), F.col("gone").alias("discarded"))
+    both = now.select(F.explode(F.when(F.col("up") + F.col("gone") > 0, F.array(this, after)).otherwise(F.array(this))).alias("r")).select("r.*")
     sums = both.groupBy("frame_no").agg(*[F.sum(c).alias(c) for c in ("received", "bypassed", "persistent", "held", "promoted", "discarded")])
     return sums.withColumn("passed", F.col("bypassed") + F.col("persistent") + F.col("promoted"))
