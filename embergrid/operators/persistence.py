@@ -31,7 +31,7 @@ def persistence(dets: DataFrame, cfg: PersistenceConfig = PersistenceConfig()) -
     look = F.explode(F.filter(F.array(*[F.struct((F.col("frame_no") - s).alias("f"), F.lit(1 << i).alias("bit")) for i, s in enumerate(steps)]), lambda m: F.col("__bits").bitwiseAND(m["bit"]) == 0))
     open_ = tiled.where(F.col("__bits") != every).withColumn("__m", look).select("det_id", "frame_no", "lat", "lon", F.col("__m.f").alias("__f"), F.col("__m.bit").alias("__bits"))
     other = real.select(F.col("frame_no").alias("r_frame"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    near = spatial_join(open_, other, cfg.km, "left_semi", on=[("__f", "r_frame")])
+    near = spatial_join(open_, other, cfg.km, "left_semi", on=[("__f", "r_frame")], repeat="left")
     near = near.groupBy("det_id", "frame_no").agg(F.bit_or("__bits").alias("__more"))
     tiled = tiled.join(near, ["det_id", "frame_no"], "left").select(*dets.columns, F.col("__bits").bitwiseOR(F.coalesce("__more", F.lit(0))).alias("__bits"))
     # rows that share an id are one detection, which met the frames that any of them met
