@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from embergrid.config import FusionConfig
 from embergrid.functions.geo import in_ellipse
-from embergrid.operators import calibration, fusion, masks, merge, validate
+from embergrid.operators import calibration, fusion, masks, merge, spatial, validate
 from embergrid.operators import persistence as persist
 from embergrid.operators.spatial import spatial_join
 from embergrid.plans import catalog
@@ -130,3 +130,52 @@ def test_refinement_sorts_no_pairs(spark, sf):
         mine = [p for p in pairs if p.seq == r.seq]
         best = min(mine, key=lambda p: (p.km, p.r_acq, p.r_seq), default=None)
         assert (r.match_seq, r.n_sources) == (best and best.r_seq, len({p.r_source for p in mine}))
+
+
+@pytest.mark.parametrize("path", ["broadcast", "shuffled"])
+@pytest.mark.parametrize("at", [(0.0, 0.0), (-33.0, 179.99), (70.0, -180.0), (89.98, 10.0), (-90.0, 0.0)])
+def test_existence_equals_all_pairs_anywhere(spark, monkeypatch, at, path):
+    rng = random.Random(17)
+    far = min(120.0, 0.2 / max(0.001, math.cos(math.radians(at[0]))))
+
+    def place():
+        lat, lon = max(-90.0, min(90.0, at[0] + rng.uniform(-0.2, 0.2))), at[1] + rng.uniform(-far, far)
+        return lat, rng.choice([lon, (lon + 180) % 360 - 180])  # beyond 180 degrees, too
+
+    left, right = [(i, *place()) for i in range(300)], [place() for _ in range(12)]
+    left += [(900, 0.0, math.inf), (901, None, None)]
+    right += [(0.0, math.inf), (None, 0.0)]
+    a, b = spark.createDataFrame(left, "id long, lat double, lon double"), spark.createDataFrame(right, "r_lat double, r_lon double")
+    near = {x[0] for x in left[:300] if any(km(x[1], x[2], *y) <= 5.0 for y in right[:12])}
+    assert near
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if path == "shuffled":
+        monkeypatch.setattr(spatial, "_BROADCAST_ROWS", -1)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for how, want in (("left_semi", near), ("left_anti", {x[0] for x in left} - near)):
+            out = spatial_join(a, b, 5.0, how)
+            assert ("BroadcastHashJoin" in plan(out)) == (path == "broadcast")
+            assert sorted(r.id for r in out.collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+@pytest.mark.parametrize("query", ["spatial_anti_join"])
+def test_existence_is_one_pass_without_pairs(spark, sf, query):
+    text = plan(catalog.QUERIES[query](spark, sf))
+    physical = text[text.index("== Physical Plan =="):]
+    detections = [x for x in physical.splitlines() if "Scan parquet" in x and "l_orderkey" in x]
+    # detections are read once, meet one table, and no filter works their tiles out again
+    assert len(detections) == 1 and physical.count("BroadcastHashJoin") == 1
+    assert "DataFilters: []" in detections[0] and "explode" not in physical
+
+
+def test_crowds_of_right_rows_leave_few_lists(spark):
+    """Sixteen times the right rows in the same area: of the table that the left rows meet, only the lists around the area grow."""
+    rng, sizes, left = random.Random(19), [], spark.createDataFrame([(0, 0.0, 0.0)], "id long, lat double, lon double")
+    for n in (1000, 16000):
+        right = spark.createDataFrame([(rng.uniform(-0.5, 0.5), rng.uniform(-0.5, 0.5)) for _ in range(n)], "r_lat double, r_lon double")
+        path = spatial_join(left, right, 5.0, "left_anti").inputFiles()
+        sizes.append(spark.read.parquet(*[p for p in path if "step-" in p]).count())
+    assert sizes[1] < 4 * sizes[0]
