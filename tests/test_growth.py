@@ -161,7 +161,7 @@ def test_existence_equals_all_pairs_anywhere(spark, monkeypatch, at, path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
 
 
-@pytest.mark.parametrize("query", ["spatial_anti_join"])
+@pytest.mark.parametrize("query", ["spatial_anti_join", "spatial_semi_join"])
 def test_existence_is_one_pass_without_pairs(spark, sf, query):
     text = plan(catalog.QUERIES[query](spark, sf))
     physical = text[text.index("== Physical Plan =="):]
