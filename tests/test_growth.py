@@ -50,6 +50,40 @@ def test_pairs_repeat_the_truth_alone(spark, sf):
     assert "l_orderkey" not in repeated and "s_suppkey" in repeated
 
 
+@pytest.mark.parametrize("places, join", [(75_000, "BroadcastHashJoin"), (-1, "ShuffledHashJoin")])
+def test_all_pairs_sort_nothing(spark, sf, monkeypatch, places, join):
+    monkeypatch.setattr(spatial, "_BROADCAST_PLACES", places)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any larger size
+    try:
+        text = plan(catalog.QUERIES["haversine_pairs"](spark, sf))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    physical = text[text.index("== Physical Plan =="):]
+    assert join in physical and "Sort " not in physical and ("Exchange hashpartitioning" in physical) == (places < 0)
+
+
+@pytest.mark.parametrize("places", [75_000, -1])
+@pytest.mark.parametrize("at", [(-33.0, 179.99), (70.0, -180.0), (89.98, 10.0), (-90.0, 0.0)])
+def test_all_pairs_anywhere(spark, monkeypatch, at, places):
+    monkeypatch.setattr(spatial, "_BROADCAST_PLACES", places)
+    rng, nan = random.Random(23), float("nan")
+    far = min(120.0, 0.2 / max(0.001, math.cos(math.radians(at[0]))))
+
+    def place():
+        return max(-90.0, min(90.0, at[0] + rng.uniform(-0.2, 0.2))), (at[1] + rng.uniform(-far, far) + 180) % 360 - 180
+
+    left, right = [(i, *place()) for i in range(200)], [(i, *place()) for i in range(40)]
+    left += [(i + 500, x[1], x[2]) for i, x in enumerate(right[:5])]  # the same places
+    odd = [(900, None, at[1]), (901, at[0], None), (902, None, None), (903, nan, at[1]), (904, at[0], nan), (905, at[0], math.inf)]
+    a, b = spark.createDataFrame(left + odd, "id long, lat double, lon double"), spark.createDataFrame(right + odd, "r_id long, r_lat double, r_lon double")
+    out = spatial.pairs_within(a, b, 5.0)
+    assert out.columns == ["id", "lat", "lon", "r_id", "r_lat", "r_lon"]
+    want = sorted((x[0], y[0]) for x in left for y in right if km(*x[1:], *y[1:]) <= 5.0)
+    assert want and sorted((r.id, r.r_id) for r in out.collect()) == want
+    assert sorted((r.id, r.r_id) for r in spatial_join(a, b, 5.0).collect()) == want
+
+
 def test_false_alarms_look_at_their_own_days(spark):
     t0 = datetime(2024, 1, 10, 6)
     hours = [-25, -24, -23, 0, 23, 24, 24.001, 49, None]
