@@ -4,12 +4,14 @@ import json
 import math
 from datetime import date, datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from embergrid.functions import records, solar
-from embergrid.operators import calibration, contextual, cusum, lifecycle, masks, merge, report
+from embergrid.operators import calibration, contextual, cusum, lifecycle, masks, merge, report, validate
 from embergrid.operators import series as ops
+from embergrid.plans import catalog
 from embergrid.sources import feeds
 from embergrid.streaming import jobs
 
@@ -170,3 +172,17 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = sorted((r.window.start.minute, r.n_pixels, r.n_hot) for r in spark.table("frame_counts_test").collect() if r.window.start.hour == 0)
     assert got == [(0, 3, 2), (10, 1, 1)]
+
+
+def test_latency_is_that_of_matched_events(spark, sf, monkeypatch):
+    lat = [-30.0, 10.0, 20.5, 40.0, 1000.0]
+    rows = [(True, x) for x in lat] + [(True, None), (True, float("nan")), (False, 99999.0), (False, None)]
+    m = spark.createDataFrame(rows, "matched boolean, latency_min double").withColumn("early_detection", F.col("latency_min") < 0)
+    want = {f"latency_p{p}": pd.Series(lat).quantile(p / 100) for p in (10, 25, 50, 75, 90)} | {"latency_mean": sum(lat) / 5, "latency_min": -30.0, "latency_max": 1000.0}
+    assert validate.latency(m).first().asDict() == pytest.approx(want)
+    all_of = validate.summary(m, spark.range(2), spark.range(8)).first().asDict()
+    assert {k: all_of[k] for k in want} == pytest.approx(want) and (all_of["n_truth"], all_of["n_matched"], all_of["n_early"]) == (9, 7, 1)
+    assert set(validate.latency(m.where("not matched")).first()) == {None}
+    # the query has its figures from the operator
+    monkeypatch.setattr(validate, "latency", lambda matched: matched.agg(*[F.lit(7.0).alias(k) for k in want]))
+    assert set(catalog.QUERIES["latency_quantiles"](spark, sf).first()) == {7.0}
